@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `most` bytes of text each; a longer text makes a run of its own."""
     col = batch.column(batch.schema.get_field_index(text))
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col.cast(pa.binary())), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col.cast(pa.binary())), 0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if held and held + n > most:

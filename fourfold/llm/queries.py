@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP7_SQL, op7_mixing
+from .neardup import op10_near_duplicates
 from .sharding import op5_sharding
 
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
