@@ -18,8 +18,8 @@ from .common import Words, as_bytes, cut, mix, ngram_hashes, slices
 
 BINS = 1 << 14
 SMOOTH = 1.0
-#: Mean log ratio below which a document is turned down: its n-grams are e**-0.5 times as likely in trusted text.
-THRESHOLD = -0.5
+#: Mean log ratio below which a document is turned down: its n-grams are e**-0.15 times as likely in trusted text.
+THRESHOLD = -0.15
 BROADCAST_IDS = 2_000_000
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
