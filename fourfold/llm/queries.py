@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import op8_quality_classifier
+from .encoding import op9_sentencepiece
 from .language import op2_language_id
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .rules import op1_quality_rules
 from .sharding import op5_sharding
+from .tokencount import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_language_id": op2_language_id,
+        "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
