@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .classifier import op8_quality_classifier
 from .encoding import op9_sentencepiece
 from .language import op2_language_id
+from .linededup import op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .rules import op1_quality_rules
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_language_id": op2_language_id,
+        "op3_line_dedup": op3_line_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op7_mixing": op7_mixing,
