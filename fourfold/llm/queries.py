@@ -12,6 +12,7 @@ from .language import op2_language_id
 from .linededup import op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
+from .neighbours import op6_nearest_neighbours
 from .rules import op1_quality_rules
 from .sharding import op5_sharding
 from .tokencount import op4_token_counts
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_mixing": op7_mixing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_sentencepiece": op9_sentencepiece,
