@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, unit_hash
+from .common import as_bytes, column_name, slices, unit_hash
 
 #: Bounds of what is learned from: labelled texts and landmarks for each language, and both in all.
 SAMPLE, LANDMARKS, SAMPLE_ALL, LANDMARKS_ALL = 150, 24, 4000, 240
@@ -129,32 +129,39 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([np.frombuffer(r["found"], dtype=np.int32) for r in kept], [r["lang"] for r in kept])
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text: str, letters: str) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     for whole in batches:
         for start in range(0, whole.num_rows, BATCH):
             batch = whole.slice(start, BATCH)
-            texts, letters = as_bytes(batch.column(1)), np.array(batch.column(2).to_pylist(), dtype=bool)
+            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
+            lettered = np.array(batch.column(batch.schema.get_field_index(letters)).to_pylist(), dtype=bool)
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            if model.languages and letters.any():
-                at = np.flatnonzero(letters)
+            if model.languages and lettered.any():
+                at = np.flatnonzero(lettered)
                 raw = SHARPNESS * model.scores([grams(texts[i]) for i in at]).astype(float)
                 chances = np.exp(raw - raw.max(axis=1, keepdims=True))
                 chances /= chances.sum(axis=1, keepdims=True)
                 best[at], score[at] = chances.argmax(axis=1), chances.max(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != letters]
+            kept = [n for n in batch.schema.names if n != letters]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs, from the text alone.
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id (keep: all columns of docs), lang_pred, score for every row of docs, from the text alone.
 
     Null texts and texts without a letter get `und` and score 0, and so does everything if nothing could be learned.
-    Ties go to the language that comes first. Repeated rows get equal results; other columns aren't read. The model,
-    whose size is bounded, goes with the function to the tasks.
+    Ties go to the language that comes first. Repeated rows get equal results; columns of docs named lang_pred or score
+    are replaced; an empty table gives an empty table. The model, whose size is bounded, goes with the function to the
+    tasks.
     """
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), letters.alias("letters"))
-    return source.mapInArrow(functools.partial(_predicted, model=model), "doc_id long, lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score") if keep else docs.select(doc_id, text)
+    letters = column_name(docs, "letters")
+    source = docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = source.mapInArrow(functools.partial(_predicted, model=model, text=text, letters=letters), f"{schema}, lang_pred string, score double")
+    return out if keep else out.select(doc_id, "lang_pred", "score")
 
 
 def remainder(doc_id, n: int):
