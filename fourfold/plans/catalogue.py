@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fourfold.plans import q_pileup
+
 #: Modules with QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES: list = []
+MODULES = [q_pileup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
