@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fourfold.plans import q_linkage, q_pileup
+from fourfold.plans import q_codec, q_linkage, q_model, q_pileup
 
 #: Modules with QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES = [q_pileup, q_linkage]
+MODULES = [q_pileup, q_linkage, q_model, q_codec]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,7 +127,7 @@ sup as (select region, site, s1, s2 from (select *, bool_or(good) over (partitio
 STEP_SQL = f"""{SNP_SQL},
 stp as (select region, first_pos as start, max(last_pos - first_pos + 1) as span, row_number() over (partition by region order by first_pos) - 1 as t from reads group by region, first_pos),
 loc as (select p.region, t, min(site) as first_site, max(site) as last_site from stp p join snp s on s.region = p.region and s.ref_pos >= start and s.ref_pos < start + span group by all),
-par as (select b.region, b.t, b.first_site, b.last_site, a.t as parent_t, least(a.last_site, b.last_site) - b.first_site + 1 as overlap,
+par as (select b.region, b.t, b.first_site, b.last_site, a.t as parent_t, case when a.t is not null then least(a.last_site, b.last_site) - b.first_site + 1 end as overlap,
   row_number() over (partition by b.region, b.t order by least(a.last_site, b.last_site) desc, a.t) as r
   from loc b left join loc a on a.region = b.region and a.t < b.t and a.last_site >= b.first_site),
 parent as (select * from par where r = 1)"""
