@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Options:
-    """Shares are between 0 and 1. None switches a filter off."""
+    """Shares are between 0 and 1. None switches a filter off. min_pair_reads: reads that must carry two neighbouring alleles for them to count as linked."""
 
     majority: float = 0.9
     cut_off: float = 0.0
@@ -36,6 +36,7 @@ class Options:
     tol: float = 1e-5
     seed: int = 0
     max_states: int = 10_000
+    min_pair_reads: int = 1
 
     def having(self, **values) -> Options:
         """A copy with other values; unknown names and values of another type are errors."""
