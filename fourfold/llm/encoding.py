@@ -27,19 +27,19 @@ def viterbi(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.
     """Best paths of words of one length (rows of code points): piece codes of all words in a row, and how many each has.
 
     A code is a piece's id, or -1 - c for a character c that no piece covers. Of equal scores the path whose last piece
-    starts earliest wins; scores add up in single precision along a word, as in the library.
+    starts earliest wins; scores add up in double precision, in which the sums of a word are exact for whole scores.
     """
     n, size = points.shape
     ids, scores = probe(vocabulary, points)
     most = ids.shape[2]
     uncovered = ids[:, :, 0] < 0
     scores[:, :, 0] = np.where(uncovered, np.float32(vocabulary.unknown_score), scores[:, :, 0])
-    best = np.zeros((n, size + 1), dtype=np.float32)
+    best = np.zeros((n, size + 1))
     back = np.zeros((n, size + 1), dtype=np.int32)
     rows = np.arange(n)
     for end in range(1, size + 1):
         starts = np.arange(max(0, end - most), end)
-        reached = best[:, starts].astype(np.float64) + scores[:, starts, end - starts - 1]
+        reached = best[:, starts] + scores[:, starts, end - starts - 1]
         first = reached.argmax(axis=1)
         best[:, end] = reached[rows, first]
         back[:, end] = end - starts[first]

@@ -6,6 +6,7 @@ An Aho-Corasick automaton lists the pieces that end at each character of a word,
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,28 +41,27 @@ class Counter:
         self.memo: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """Pieces on the best path; ties go to the piece that starts earliest, sums are in single precision."""
+        """Pieces on the best path; ties go to the piece that starts earliest, sums are in double precision."""
         size = len(word)
-        best, count = np.full(size + 1, -np.inf, dtype=np.float32).tolist(), [0] * (size + 1)
+        best, count = [-math.inf] * (size + 1), [0] * (size + 1)
         best[0] = 0.0
         single, unknown, done = self.single, self.unknown, 0
-        rounded = np.float32
         for end, (length, score) in self.find(word):
             while done < end:  # characters before this one that no piece covers alone
                 if word[done] not in single:
                     reached = best[done] + unknown
                     if reached > best[done + 1]:
-                        best[done + 1], count[done + 1] = float(rounded(reached)), count[done] + len(word[done].encode("utf-8", "surrogatepass"))
+                        best[done + 1], count[done + 1] = reached, count[done] + len(word[done].encode("utf-8", "surrogatepass"))
                 done += 1
             start = end + 1 - length
             reached = best[start] + score
             if reached > best[end + 1]:
-                best[end + 1], count[end + 1] = float(rounded(reached)), count[start] + 1
+                best[end + 1], count[end + 1] = reached, count[start] + 1
         while done < size:
             if word[done] not in single:
                 reached = best[done] + unknown
                 if reached > best[done + 1]:
-                    best[done + 1], count[done + 1] = float(rounded(reached)), count[done] + len(word[done].encode("utf-8", "surrogatepass"))
+                    best[done + 1], count[done + 1] = reached, count[done] + len(word[done].encode("utf-8", "surrogatepass"))
             done += 1
         return count[size]
 

@@ -1,0 +1,464 @@
+"""Each operator against a brute-force version on a small table, and on odd inputs."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fourfold.llm import classifier, common, encoding, language, linededup, mixing, neardup, neighbours, pieces, queries, rules, sharding, tokencount
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("key", "size", "part", "shard", "slot", "copies", "letters", "n_lines", "n_kept", "ids", "score", "lang_pred", "kept", "doc", "n_tokens", "decoded", "target")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and blank texts, repeated rows, ties, a very long text and a long word, with clashing columns."""
+    words = [f"w{i % 97}x{i % 31}" for i in range(60_000)]
+    rows = [
+        (1, "The one and only line of this text has more than eight words\nand a second", "en", "a", 1),
+        (1, "The one and only line of this text has more than eight words\nand a second", "en", "a", 1),
+        (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \t\n\x0b ", "en", None, 5), (None, "an id that is null, and some more words to fill it up", "en", "b", 3),
+        (5, " ".join(words), "en", "b", 1), (6, "x" * 300_000, None, "c", 1), (7, "1234 5678 !!!", "de", "c", 1), (8, "Ünïcödé 漢字 😀\n\nend", "de", "\U0001f600", 9),
+        (9, "The one and only line of this text has more than nine words\nand a third", "en", "a", 1),
+    ]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    return frame.withColumns({c: F.lit(7) for c in CLASHING})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+
+
+def fold(b):
+    return re.sub(rb"[A-Z]", lambda m: m[0].lower(), b)
+
+
+def test_word_splitting_and_hashes():
+    texts = [b"a bc  d", None, b"", b" \n", "é x y".encode(), b"bc", b"BC", b"a" * 100_000 + b" a"]
+    w = common.Words(texts)
+    assert w.counts().tolist() == [3, 0, 0, 0, 2, 1, 1, 2]
+    plain, folded = w.hashes(), w.hashes(fold=True)
+    assert plain[1] == plain[5] != plain[6] and folded[5] == folded[6]
+    flat = [x for t in texts for x in words_of((t or b"").decode())]
+    assert len(set(flat)) == len(set(plain.tolist()))
+
+
+def test_quality_rules_base_counts(spark, docs, odd, none, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    for frame in (docs, odd):
+        got = rules.quality_rules(frame, labels).collect()
+        assert len(got) == frame.count()
+        want = collections.Counter()
+        for r in frame.select("doc_id", "text").collect():
+            w, text = words_of(r["text"]), r["text"] or ""
+            lines = [x for x in text.split("\n") if words_of(x)]
+            grams = collections.defaultdict(list)
+            for i in range(len(w) - 7):
+                grams[tuple(w[i : i + 8])].append(i)
+            covered = {k for at in grams.values() if len(at) > 1 for i in at for k in range(i, i + 8)}
+            chars = sum(len(x.decode()) for x in w)
+            n = len(w)
+            want[(r["doc_id"], n, chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n)] += 1
+        assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
+        assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert rules.quality_rules(none, labels).count() == 0
+
+
+def test_quality_rules_verdict(spark, sf_dir):
+    got = queries.queries()["op1_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
+    both = got[~got.base_failed].merge(labels, on="doc_id")
+    assert both[both.quality == 1].kept.all()
+    assert both[both.quality == 0].kept.mean() < 0.4
+    again = queries.queries()["op1_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+
+
+def test_log_ratios_against_counting(spark):
+    texts = [("a b a", True), ("b c", False), ("a", True)]
+    got = rules.log_ratios(spark.createDataFrame(texts, "text string, trusted boolean"))
+    raw, target = collections.Counter(), collections.Counter()
+    for t, good in texts:
+        _, bins = rules.gram_bins(common.Words([t.encode()]))
+        raw.update(bins.tolist())
+        if good:
+            target.update(bins.tolist())
+    for b in raw:
+        p = (target[b] + 1) / (sum(target.values()) + rules.BINS)
+        q = (raw[b] + 1) / (sum(raw.values()) + rules.BINS)
+        assert got[b] == pytest.approx(math.log(p / q))
+
+
+def test_language_kernel_against_sets():
+    texts = [b"the cat sat on the mat", b"le chat est sur la table", b"the dog", b"la table"]
+    found = [language.grams(t) for t in texts]
+    model = language.fit(found, ["en", "fr", "en", "fr"])
+
+    def kernel(x, y):
+        total = 0.0
+        for n in (1, 2, 3):
+            a, b = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (x, y))
+            total += len(a & b) / math.sqrt(len(a) * len(b)) / 3
+        return total
+
+    marks = [texts[i] for i in (0, 2, 1, 3)]
+    assert np.abs(model.kernel(found) - np.array([[kernel(x, m) for m in marks] for x in texts])).max() < 1e-5
+    assert (model.scores(found).argmax(axis=1) == [0, 1, 0, 1]).all()
+
+
+def test_language_id(spark, odd, none):
+    got = queries.queries()["op2_language_id"](spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    both = got.merge(docs, on="doc_id")
+    assert (both[both.held_out].lang == both[both.held_out].lang_pred).mean() > 0.98
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out, strict=True))
+    assert got.score.between(0, 1).all()
+    model = language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = language.predict(odd, model).collect()
+    assert len(rows) == odd.count()
+    found = collections.defaultdict(set)
+    for r in rows:
+        found[r["doc_id"]].add((r["lang_pred"], r["score"]))
+    assert all(len(v) == 1 for v in found.values())
+    assert {i for i, v in found.items() if {x for x, _ in v} == {"und"}} == {2, 3, 4, 7}
+    assert language.predict(none, model).count() == 0
+    unlearned = language.predict(odd, language.learn(none)).select("lang_pred").distinct().collect()
+    assert [r[0] for r in unlearned] == ["und"]
+    assert "size" in language.predict(odd, model, keep=True).columns
+
+
+def edit(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def brute_lines(rows):
+    """The text that each document keeps, by comparing every line with every earlier one."""
+    seen, by_length, out = set(), collections.defaultdict(list), []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        if text is None:
+            out.append((doc, None))
+            continue
+        keep, own = [], []
+        for line in text.encode().split(b"\n"):
+            w = tuple(fold(line).split())
+            gone = bool(w) and (w in seen or (len(w) >= 8 and any(len(set(w) ^ set(v)) <= 4 and edit(w, v) <= 1 for n in (len(w) - 1, len(w), len(w) + 1) if n >= 8 for v in by_length[n])))
+            if w and w not in seen:
+                seen.add(w)
+                by_length[len(w)].append(w)
+            if not gone:
+                keep.append(line)
+            own.append(w)
+        out.append((doc, b"\n".join(keep).decode()))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark, docs):
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs).select("doc_id", "text").collect())
+    assert got == sorted(brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()]))
+
+
+def test_line_dedup_made_up(spark, odd, none):
+    base = [f"t{i}" for i in range(12)]
+    lines = [base, base[:5] + base[6:], base[:5] + ["new"] + base[5:], base[:3] + ["x"] + base[4:], ["y"] + base[1:5] + ["z"] + base[6:], base[:7], base[:6] + ["q"]]
+    rows = [(i, "\n".join([" ".join(x), "", "own %d" % i])) for i, x in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0], r[1]) for r in linededup.dedup_lines(frame).select("doc_id", "text").collect())
+    assert got == sorted(brute_lines(rows))
+    assert linededup.dedup_lines(none).count() == 0
+    out = linededup.dedup_lines(odd).collect()
+    assert len(out) == odd.count()
+    by = {r["doc_id"]: r for r in out}
+    assert by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == " \t\n\x0b "
+    assert by[9]["text"] == "and a third" and by[1]["n_kept"] == 2 and by[8]["text"] == "Ünïcödé 漢字 😀\n\nend"
+
+
+def test_within_one():
+    for a in ("a b c", "a", "", "a b"):
+        for b in ("a b c", "b c", "a x c", "a b c d", "c b a", ""):
+            assert linededup.within_one(a.split(), b.split()) == (edit(a.split(), b.split()) <= 1)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.load()
+
+
+def unigram_library():
+    """The library on the same pieces and scores, with the file's type set to unigram."""
+    import sentencepiece
+
+    raw = open(pieces.MODEL, "rb").read()
+    at = raw.index(b"\x18\x02\x20", raw.rindex(b"\x12\xe8\x01"))
+    return sentencepiece.SentencePieceProcessor(model_proto=raw[:at] + b"\x18\x01" + raw[at + 2 :])
+
+
+def test_encoding_is_the_best_path(docs, model):
+    """As good as the library's n-best search on every word, and the same wherever the best path is the only one."""
+    sp, enc = unigram_library(), encoding.Encoder(model)
+    words = sorted({w for r in docs.limit(60).collect() for w in r["text"].split()})[:4000]
+    ids, bounds = enc.encode(words)
+    scores = model.scores.astype(float)
+    for k, w in enumerate(words):
+        own = ids[bounds[k] : bounds[k + 1]].tolist()
+        best = sp.nbest_encode(w, nbest_size=2)
+        unknown = any(i in set(model.byte_ids.tolist()) for i in own + best[0])
+        if unknown:
+            continue
+        assert scores[own].sum() == pytest.approx(scores[best[0]].sum())
+        if len(best) == 1 or scores[best[0]].sum() > scores[best[1]].sum():
+            assert own == best[0]
+
+
+def plain_viterbi(vocabulary, word):
+    """One word, by the rules as they are written."""
+    table = {p: i for i, (p, u) in enumerate(zip(vocabulary.pieces, vocabulary.usable, strict=True)) if u}
+    best, back = [0.0] + [None] * len(word), [None] * (len(word) + 1)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - vocabulary.longest), end):
+            piece = word[start:end]
+            if piece in table:
+                s, code = float(vocabulary.scores[table[piece]]), [table[piece]]
+            elif end - start == 1:
+                s, code = vocabulary.unknown_score, [int(vocabulary.byte_ids[b]) for b in piece.encode()]
+            else:
+                continue
+            if best[end] is None or best[start] + s > best[end]:
+                best[end], back[end] = best[start] + s, (start, code)
+    out, at = [], len(word)
+    while at:
+        start, code = back[at]
+        out = code + out
+        at = start
+    return out
+
+
+def test_encoding_against_plain_viterbi(model, docs, odd):
+    enc, count, dec, library = encoding.Encoder(model), tokencount.Counter(model), encoding.Decoder(model), unigram_library()
+    texts = [r["text"] for r in docs.limit(25).collect()] + [r["text"] for r in odd.filter("doc_id in (2, 3, 4, 8)").collect()] + ["  two  spaces \n\n x", "▁ mark", "$$$ ^^^^ \x00\x01"]
+    ids, bounds = enc.encode(texts)
+    back = dec.decode(ids, bounds)
+    for k, t in enumerate(texts):
+        own = ids[bounds[k] : bounds[k + 1]].tolist()
+        assert own == [i for w in pieces.word_forms(t) for i in plain_viterbi(model, w)]
+        assert count.text(t) == len(own)
+        if t and "▁" not in t:
+            assert back[k].decode() == t == library.decode(own)
+
+
+def test_encode_and_decode_frames(spark, odd, none, model):
+    out = encoding.encode(odd, vocabulary=model)
+    rows = out.select("doc_id", "text", "n_pieces", "ids", "ids_crc32", "round_trip").collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        assert r["n_pieces"] == len(r["ids"]) and r["round_trip"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<i4").tobytes())
+    texts = {(r["doc_id"], r["text"] or "", r["decoded"]) for r in encoding.decode(out, vocabulary=model).select("doc_id", "text", "decoded").collect()}
+    assert all(a == b for _, a, b in texts)
+    counted = tokencount.count_tokens(odd, vocabulary=model).select("doc_id", "n_tokens").collect()
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in counted) == collections.Counter((r["doc_id"], r["n_pieces"]) for r in rows)
+    assert encoding.encode(none, vocabulary=model).count() == 0 and tokencount.count_tokens(none, vocabulary=model).count() == 0
+
+
+def test_sharding(spark, docs, odd, none):
+    for frame in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
+        out = sharding.histogram_shards(frame).toPandas()
+        assert len(out) == frame.count()
+        sizes = [len((t or "").encode()) + 16 for t in out.text]
+        assert (out["size"] == sizes).all()
+        assert all(c == zlib.crc32((t or "").encode()) for c, t in zip(out.text_crc32, out.text, strict=True))
+        assert out.shard.between(0, 39).all()
+        for _, g in out.groupby("shard"):
+            assert sorted(g.slot) == list(range(len(g)))
+        bytes_ = out.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
+        ends = bytes_.cumsum()
+        share, largest = out["size"].sum() / 40, out["size"].max()
+        assert (np.abs(ends.to_numpy() - share * np.arange(1, 41))[:-1] <= largest / 2 + share * sharding.TOLERANCE + 400).all()
+    assert sharding.histogram_shards(none).count() == 0
+
+
+def test_splitters_go_through_a_group_of_copies(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one text for all of them").alias("text"))
+    out = sharding.histogram_shards(rows).groupBy("shard").count().collect()
+    assert len(out) == 40 and max(r["count"] for r in out) <= 60
+
+
+def test_mixing(spark, odd, none):
+    out = mixing.with_copies(odd).select("doc_id", "text", "source", "size", "source_size", F.col("target").alias("t"), "copies").collect()
+    assert len(out) == odd.count()
+    sizes = collections.Counter()
+    for r in out:
+        assert r["size"] == len(words_of(r["text"]))
+        sizes[r["source"]] += r["size"]
+    assert all(r["source_size"] == sizes[r["source"]] and 0 <= r["copies"] <= 3 for r in out)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    want, free, total = {}, set(order), sum(sizes.values())
+    left = total
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        if not full:
+            want |= {s: level * weight[s] for s in free}
+            break
+        want |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3 * sizes[s] for s in full)
+        free -= full
+    assert all(r["t"] == pytest.approx(want[r["source"]]) for r in out)
+    assert mixing.with_copies(none).count() == 0 and mixing.mix(none).count() == 0
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns
+    assert mixed.count() == sum(r["copies"] for r in out)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    out = mixing.with_copies(rows).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+    assert all(abs(r["n"] / r["t"] - 1) < 0.05 for r in out)
+
+
+def test_classifier(spark, odd, none):
+    got = queries.queries()["op8_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
+    both = got.merge(labels, on="doc_id")
+    held = both[both.held_out]
+    assert (held.predicted == held.quality).mean() > 0.95
+    assert ((got.score >= 0.5).astype(int) == got.predicted).all() and got.score.between(0, 1).all()
+    x = np.random.default_rng(0).random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # only a pair tells
+    m = classifier.fit(x, y)
+    assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.9
+    by_hand = m.start + sum(t[b] for t, b in zip(m.tables, m.bins(x[:1])[0], strict=True)) + sum(g[m.bins(x[:1])[0][i] // 4, m.bins(x[:1])[0][j] // 4] for (i, j), g in zip(m.pairs, m.grids, strict=True))
+    assert m.margin(x[:1])[0] == pytest.approx(by_hand)
+    assert classifier.classify(odd, classifier.Model()).filter("score <> 0.5").count() == 0
+    assert classifier.classify(odd, classifier.fit(classifier.features([b"a b", b"$$$", None, b""]), np.array([1.0, 0, 1, 0]))).count() == odd.count()
+    assert classifier.classify(none, classifier.Model()).count() == 0
+
+
+def brute_components(rows):
+    sets = {}
+    for doc, text in rows:
+        w = words_of(fold((text or "").encode()).decode())
+        sets[doc] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        shared = collections.Counter(h for g in s for h in holders[g])
+        for h, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[h]) - n):
+                a, b = sorted((root(d), root(h)))
+                parent[b] = a
+        for g in s:
+            holders[g].append(d)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_near_duplicates_against_brute_force(spark, docs):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_near_duplicates_large_group(spark):
+    """One group of near copies too large for a small node, chains, and unrelated texts."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.choice(150, 3, replace=False):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(400, 700):
+        rows.append((i, " ".join(f"u{i}_{k}" for k in range(60))))
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(700, 712):
+        chain = chain[3:] + [f"d{i}_{k}" for k in range(3)]
+        rows.append((i, " ".join(chain)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_odd(spark, odd, none):
+    rows = neardup.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    by = {r["doc_id"]: r for r in rows}
+    assert all(by[i]["n_shingles"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in (2, 3, 4))
+    assert by[6]["n_shingles"] == 1 and by[None]["component_id"] is None
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (103, 200)]
+    got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 103, 105, 200)}
+
+
+def test_hilbert_curve_is_a_walk():
+    cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
+    keys = neighbours.hilbert(cells, 3)
+    assert sorted(keys.tolist()) == list(range(512))
+    path = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def brute_nearest(rows, queries_, k):
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
+    out = {}
+    for q, x in good:
+        if q in queries_:
+            near = sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, v in good if i != q)[:k]
+            out[q] = [(i, d) for d, i in near]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(30)]
+    rows += [(i, rows[0][1]) for i in range(30, 60)]  # one vector many times: ties by id
+    rows += [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0, 0, 0, 0]), (103, [float("nan")] * 6), (104, []), (None, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("curve", F.lit(2))
+    as_float = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
+    asked = frame.filter("vec_id % 10 = 0")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(frame, asked).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = brute_nearest(as_float, {i for i in range(0, 60, 10)}, 10)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(a[1] == b[1] for q in want for a, b in zip(got[q], want[q], strict=True))
+    assert neighbours.nearest_neighbours(frame.filter("false"), asked.filter("false")).count() == 0
+
+
+def test_neighbours_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest_neighbours(frame, frame.filter("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = brute_nearest([(r["vec_id"], r["embedding"]) for r in rows], {r["vec_id"] for r in rows if r["vec_id"] % 100 == 0}, 10)
+    assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(len(v) for v in want.values()) >= 0.9
