@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from .common import slices
 from .pieces import Vocabulary, load, word_forms
 
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 _built: dict[tuple, ahocorasick.Automaton] = {}
+_memos: dict[tuple, dict[str, int]] = {}
 
 
 def automaton(vocabulary: Vocabulary) -> ahocorasick.Automaton:
@@ -34,45 +35,53 @@ def automaton(vocabulary: Vocabulary) -> ahocorasick.Automaton:
 
 
 class Counter:
+    """Counts with a memo that lives as long as the worker; when it is full, words that came first, mostly frequent ones, stay."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.find = automaton(vocabulary).iter
         self.single = {p for p, u in zip(vocabulary.pieces, vocabulary.usable, strict=True) if u and len(p) == 1}
         self.unknown = vocabulary.unknown_score
-        self.memo: dict[str, int] = {}
+        self.memo = _memos.setdefault(vocabulary.name, {})
 
     def word(self, word: str) -> int:
         """Pieces on the best path; ties go to the piece that starts earliest, sums are in double precision."""
         size = len(word)
         best, count = [-math.inf] * (size + 1), [0] * (size + 1)
         best[0] = 0.0
-        single, unknown, done = self.single, self.unknown, 0
+        if self.single.issuperset(word):
+            for end, (length, score) in self.find(word):
+                start = end + 1 - length
+                reached = best[start] + score
+                if reached > best[end + 1]:
+                    best[end + 1] = reached
+                    count[end + 1] = count[start] + 1
+            return count[size]
+        done = 0
+
+        def uncovered(stop: int) -> None:
+            """Steps over characters up to `stop` that no piece covers alone: as many pieces as bytes."""
+            for k in range(done, stop):
+                if word[k] not in self.single and best[k] + self.unknown > best[k + 1]:
+                    best[k + 1], count[k + 1] = best[k] + self.unknown, count[k] + len(word[k].encode("utf-8", "surrogatepass"))
+
         for end, (length, score) in self.find(word):
-            while done < end:  # characters before this one that no piece covers alone
-                if word[done] not in single:
-                    reached = best[done] + unknown
-                    if reached > best[done + 1]:
-                        best[done + 1], count[done + 1] = reached, count[done] + len(word[done].encode("utf-8", "surrogatepass"))
-                done += 1
+            uncovered(end)
+            done = max(done, end)
             start = end + 1 - length
             reached = best[start] + score
             if reached > best[end + 1]:
                 best[end + 1], count[end + 1] = reached, count[start] + 1
-        while done < size:
-            if word[done] not in single:
-                reached = best[done] + unknown
-                if reached > best[done + 1]:
-                    best[done + 1], count[done + 1] = reached, count[done] + len(word[done].encode("utf-8", "surrogatepass"))
-            done += 1
+        uncovered(size)
         return count[size]
 
     def text(self, text: str | None) -> int:
         memo, total = self.memo, 0
-        if len(memo) > REMEMBERED:
-            memo.clear()
         for w in word_forms(text):
             n = memo.get(w)
             if n is None:
-                n = memo[w] = self.word(w)
+                n = self.word(w)
+                if len(memo) < REMEMBERED:
+                    memo[w] = n
             total += n
         return total
 
