@@ -10,22 +10,23 @@ from fourfold.plans.options import Options
 GAP = -1
 
 
-def _two(counts: Column, options: Options) -> tuple[Column, Column]:
-    """Kept nucleotides: the two most frequent, the higher code on a tie; as (first, second) in order of codes."""
-    ranked = F.slice(F.reverse(F.array_sort(F.filter(counts, lambda x: x["n"] > 0))), 1, 2)
+def _most_frequent(counts: Column, many: int) -> list[Column]:
+    """The most frequent nucleotides, the higher code on a tie, in order of codes."""
+    ranked = F.slice(F.reverse(F.array_sort(F.filter(counts, lambda x: x["n"] > 0))), 1, many)
     kept = F.array_sort(F.transform(ranked, lambda x: F.struct(x["nuc"].alias("nuc"), x["n"].alias("n"))))
-    return F.get(kept, F.lit(0)), F.get(kept, F.lit(1))
+    return [F.get(kept, F.lit(k)) for k in range(many)]
 
 
 def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | None = None) -> DataFrame:
     """sites (n0 to n3, n_del, depth) with site_class, a0, a1, major, minor and n_states.
 
     symbol: a column with M, I or J for each universal column; M everywhere without it. Classes: mono, two, perm_two,
-    two_het (two and the double heterozygotes), gap2, gap4, empty.
+    two_het (two and the double heterozygotes), gap2, gap4, empty. With third_nuc a site of three nucleotides or more
+    also gets triple (the nucleotides) and n_triple (4 or 12 states more, which stand first).
     """
     o = options or Options()
     counts = F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(k).alias("nuc")) for k in range(4)])
-    first, second = _two(counts, o)
+    first, second = _most_frequent(counts, 2)
     out = sites.withColumn("_x", first).withColumn("_y", second)
     n1, n2 = F.coalesce(F.col("_x.n"), F.lit(0)), F.coalesce(F.col("_y.n"), F.lit(0))
     a0, a1 = F.col("_x.nuc"), F.col("_y.nuc")
@@ -45,7 +46,19 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     out = out.withColumn("site_class", label)
     states = F.create_map(*[F.lit(x) for kv in (("mono", 1), ("two", 2), ("perm_two", 6), ("two_het", 6), ("gap2", 2), ("gap4", 4), ("empty", 1)) for x in kv])
     out = out.withColumns({"a0": a0, "a1": a1, "major": major, "minor": F.when(n1 >= n2, a1).otherwise(a0), "n_states": F.element_at(states, F.col("site_class"))})
-    return out.drop("_x", "_y")
+    out = out.drop("_x", "_y")
+    if not o.third_nuc:
+        return out
+    three = _most_frequent(counts, 3)
+    n = [t["n"] for t in three]
+    total, most = n[0] + n[1] + n[2], F.greatest(*n)
+    top = F.when(n[0] == most, 0).when(n[1] == most, 1).otherwise(2)
+    rest = (total - most) / most
+    clear = rest.between(2 - o.left_range, o.left_range) | (most / total >= o.two_hap)
+    has = three[2].isNotNull() & ~gapped
+    triple = F.when(has, F.array(*[t["nuc"] for t in three]))
+    out = out.withColumns({"triple": triple, "n_triple": F.when(has, F.when(clear, 4).otherwise(12)).otherwise(0), "top": F.when(has, top)})
+    return out.withColumn("n_states", F.col("n_states") + F.col("n_triple"))
 
 
 def site_states(calls: DataFrame) -> DataFrame:
@@ -65,5 +78,14 @@ def site_states(calls: DataFrame) -> DataFrame:
         .when(F.col("site_class") == "gap4", rows((g, g, a, b), (g, g, b, a), (a, b, g, g), (b, a, g, g)))
         .otherwise(rows((g, g, g, g)))
     )
+    if "triple" in calls.columns:
+        n = [F.col("triple")[k] for k in range(3)]
+
+        def four(u, v, big):
+            return ((u, v, big, big), (v, u, big, big), (big, big, u, v), (big, big, v, u))
+
+        every = rows(*four(n[1], n[2], n[0]), *four(n[1], n[0], n[2]), *four(n[2], n[0], n[1]))
+        one = F.when(F.col("top") == 0, rows(*four(n[1], n[2], n[0]))).when(F.col("top") == 1, rows(*four(n[0], n[2], n[1]))).otherwise(rows(*four(n[0], n[1], n[2])))
+        table = F.when(F.col("n_triple") == 12, F.concat(every, table)).when(F.col("n_triple") == 4, F.concat(one, table)).otherwise(table)
     out = calls.select("region", "ref_pos", F.posexplode(table).alias("state_idx", "s"))
     return out.select("region", "ref_pos", "state_idx", *[F.col("s")[k].alias(f"h{k}") for k in range(4)])

@@ -142,6 +142,17 @@ def test_double_heterozygotes(spark):
     assert states[2:] == [(0, 1, 1, 0), (0, 1, 0, 1), (1, 0, 0, 1), (1, 0, 1, 0)]
 
 
+def test_third_nucleotide(spark):
+    o = Options(third_nuc=1)
+    label, states = site(spark, (5, 3, 0, 3), options=o)
+    assert label == "perm_two" and len(states) == 10
+    assert states[:4] == [(1, 3, 0, 0), (3, 1, 0, 0), (0, 0, 1, 3), (0, 0, 3, 1)]
+    label, states = site(spark, (4, 4, 4, 0), options=o)
+    assert len(states) == 14
+    assert states[:12:4] == [(1, 2, 0, 0), (1, 0, 2, 2), (2, 0, 1, 1)]
+    assert site(spark, (5, 5, 0, 0), options=o)[1] == [(0, 0, 1, 1), (1, 1, 0, 0)]
+
+
 def test_combinations_of_a_window():
     two = [[0, 0, 1, 1], [1, 1, 0, 0]]
     window = [{"states": two, "pairs": [{"s1": 0, "s2": 0}, {"s1": 1, "s2": 1}]}, {"states": two, "pairs": None}, {"states": two, "pairs": None}]
