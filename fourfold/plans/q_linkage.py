@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fourfold.operators import linkage, pileup, sites, steps
+from fourfold.operators import impute, linkage, pileup, sites, steps
 from fourfold.plans.q_pileup import LOW, MASK, SITES_SQL
 from fourfold.plans.views import table, tetra
 
@@ -41,6 +41,12 @@ def distinct_linkage_rows(spark, sf_dir):
     return _patterns(spark, sf_dir)
 
 
+def imputed_linkage_rows(spark, sf_dir):
+    """Distinct patterns with their missing alleles filled; a search for best paths, so without SQL."""
+    link = _link(spark, sf_dir)[0]
+    return impute.impute(linkage.patterns(link), link, linkage.adjacent_pairs(link))
+
+
 def contained_linkage_rows(spark, sf_dir):
     return linkage.contained(_patterns(spark, sf_dir))
 
@@ -103,7 +109,7 @@ def weighted_group_sum(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("w"), F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, step_parent_asof, block_ids, state_space_size, weighted_group_sum)}
+QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, imputed_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, step_parent_asof, block_ids, state_space_size, weighted_group_sum)}
 
 SNP_SQL = f"""{SITES_SQL},
 snp as (select region, ref_pos, a0, a1, major, minor, site_class, case site_class when 'two' then 2 else 6 end as n_states, row_number() over (partition by region order by ref_pos) - 1 as site from calls where site_class <> 'mono'),
