@@ -447,7 +447,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(30)]
     rows += [(i, rows[0][1]) for i in range(30, 60)]  # one vector many times: ties by id
-    rows += [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0, 0, 0, 0]), (103, [float("nan")] * 6), (104, []), (None, [1.0] * 6)]
+    rows += [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [float("nan")] * 6), (104, []), (None, [1.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("curve", F.lit(2))
     as_float = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
     asked = frame.filter("vec_id % 10 = 0")
