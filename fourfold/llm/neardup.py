@@ -4,19 +4,21 @@ Each document is a set of word shingles, and the sets' minwise tokens (one for e
 branches by. In every tree a document goes from a node to one or two children: the node's own hash picks a position of
 the signature, and the token there names the child, so two documents of similarity s go the same way with probability
 s. With 1 / threshold children on average a pair at the threshold survives any depth with a fair chance, and independent
-trees raise the recall to 1 - (1 - chance)**trees. A node that is small is compared exhaustively. A larger one is
-compared with a leader, and all its members go down further, as deep as the node's size asks, to nodes in which each
-member meets its closest ones. Links are confirmed on the full sets of shingles, and components are the smallest ids
-reachable.
+trees raise the recall to 1 - (1 - chance)**trees. A node that is small is compared exhaustively. In a larger one links
+with a leader are confirmed first. A node whose members are in one component by then has nothing more to say and goes;
+any other branches on in the same way, until its nodes are small, or all but a few of its members are in one component
+and those few are compared with all. Links are confirmed on the full sets of shingles, and components are the smallest
+ids reachable.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, as_bytes, cut, mix, ngram_hashes, slices
@@ -27,9 +29,12 @@ POSITIONS = 128
 TREES = 16
 NODE = 32
 DEPTH = 2
-#: From a large node each member goes on along so many paths, down to nodes of about BLOCK members; SHRINK: how much
-#: of a node of near copies is left a level deeper. There each member is paired with so many closest ones.
-PATHS, BLOCK, SHRINK, CLOSEST = 3, 64, 0.7, 2
+#: A large node is compared exhaustively, too, where so few members are outside its largest component. LAST: a node so
+#: deep that is still large (equal signatures of unlike sets) is compared exhaustively, whatever its size. STEP: levels
+#: between two looks at the components.
+FEW, LAST, STEP = 32, 40, 2
+#: Leaders whose links with a member are confirmed before its nodes branch on; those most like it.
+LEADERS = 2
 #: A pair is looked at in full if so many of the 128 tokens agree; 4.5 standard deviations under the threshold.
 AGREE = 74
 _SALT = mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -72,13 +77,12 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
 
 
-def branch(path: np.ndarray, rows: np.ndarray, tokens: np.ndarray, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Children of nodes: path and the row of `tokens` for each way that a document goes on; once: one way only."""
+def branch(path: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Children of nodes: path and the row of `tokens` for each way that a document goes on."""
     # 1 / threshold children on average: one, and a second in a third of the nodes.
-    if not once:
-        second = mix(path ^ _SALT[1]) < np.uint64((1 << 64) * (100 - PERCENT) // PERCENT)
-        path = np.concatenate([path, path[second] ^ _SALT[2]])
-        rows = np.concatenate([rows, rows[second]])
+    second = mix(path ^ _SALT[1]) < np.uint64((1 << 64) * (100 - PERCENT) // PERCENT)
+    path = np.concatenate([path, path[second] ^ _SALT[2]])
+    rows = np.concatenate([rows, rows[second]])
     at = (mix(path ^ _SALT[3]) % np.uint64(POSITIONS)).astype(np.int64)
     token = tokens[rows, at].astype(np.uint64) | (at.astype(np.uint64) << np.uint64(16))
     return mix(path ^ mix(token + _SALT[4])), rows
@@ -102,41 +106,14 @@ def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[rows], pa.int64())], names=["path", "rep"])
 
 
-def _deeper_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, rep, sig, n) -> (path, rep, sig): PATHS paths down from each node, deeper the larger the node is."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tokens, n = _matrix(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
-        levels = np.maximum(1, np.ceil(np.log(n / BLOCK) / -np.log(SHRINK))).astype(int)
-        for turn in range(PATHS):
-            path = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) + _SALT[6 + turn])
-            for level in range(levels.max()):
-                on = np.flatnonzero(levels > level)
-                path[on] = branch(path[on], on, tokens, once=True)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1), batch.column(2)], names=["path", "rep", "sig"])
-
-
-def _closest(table: pa.Table) -> pa.Table:
-    """(rep, sig) of a part of a node -> (a, b, agree): each member with the CLOSEST others whose tokens agree with its own most."""
-    reps, tokens = table.column("rep").to_numpy(), _matrix(table.column("sig"))
-    found = set()
-    for i in range(len(reps)):
-        same = (tokens == tokens[i]).sum(axis=1)
-        same[i] = -1
-        for j in np.lexsort((reps, -same))[:CLOSEST].tolist():
-            if same[j] >= AGREE and reps[i] != reps[j]:
-                found.add((min(int(reps[i]), int(reps[j])), max(int(reps[i]), int(reps[j])), int(same[j])))
-    rows = sorted(found)
-    return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "agree": pa.array([r[2] for r in rows], pa.int32())})
-
-
-def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, rep, sig, n, lead, sig_lead) -> (path, rep, sig, n, lead, agree)."""
+def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, rep, comp, sig) -> (path, rep, comp) STEP levels deeper."""
     for batch in batches:
         if batch.num_rows:
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(5))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(same, pa.int32())], names=["path", "rep", "sig", "n", "lead", "agree"])
+            path, rows, tokens = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(3))
+            for _ in range(STEP):
+                path, rows = branch(path, rows, tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["path", "rep", "comp"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,34 +139,73 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in both], pa.bool_()))
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b: documents (rep, sig) that share a node, and how many of their tokens agree, AGREE at least.
+def _cut(df: DataFrame) -> DataFrame:
+    """As cut, without df's estimated size: a checkpoint keeps it, and in a loop of joins its digits double each time, until planning stands still."""
+    done, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
+def _labelled(rows: DataFrame, of: str, part: DataFrame | None, name: str) -> DataFrame:
+    """rows with the component, so far, of the document in column `of`."""
+    if part is None:
+        return rows.withColumn(name, F.col(of))
+    return rows.join(part.select(F.col("id").alias(of), F.col("component").alias("_c")), of, "left").withColumn(name, F.coalesce("_c", of)).drop("_c")
+
+
+def _apart(pairs: DataFrame, part: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    if part is None:
+        return pairs
+    return _labelled(_labelled(pairs, "a", part, "_ca"), "b", part, "_cb").filter("_ca <> _cb").select(*pairs.columns)
+
+
+def _met(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, agree): the pairs (a, b) of which enough tokens agree."""
+    both = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long, agree int")
 
-    A small node gives all its pairs. A large one gives its members' pairs with a leader, drawn by the node's own hash,
-    and sends every member further down; what comes together there is compared in parts of about BLOCK members, and each
-    member is paired with its closest. All links inside a big group of near copies would be its square; components need
-    some link of each member, and every tree, node and path gives another chance of one. No member is dropped.
+
+def _ordered() -> list[Column]:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+
+def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, agree), a < b: documents (rep, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
+
+    texts gives (id, text) for documents (id). A small node gives all its pairs. In a large one the members' links with
+    a leader, drawn by the node's own hash, are confirmed; then only pairs inside a component go without being compared,
+    as no such link changes a component. Members alike are linked at once, and of members less alike than the threshold
+    fewer than one in 1 / threshold goes the same way, so that the rows shrink from level to level.
     """
-    level = reps.mapInArrow(_first_nodes, "path long, rep long")
-    sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("path", "rep")).alias("lead")).filter("n > 1")
-    nodes = cut(level.join(sizes, "path"))
-    small, large = nodes.filter(F.col("n") <= NODE), nodes.filter(F.col("n") > NODE)
-    members = small.groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("m"))
-    firsts = members.select("m", F.posexplode("m").alias("i", "a"))
-    pairs = firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    out = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long, agree int")
-    if large.isEmpty():
-        return out
-    leaders = large.select("path", "lead").distinct().join(reps.select(F.col("rep").alias("lead"), F.col("sig").alias("sig_lead")), "lead")
-    met = large.select("path", "rep", "n").join(reps, "rep").join(leaders, "path").select("path", "rep", "sig", "n", "lead", "sig_lead")
-    met = cut(met.mapInArrow(_with_leader, "path long, rep long, sig binary, n long, lead long, agree int"))
-    led = met.filter((F.col("agree") >= AGREE) & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), "agree")
-    deep = met.select("path", "rep", "sig", "n").mapInArrow(_deeper_nodes, "path long, rep long, sig binary")
-    parts = deep.select("path").groupBy("path").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = deep.join(parts, "path").withColumn("part", F.pmod(F.xxhash64("path", "rep"), F.col("parts")))
-    near = placed.select("path", "part", "rep", "sig").groupBy("path", "part").applyInArrow(_closest, "a long, b long, agree int")
-    return out.unionByName(led).unionByName(near).distinct()
+    level = reps.mapInArrow(_first_nodes, "path long, rep long").withColumn("comp", F.col("rep"))
+    found, edges, part, held = [], None, None, None
+    for depth in range(DEPTH, LAST + 1, STEP):
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("path", "rep")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        nodes = _cut(level.join(sizes.filter("lo < hi").drop("lo", "hi"), "path"))
+        small, large = nodes.filter(F.col("n") <= NODE), nodes.filter(F.col("n") > NODE)
+        firsts = small.groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("m")).select("m", F.posexplode("m").alias("i", "a"))
+        pairs = firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
+        found.append(_met(_apart(pairs, part), reps))
+        if large.isEmpty():
+            break
+        if held is None:
+            held = _cut(texts(large.select(F.col("rep").alias("id")).distinct()))
+        led = _met(_apart(large.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), part), reps)
+        led = led.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "b")), False), 1, LEADERS).alias("x")).select("a", F.explode("x.b").alias("b"))
+        links = _cut(confirm(led.select(*_ordered()).distinct(), held))
+        if not links.isEmpty():
+            edges = links if edges is None else edges.unionByName(links)
+            part = components(edges)
+        tagged = _cut(_labelled(large.select("path", "rep"), "rep", part, "comp").select("path", "rep", "comp"))
+        counts = tagged.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), (F.sum("n") - F.max("n")).alias("rest"))
+        mixed = _cut(tagged.join(counts.filter("rest > 0"), "path"))
+        done = (F.col("rest") <= FEW) | F.lit(depth == LAST)
+        few, on = mixed.filter(done), mixed.filter(~done)
+        others = few.filter("comp <> top").select("path", F.col("rep").alias("a"), F.col("comp").alias("ca"))
+        crossed = others.join(few.select("path", F.col("rep").alias("b"), F.col("comp").alias("cb"), "top"), "path").filter("ca <> cb and (cb = top or a < b)")
+        found.append(_cut(_met(crossed.select(*_ordered()).distinct(), reps)))
+        level = on.select("path", "rep", "comp").join(reps, "rep").select("path", "rep", "comp", "sig").mapInArrow(_next_nodes, "path long, rep long, comp long")
+    return _apart(functools.reduce(DataFrame.unionByName, found).distinct(), part), edges
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,14 +218,14 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for all ends of the edges (a, b): the smallest id reachable, by spreading minima and skipping ahead."""
     sym = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    sym = cut(sym)
-    labels = cut(sym.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
+    sym = _cut(sym)
+    labels = _cut(sym.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
     total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first()["s"]
     while total is not None:
         near = sym.join(labels, sym.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("step"))
         ahead = labels.select(F.col("id").alias("step"), F.col("component").alias("ahead"))
-        labels = cut(stepped.join(ahead, "step").select("id", F.least("step", "ahead").alias("component")))
+        labels = _cut(stepped.join(ahead, "step").select("id", F.least("step", "ahead").alias("component")))
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first()["s"]
         if now == total:  # labels only fall, so an equal sum means that none has changed
             break
@@ -230,16 +246,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = facts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = cut(classes.filter("rep is not null"))
     reps = classes.select("rep", "sig")
-    pairs = cut(candidate_pairs(reps))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(source.join(ids, source.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), "text"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return source.join(ids, source.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), "text")
+
+    pairs, first = candidate_pairs(reps, texts_of)
+    pairs = cut(pairs)
+    texts = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     # First each document's best pair only: what those join needs no more of the pairs inside.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
     edges = cut(confirm(best, texts))
+    if first is not None:
+        edges = edges.unionByName(first)
     part = components(edges)
-    left = pairs.select("a", "b").join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(best, ["a", "b"], "left_anti")
-    more = cut(confirm(left, texts))
+    more = cut(confirm(_apart(pairs, part).join(best, ["a", "b"], "left_anti"), texts))
     if not more.isEmpty():
         part = components(edges.unionByName(more))
     found = classes.select("k1", "k2", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left")

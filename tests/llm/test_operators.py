@@ -410,6 +410,34 @@ def test_near_duplicates_large_group(spark):
     assert sum(got[i] != want[i] for i in range(400)) <= 6
 
 
+def test_near_duplicates_bridge(spark):
+    """Two tight families that share large nodes and are tied by one pair alone, which is nobody's closest."""
+    rng = np.random.default_rng(11)
+    rows, doc = [], 0
+    for family in range(6):
+        left = [f"f{family}_{i}" for i in range(200)]
+        right = list(left)
+        for k in range(0, 200, 10)[:7]:  # 7 words apart: 0.69
+            right[k + 4] = f"r{family}_{k}"
+        bridge = list(right)
+        for k in (4, 14):  # 5 words apart: 0.77 from the left one, 0.90 from the right one
+            bridge[k] = left[k]
+        for side in (left, right):
+            rows.append((doc, " ".join(side)))
+            doc += 1
+            for _ in range(23):
+                w = list(side)
+                w[100 + rng.integers(100)] = f"n{doc}"
+                rows.append((doc, " ".join(w)))
+                doc += 1
+        if family % 2:
+            rows.append((doc, " ".join(bridge)))
+            doc += 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) == 9
+
+
 def test_near_duplicates_odd(spark, odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
