@@ -167,3 +167,26 @@ def test_options():
         Options().having(nothing=1)
     with pytest.raises(TypeError):
         Options().having(max_iter="a")
+
+
+def test_reads_of_one_start_are_scored_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from fourfold.operators import statespace
+
+    monkeypatch.setattr(statespace, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    reads = [(1, 1, i, -1.0, [(5, rng.normal(size=4).tolist())], [0.25] * 4) for i in range(400)]
+    reads = spark.createDataFrame(reads, "region long, t long, read_id long, base double, lp array<struct<site:long,lp:array<double>>>, eta array<double>")
+    flat = [0, 0, 1, 1, 0, 1, 1, 1]
+    rows = [(1, 1, True, [5], [2], flat, [0, 1]), (1, 2, False, [5], [2], flat, [0, 1])]
+    rows = spark.createDataFrame(rows, "region long, t long, begins boolean, sites array<long>, n_states array<int>, states array<int>, combos array<int>")
+    left, right = statespace._salted(reads, rows)
+    assert max(r["count"] for r in left.groupBy("region", "t", "salt").count().collect()) < 80 and right.count() == 10
+    lp = np.array([r["lp"][0]["lp"] for r in reads.orderBy("read_id").collect()])
+    x = np.stack([np.log(np.exp(lp[:, states]).mean(axis=1)).sum() for states in ([0, 0, 1, 1], [0, 1, 1, 1])])
+    got = {r["t"]: r["emit"] for r in statespace.emissions(reads, rows).collect()}
+    assert np.allclose(got[1], x - np.logaddexp(*x)) and np.allclose(got[2], np.log([0.5, 0.5]))
+    gamma = rows.withColumn("gamma", statespace.F.array(statespace.F.lit(np.log(0.5)), statespace.F.lit(np.log(0.5))))
+    whole = statespace.weights(reads, gamma).filter("site = -1").groupBy("read_id").agg(statespace.F.sum("w").alias("w")).collect()
+    assert len(whole) == 400 and all(abs(r["w"] - 1) < 1e-9 for r in whole)
