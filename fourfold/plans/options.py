@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 
+#: Options of rules that are not built: any value but the default is an error.
+UNBUILT = ("emprical", "sampling", "n_sample", "lower_ab", "single", "no_emi_update", "db_penal")
+
+
 @dataclass(frozen=True)
 class Options:
     """Shares are between 0 and 1. None switches a filter off. min_pair_reads: reads that must carry two neighbouring alleles for them to count as linked."""
@@ -38,6 +42,11 @@ class Options:
     max_states: int = 10_000
     min_pair_reads: int = 1
 
+    def __post_init__(self):
+        for f in fields(self):
+            if f.name in UNBUILT and getattr(self, f.name) != f.default:
+                raise NotImplementedError(f"{f.name} is not built: it takes {f.default} only")
+
     def having(self, **values) -> Options:
         """A copy with other values; unknown names and values of another type are errors."""
         known = {f.name: f for f in fields(self)}
