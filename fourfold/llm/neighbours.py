@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected, shifted and put in the order of a Hilbert curve, several times with other projections and
-shifts. Each order is cut into ranges; a query meets the rows of its own range and of those beside it, in every order,
-and the nearest of all are ranked by exact distances.
+shifts. Each order is cut into ranges; in every order a query meets the `window` rows before it and after it, and the
+nearest of all are ranked by exact distances. How wide the window must be depends on the data, so it is measured: the
+true neighbours of a bounded sample of queries are found by looking at all rows, their exact places in every order are
+counted, and the window is the least number of rows that reaches the wanted share of them.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import Window as W
 
 from .common import cut
 
-CURVES, DIMENSIONS, BITS = 12, 8, 5
-#: Each order has so many ranges; a query meets its own and BESIDE on either side.
-RANGES, BESIDE = 50, 3
-#: Fewer ranges where they would hold fewer rows than this.
-LEAST_ROWS = 40
+CURVES, DIMENSIONS, BITS = 8, 8, 5
 #: Distinct vectors that projections' quantiles and range bounds are fitted on, at most about.
 SAMPLE = 20_000
+#: Queries whose true neighbours decide the window, at most about; the share of these that some window must hold; the
+#: least window.
+PROBED, RECALL, LEAST_WINDOW = 200, 0.94, 100
+#: A range holds about so many rows, or as many as a window if that is more; there are MOST_RANGES in an order at most.
+RANGE_ROWS, MOST_RANGES = 2_000, 4_096
 #: Rows and queries that one task compares at a time, about; larger ranges are split.
 ROWS, QUERIES = 20_000, 5_000
 NEAREST, QUERY_EVERY = 10, 100
@@ -59,11 +62,12 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Projections and shifts of the curves, quantiles for each projected coordinate, bounds of the ranges."""
+    """Projections and shifts of the curves, quantiles for each projected coordinate, sorted keys of the sample, bounds of the ranges."""
 
     projections: list[np.ndarray]
     shifts: list[np.ndarray]
     quantiles: list[np.ndarray]
+    samples: list[np.ndarray]
     bounds: list[np.ndarray]
 
     def keys(self, curve: int, vectors: np.ndarray) -> np.ndarray:
@@ -75,33 +79,32 @@ class Index:
         noise = (np.abs(y.sum(axis=1)) * 1e9).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (hilbert(cells, BITS) << np.uint64(20)) | (noise >> np.uint64(44))
 
-    def ranges(self, curve: int, vectors: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds[curve], self.keys(curve, vectors), side="right")
+    def cut_into(self, ranges: int) -> None:
+        self.bounds = [k[(np.arange(1, ranges) * len(k)) // ranges] for k in self.samples]
 
 
-def fit(sample: np.ndarray, ranges: int, curves: int = CURVES, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, curves: int = CURVES, seed: int = 7) -> Index:
     rng, size = np.random.default_rng(seed), sample.shape[1]
-    index = Index([], [], [], [])
+    index = Index([], [], [], [], [])
     for c in range(curves):
         index.projections.append(np.linalg.qr(rng.normal(size=(size, size)))[0][:, : min(size, DIMENSIONS)])
         index.shifts.append(rng.random(min(size, DIMENSIONS)))
         index.quantiles.append(np.quantile(sample @ index.projections[c], np.linspace(0, 1, 257)[1:-1], axis=0))
-        keys = np.sort(index.keys(c, sample))
-        index.bounds.append(keys[(np.arange(1, ranges) * len(keys)) // ranges])
+        index.samples.append(np.sort(index.keys(c, sample)))
     return index
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _usable(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """(vec_id, embedding) -> (vec_id, vec, size) of vectors that take part; vec: their numbers as bytes."""
     for batch in batches:
         ids, vecs, sizes = [], [], []
         for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if i is None or not x or None in x:
                 continue
-            v = np.array(x, dtype=np.float64)
+            v = np.array(x, dtype=kind)
             if np.isfinite(v).all() and v.any():
                 ids.append(i)
-                vecs.append((v + 0.0).tobytes())
+                vecs.append((v + v.dtype.type(0)).tobytes())
                 sizes.append(len(v))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(sizes, pa.int32())], names=["vec_id", "vec", "size"])
 
@@ -125,64 +128,160 @@ def _lists(held: dict[bytes, list[int]], most: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([sorted(set(x))[:most] for x in held.values()], pa.list_(pa.int64()))], names=["vec", "ids"])
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind: str) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
-
-
-def _spread(batches: Iterator[pa.RecordBatch], index: Index, beside: int, chunks: int, copies: int) -> Iterator[pa.RecordBatch]:
-    """(vec, other) -> (curve, part, chunk, vec, other): rows go to one of `chunks` chunks of their range (beside 0), queries to all chunks of theirs and the ranges beside."""
+    return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float64)
+
+
+def _true_neighbours(batches: Iterator[pa.RecordBatch], probes: np.ndarray, kind: str, most: int) -> Iterator[pa.RecordBatch]:
+    """(vec) -> (probe, vec, score): the nearest of this partition for each probe, the probe itself left out."""
+    names = {p.astype(kind).tobytes() for p in probes}
+    own = [p.astype(kind).tobytes() for p in probes]
+    best: list[list[tuple[float, bytes]]] = [[] for _ in own]
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2000):
+            vecs = whole.column(0).slice(start, 2000).to_pylist()
+            x = np.frombuffer(b"".join(vecs), dtype=kind).reshape(len(vecs), -1).astype(np.float64)
+            far = (x * x).sum(axis=1)[None, :] - 2 * (probes @ x.T) + (probes * probes).sum(axis=1)[:, None]
+            same = [k for k, v in enumerate(vecs) if v in names]
+            for p, row in enumerate(far):
+                for k in same:
+                    if vecs[k] == own[p]:
+                        row[k] = np.inf
+                near = np.argpartition(row, most - 1)[:most] if len(row) > most else np.arange(len(row))
+                best[p] = sorted(best[p] + [(float(row[k]), vecs[k]) for k in near.tolist() if np.isfinite(row[k])])[:most]
+    out = [(p, v, d) for p, found in enumerate(best) for d, v in found]
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([v for _, v, _ in out], pa.binary()), pa.array([d for _, _, d in out], pa.float64())], names=["probe", "vec", "score"])
+
+
+def _below(batches: Iterator[pa.RecordBatch], index: Index, marks: list[np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
+    """(vec) -> (curve, bin, n): how many rows of this partition lie between neighbouring marks of each order."""
+    counts = [np.zeros(len(m) + 1, dtype=np.int64) for m in marks]
+    for whole in batches:
+        if whole.num_rows:
+            x = _matrix(whole.column(0), kind)
+            for c, m in enumerate(marks):
+                counts[c] += np.bincount(np.searchsorted(m, index.keys(c, x), side="right"), minlength=len(m) + 1)
+    curve = np.concatenate([np.full(len(n), c) for c, n in enumerate(counts)])
+    bins = np.concatenate([np.arange(len(n)) for n in counts])
+    yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int32()), pa.array(bins, pa.int32()), pa.array(np.concatenate(counts), pa.int64())], names=["curve", "bin", "n"])
+
+
+def measured_window(distinct: DataFrame, probes: np.ndarray, index: Index, kind: str, k: int, recall: float) -> int:
+    """The least window that holds a share `recall` of the probes' true neighbours in some order.
+
+    Each probe is compared with all rows once, in blocks, which is linear in the rows; what reaches the driver are k
+    neighbours for each probe and one count for each of their places.
+    """
+    if not len(probes):
+        return LEAST_WINDOW
+    near = distinct.select("vec").mapInArrow(functools.partial(_true_neighbours, probes=probes, kind=kind, most=k), "probe int, vec binary, score double")
+    place = F.row_number().over(W.partitionBy("probe").orderBy("score", "vec"))
+    true = near.withColumn("_r", place).filter(F.col("_r") <= k).select("probe", "vec").collect()
+    if not true:
+        return LEAST_WINDOW
+    x = np.frombuffer(b"".join(bytes(r["vec"]) for r in true), dtype=kind).reshape(len(true), -1).astype(np.float64)
+    of = np.array([r["probe"] for r in true])
+    keys = [(index.keys(c, probes), index.keys(c, x)) for c in range(len(index.samples))]
+    marks = [np.unique(np.concatenate(pair)) for pair in keys]
+    below = distinct.select("vec").mapInArrow(functools.partial(_below, index=index, marks=marks, kind=kind), "curve int, bin int, n long")
+    counts = [np.zeros(len(m) + 1, dtype=np.int64) for m in marks]
+    for r in below.groupBy("curve", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["curve"]][r["bin"]] = r["n"]
+    apart = np.full(len(of), np.iinfo(np.int64).max)
+    for (p, y), m, n in zip(keys, marks, counts, strict=True):
+        rank = np.cumsum(n)  # rows below each mark
+        apart = np.minimum(apart, np.abs(rank[np.searchsorted(m, p)][of] - rank[np.searchsorted(m, y)]))
+    return max(LEAST_WINDOW, int(np.sort(apart)[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) + 1)
+
+
+def _spread(batches: Iterator[pa.RecordBatch], index: Index, asked: bool, chunks: int, copies: int, reach: int, per_range: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """(vec, other) -> (curve, part, chunk, key, reach, vec, other).
+
+    Rows go to one of `chunks` chunks of their range; queries (asked) to all chunks of their own range and of those
+    that their window may reach into. reach: how many rows of that range before and after the query's key count.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = _matrix(batch.column(0))
+        x = _matrix(batch.column(0), kind)
         salt = x.view(np.uint64).sum(axis=1) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
         for curve in range(len(index.bounds)):
-            own, last = index.ranges(curve, x), len(index.bounds[curve])
-            for step in range(-beside, beside + 1):
+            keys = index.keys(curve, x)
+            own, last = np.searchsorted(index.bounds[curve], keys, side="right"), len(index.bounds[curve])
+            for step in (-1, 0, 1) if asked else (0,):
                 part = own + step
-                fine = np.flatnonzero((part >= 0) & (part <= last))
+                fine = (part >= 0) & (part <= last)
+                far = np.full(len(x), reach)
+                if asked and step:
+                    # Where in its range a query stands, as the sample tells, less a doubt.
+                    edge = index.bounds[curve][np.clip(np.minimum(own, part), 0, last - 1)] if last else np.zeros(len(x), dtype=np.uint64)
+                    held = index.samples[curve]
+                    between = np.abs(np.searchsorted(held, keys).astype(np.int64) - np.searchsorted(held, edge).astype(np.int64))
+                    each = max(1, len(held)) / (last + 1)
+                    share = between / each
+                    far = np.ceil(reach - np.maximum(0, share - 1 / 16 - 2 * np.sqrt(share / each)) * per_range).astype(np.int64)
+                    fine &= far > 0
+                fine = np.flatnonzero(fine)
                 for copy in range(copies):
                     # chunk numbers a pair: a row's chunk and a query's chunk
                     mine = (salt[fine] % np.uint64(chunks)).astype(np.int64)
-                    chunk = mine * copies + copy if not beside else copy * chunks + mine
+                    chunk = copy * chunks + mine if asked else mine * copies + copy
                     take = pa.array(fine)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), curve), pa.int32()), pa.array(part[fine], pa.int32()), pa.array(chunk), batch.column(0).take(take), batch.column(1).take(take)], names=["curve", "part", "chunk", "vec", "other"])
+                    names = ["curve", "part", "chunk", "key", "reach", "vec", "other"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), curve), pa.int32()), pa.array(part[fine], pa.int32()), pa.array(chunk), pa.array(keys[fine].view(np.int64)), pa.array(far[fine], pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], names=names)
 
 
-def _nearest(rows: pa.Table, queries: pa.Table, most: int) -> pa.Table:
-    """The `most` nearest ids of one range for each query: (q, id, score)."""
+def _nearest(rows: pa.Table, queries: pa.Table, most: int, chunks: int, kind: str) -> pa.Table:
+    """The `most` nearest ids in one range for each query, among the rows that its window reaches: (q, id, score)."""
     out_q, out_id, out_score = [], [], []
     if rows.num_rows and queries.num_rows:
-        ids, x = rows.column("other").to_pylist(), _matrix(rows.column("vec"))
-        squares = (x * x).sum(axis=1)
-        for start in range(0, queries.num_rows, 200):
-            part = queries.slice(start, 200)
-            names, q = part.column("vec").to_pylist(), _matrix(part.column("vec"))
-            rough = squares[None, :] - 2 * (q @ x.T)
+        rows, queries = rows.sort_by("key"), queries.sort_by("key")
+        ids, x = rows.column("other").to_pylist(), _matrix(rows.column("vec"), kind)
+        squares, keys = (x * x).sum(axis=1), rows.column("key").to_numpy()
+        # A chunk holds one in `chunks` of a range's rows, give or take; a window is as much smaller in it.
+        reach = queries.column("reach").to_numpy() / chunks
+        reach = np.ceil(reach + (3 * np.sqrt(reach) if chunks > 1 else 0)).astype(np.int64)
+        asked = queries.column("key").to_numpy()
+        low = np.maximum(np.searchsorted(keys, asked, side="left") - reach, 0)
+        high = np.minimum(np.searchsorted(keys, asked, side="right") + reach, len(keys))
+        names, q = queries.column("vec").to_pylist(), _matrix(queries.column("vec"), kind)
+        for start in range(0, len(names), 100):
+            # Neighbouring queries share most of their windows.
+            end = min(start + 100, len(names))
+            a, b = int(low[start:end].min()), int(high[start:end].max())
+            rough = squares[None, a:b] - 2 * (q[start:end] @ x[a:b].T)
+            at = np.arange(a, b)[None, :]
+            rough[(at < low[start:end, None]) | (at >= high[start:end, None])] = np.inf
             # A few more than needed by the quick formula, then by exact differences.
-            many = min(len(x), 2 * most + 10)
+            many = min(b - a, 2 * most + 10)
+            if not many:
+                continue
             near = np.argpartition(rough, many - 1, axis=1)[:, :many]
-            for name, v, at in zip(names, q, near, strict=True):
-                exact = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                found = sorted((d, i) for d, k in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[k])[:most]
-                out_q += [name] * len(found)
-                out_id += [i for _, i in found]
-                out_score += [d for d, _ in found]
+            for k, found in zip(range(start, end), near, strict=True):
+                found = found[np.isfinite(rough[k - start, found])] + a
+                exact = np.sqrt(((x[found] - q[k]) ** 2).sum(axis=1))
+                best = sorted((d, i) for d, j in zip(exact.tolist(), found.tolist(), strict=True) for i in ids[j])[:most]
+                out_q += [names[k]] * len(best)
+                out_id += [i for _, i in best]
+                out_score += [d for d, _ in best]
     return pa.table({"q": pa.array(out_q, pa.binary()), "id": pa.array(out_id, pa.int64()), "score": pa.array(out_score, pa.float64())})
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, curves: int = CURVES, ranges: int = RANGES, beside: int = BESIDE, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, curves: int = CURVES, window: int | None = None, recall: float = RECALL, sample: int = SAMPLE, probed: int = PROBED) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k nearest rows found for each query, from (vec_id, embedding) both.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or with
-    another length than most have. Equal vectors are indexed once, with the k + 1 smallest of their ids, which is all
-    that ties can ask for; a row is no candidate of a query with its own id. Ids that repeat count once. Every row is
-    indexed; only quantiles and bounds are fitted on a sample. With few rows there are few ranges and all is found.
-    Empty tables give an empty table.
+    window: rows that a query meets on either side in every order; None: as many as measured_window says, for `recall`
+    of the true neighbours of about `probed` queries. Vectors that are null, zero or hold null or non-finite components
+    take no part, nor do rows without an id or with another length than most have. Equal vectors are indexed once, with
+    the k + 1 smallest of their ids, which is all that ties can ask for; a row is no candidate of a query with its own
+    id. Ids that repeat count once. Every row is indexed; only quantiles and bounds are fitted on a sample. A table
+    smaller than a window is searched as a whole. Empty tables give an empty table.
     """
-    usable = cut(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable, "vec_id long, vec binary, size int"))
-    asked = cut(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable, "vec_id long, vec binary, size int"))
+    kind = "<f4" if rows.schema["embedding"].dataType.simpleString() == queries.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    usable_of = functools.partial(_usable, kind=kind)
+    usable = cut(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(usable_of, "vec_id long, vec binary, size int"))
+    asked = cut(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(usable_of, "vec_id long, vec binary, size int"))
     sizes = usable.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     size = sizes[0]["size"] if sizes else 1
     usable, asked = usable.filter(F.col("size") == size), asked.filter(F.col("size") == size)
@@ -192,20 +291,28 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, cu
     n = distinct.count()
     marks = asked.select("vec").distinct().withColumn("other", F.lit(None).cast("array<long>"))
     n_asked = marks.count()
-    share = min(1.0, sample / max(n, 1))
-    fitted = distinct.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= share * (1 << 30)).select("vec").collect()
-    x = np.frombuffer(b"".join(sorted(bytes(r["vec"]) for r in fitted)), dtype=np.float64).reshape(-1, size) if fitted else np.ones((1, size))
-    ranges = max(1, min(ranges, n // LEAST_ROWS))
-    index = fit(x, ranges, curves)
+
+    def drawn(frame: DataFrame, seed: int, most: int, of: int) -> np.ndarray:
+        share = min(1.0, most / max(of, 1))
+        found = frame.filter(F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(1 << 30)) <= share * (1 << 30)).select("vec").collect()
+        return np.frombuffer(b"".join(sorted(bytes(r["vec"]) for r in found)), dtype=kind).reshape(-1, size).astype(np.float64)
+
+    x = drawn(distinct, 1, sample, n)
+    index = fit(x if len(x) else np.ones((1, size)), curves)
+    if window is None:
+        window = measured_window(distinct, drawn(marks, 2, probed, n_asked), index, kind, k, recall)
+    ranges = int(max(1, min(MOST_RANGES, n // max(RANGE_ROWS, window))))
+    index.cut_into(ranges)
+    per_range = n / ranges
     chunks = max(1, -(-n // (ranges * ROWS)))
-    groups = max(1, -(-n_asked * (2 * beside + 1) // (ranges * QUERIES)))
-    schema = "curve int, part int, chunk long, vec binary, other array<long>"
-    placed = distinct.mapInArrow(functools.partial(_spread, index=index, beside=0, chunks=chunks, copies=groups), schema)
-    meeting = marks.mapInArrow(functools.partial(_spread, index=index, beside=beside, chunks=groups, copies=chunks), schema)
+    groups = max(1, -(-n_asked * 2 // (ranges * QUERIES)))
+    schema = "curve int, part int, chunk long, key long, reach long, vec binary, other array<long>"
+    placed = distinct.mapInArrow(functools.partial(_spread, index=index, asked=False, chunks=chunks, copies=groups, reach=0, per_range=per_range, kind=kind), schema)
+    meeting = marks.mapInArrow(functools.partial(_spread, index=index, asked=True, chunks=groups, copies=chunks, reach=window, per_range=per_range, kind=kind), schema)
     by = ["curve", "part", "chunk"]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _nearest(left, right, k + 1)
+        return _nearest(left, right, k + 1, chunks, kind)
 
     found = placed.groupBy(*by).cogroup(meeting.groupBy(*by)).applyInArrow(compare, "q binary, id long, score double")
     merged = found.groupBy("q", "id").agg(F.min("score").alias("score"))

@@ -507,3 +507,46 @@ def test_neighbours_recall(spark):
         got[r["query_id"]].add(r["vec_id"])
     want = brute_nearest([(r["vec_id"], r["embedding"]) for r in rows], {r["vec_id"] for r in rows if r["vec_id"] % 100 == 0}, 10)
     assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) / sum(len(v) for v in want.values()) >= 0.9
+
+
+def clustered(n, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 50, 32))
+    return (centres[rng.integers(0, len(centres), n)] + 0.25 * rng.normal(size=(n, 32))).astype(np.float32)
+
+
+def test_neighbours_windows_do_not_grow_with_the_table(spark, monkeypatch):
+    """On clustered vectors the window stays as it is while the table grows, and most rows are never met."""
+    windows = []
+    measured = neighbours.measured_window
+    monkeypatch.setattr(neighbours, "measured_window", lambda *a: windows.append(measured(*a)) or windows[-1])
+    for n in (5_000, 20_000):
+        x = clustered(n)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = collections.defaultdict(set)
+        for r in neighbours.nearest_neighbours(frame, frame.filter("vec_id % 100 = 0")).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        hit = total = 0
+        for q in range(0, n, 100):
+            far = ((x - x[q]) ** 2).sum(axis=1)
+            far[q] = np.inf
+            hit, total = hit + len(got[q] & set(np.argsort(far)[:10].tolist())), total + 10
+        assert hit / total >= 0.9
+    assert windows[1] <= 2 * windows[0] and neighbours.CURVES * 2 * windows[1] < 0.25 * 20_000
+
+
+def test_measured_window_against_counting(spark):
+    """The window is the rank, in the orders themselves, at which the wanted share of true neighbours is reached."""
+    x = clustered(3_000)
+    rows = spark.createDataFrame([(v.tobytes(),) for v in x], "vec binary")
+    index = neighbours.fit(x.astype(float), 4)
+    probes = x[::60].astype(float)
+    got = neighbours.measured_window(rows, probes, index, "<f4", 10, 0.9)
+    apart = []
+    ranks = [np.argsort(np.argsort(index.keys(c, x.astype(float)), kind="stable")) for c in range(4)]
+    for q in range(0, len(x), 60):
+        far = ((x - x[q]).astype(float) ** 2).sum(axis=1)
+        far[q] = np.inf
+        apart += [min(abs(int(r[q]) - int(r[j])) for r in ranks) for j in np.argsort(far)[:10]]
+    want = sorted(apart)[int(np.ceil(0.9 * len(apart)))] + 1
+    assert abs(got - max(neighbours.LEAST_WINDOW, want)) <= 2
