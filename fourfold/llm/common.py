@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of about so many bytes are worked on together inside a task.
 SLICE_BYTES = 2_000_000
 
+#: So many keys are sent to every task; more are joined.
+BROADCAST_KEYS = 2_000_000
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir says; where that is unset, as in tests, one of our own."""
+    """The folder that all executors share, as spark.checkpoint.dir says; where that is unset in local mode, as in tests, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +53,33 @@ def column_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def with_row_keys(docs: DataFrame, doc_id: str, key: str) -> DataFrame:
+    """docs with `key`: a long that no two rows share, in the order of the ids.
+
+    A row's key is its id. Where several rows have one id the first has it for its key; the others, and rows without an
+    id, get keys above all ids, in the order in which they are read. Only the rows in question are written out, so that
+    their keys stay as they are; no id's rows come together in one task.
+    """
+    own = F.col(doc_id).cast("long")
+    counts = docs.select(own.alias(key)).groupBy(key).agg(F.count("*").alias("__n"))
+    again = cut(counts.filter(F.col(key).isNull() | (F.col("__n") > 1)).select(key))
+    n = again.count()
+    if not n:
+        return docs.withColumn(key, own)
+    if n <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    most = docs.agg(F.max(own)).first()[0] or 0
+    if most >= 1 << 62:
+        raise ValueError(f"{doc_id} repeats and has values of 2**62 or more")
+    same = own.eqNullSafe(again[key])
+    rows = cut(docs.join(again, same, "left_semi").withColumn(key, F.lit(most + 1) + F.monotonically_increasing_id()))
+    first = rows.filter(F.col(doc_id).isNotNull()).groupBy(own.alias("__id")).agg(F.min(key).alias(key))
+    if n <= BROADCAST_KEYS:
+        first = F.broadcast(first)
+    settled = rows.join(first, key, "left").withColumn(key, F.coalesce("__id", key)).select(*docs.columns, key)
+    return docs.join(again, same, "left_anti").withColumn(key, own).select(*docs.columns, key).unionByName(settled)
+
+
 def unit_hash(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the columns only; any engine with md5 can repeat it."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

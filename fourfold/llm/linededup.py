@@ -1,8 +1,8 @@
 """Line dedup over the whole corpus by a deletion-neighbourhood join.
 
 Lines are sequences of words (A-Z as a-z, white space dropped), and an edit is one word put in, left out or replaced.
-A line goes if an earlier line, by (doc_id, line number), is equal or, for lines of at least MIN_WORDS words, within
-one edit. Equal lines meet by a hash of the whole. For the rest each line gives the hash of every variant with one word
+A line goes if an earlier line, by (doc_id, line number), is equal or, for lines of at least `least` words (MIN_WORDS
+unless told otherwise), within one edit: in a shorter line one word is too much of it. Equal lines meet by a hash of the whole. For the rest each line gives the hash of every variant with one word
 deleted; a replaced word makes two lines give the same variant at the same place, and a word put in makes one line a
 variant of the other. What meets is verified by words, and the earliest stays.
 
@@ -12,6 +12,7 @@ variants; that loses nothing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, column_name, cut, mix, powers, slices
+from .common import Words, as_bytes, column_name, cut, mix, powers, slices, with_row_keys
 
 MIN_WORDS = 8
 #: So many candidate lines are sent to every task; more are joined by document.
 BROADCAST_LINES = 2_000_000
 _B1, _B2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-LAST = (1 << 63) - 1
 
 
 class Lines:
@@ -59,8 +59,8 @@ class Lines:
         return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (doc, line, h1, h2, halves); short lines have no halves."""
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> (doc, line, h1, h2, halves); lines of fewer than `least` words have no halves."""
     for batch in batches:
         for part in slices(batch, "text"):
             x = Lines(as_bytes(part.column(1)))
@@ -69,7 +69,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = part.column(0).to_numpy(zero_copy_only=False)[x.text]
             size = (x.end - x.begin).astype(np.uint64)
             h1, h2 = mix(x.run(x.begin, x.end) + size), mix(x.run(x.begin, x.end, _B2) + size)
-            long = x.end - x.begin >= MIN_WORDS
+            long = x.end - x.begin >= least
             keys = np.stack(x.halves(np.flatnonzero(long)), axis=1).view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(np.where(long, 4, 0))])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel()))
@@ -87,11 +87,9 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, line, words = [], [], []
             for d, t, wanted in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
                 own = (t or b"").split(b"\n")
-                for k in wanted:
-                    if k < len(own):  # a row that repeats an id with another text may be shorter
-                        doc.append(d)
-                        line.append(k)
-                        words.append(folded(own[k]))
+                doc += [d] * len(wanted)
+                line += wanted
+                words += [folded(own[k]) for k in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
 
 
@@ -159,9 +157,9 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], text: str, kept: str, names: lis
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_lines", "n_kept"])
 
 
-def kept_lines(source: DataFrame) -> DataFrame:
-    """(doc, line) of all lines that stay, from (doc, text)."""
-    found = source.mapInArrow(_lines, "doc long, line int, h1 long, h2 long, halves array<long>")
+def kept_lines(source: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc, line) of all lines that stay, from (doc, text); doc is unique."""
+    found = source.mapInArrow(functools.partial(_lines, least=least), "doc long, line int, h1 long, h2 long, halves array<long>")
     place = F.struct("doc", "line")
     firsts = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.first("halves").alias("halves")).select("p.doc", "p.line", "halves"))
     halves = firsts.select("doc", "line", F.explode("halves").alias("key"))
@@ -171,7 +169,7 @@ def kept_lines(source: DataFrame) -> DataFrame:
     if (wanted.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(_chosen, "doc long, line int, words binary")
-    texts = cut(texts.dropDuplicates(["doc", "line"]))
+    texts = cut(texts)
     variants = texts.mapInArrow(_variants, "key long, kind byte, doc long, line int").select("key", "kind", F.struct("doc", "line").alias("p"))
     variants = cut(variants)
     placed, left_out, whole = (variants.filter(F.col("kind") == k).drop("kind") for k in (0, 1, 2))
@@ -185,22 +183,23 @@ def kept_lines(source: DataFrame) -> DataFrame:
     return firsts.select("doc", "line").join(checked.distinct(), ["doc", "line"], "left_anti")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs with each text less the lines that go, and n_lines, n_kept: its lines with words before and after.
 
-    Lines without words stay as they are; null and empty texts stay null and empty; a document whose lines all go has
-    an empty text or the feeds of its blank lines. A null id stands after all others. Rows that repeat an id are
-    one document: they keep the same line numbers. Columns of docs named n_lines or n_kept are replaced; an empty
-    table gives an empty table.
+    least: words that a line must have to go for a line that differs by one word; equal lines go at any length. Lines
+    without words stay as they are; null and empty texts stay null and empty; a document whose lines all go has an empty
+    text or the feeds of its blank lines. Every row is a document of its own: of rows that repeat an id the first stands
+    in the id's place, the others and rows without an id stand after all ids. Columns of docs named n_lines or n_kept
+    are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_kept")
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
-    kept = kept_lines(docs.select(key.alias("doc"), F.col(text).alias("text")))
+    names = docs.columns
     mine, lists = column_name(docs, "doc"), column_name(docs, "kept")
+    docs = with_row_keys(docs, doc_id, mine)
+    kept = kept_lines(docs.select(F.col(mine).alias("doc"), F.col(text).alias("text")), least)
     per = kept.groupBy(F.col("doc").alias(mine)).agg(F.collect_list("line").alias(lists))
-    names = docs.columns
-    joined = docs.withColumn(mine, key).join(per, mine, "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_kept long"
+    joined = docs.join(per, mine, "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(mine).schema.fields) + ", n_lines long, n_kept long"
 
     def run(batches):
         return _rebuilt(batches, text, lists, names)
