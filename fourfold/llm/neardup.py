@@ -4,11 +4,11 @@ Each document is a set of word shingles, and the sets' minwise tokens (one for e
 branches by. In every tree a document goes from a node to one or two children: the node's own hash picks a position of
 the signature, and the token there names the child, so two documents of similarity s go the same way with probability
 s. With 1 / threshold children on average a pair at the threshold survives any depth with a fair chance, and independent
-trees raise the recall to 1 - (1 - chance)**trees. A node that is small is compared exhaustively. In a larger one links
-with a leader are confirmed first. A node whose members are in one component by then has nothing more to say and goes;
-any other branches on in the same way, until its nodes are small, or all but a few of its members are in one component
-and those few are compared with all. Links are confirmed on the full sets of shingles, and components are the smallest
-ids reachable.
+trees raise the recall to 1 - (1 - chance)**trees. A node that is small is compared exhaustively, by sketches of one bit
+a token that its rows carry. In a larger one links with a leader are confirmed first. A node whose members are in one
+component by then has nothing more to say and goes; any other branches on in the same way, until its nodes are small, or
+those of its members that are outside its largest component can be compared with all. Links are confirmed on the full
+sets of shingles, and components are the smallest ids reachable.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, cut, mix, ngram_hashes, slices
+from .common import BROADCAST_KEYS, Words, as_bytes, cut, mix, ngram_hashes, slices, with_row_keys
 
 SHINGLE = 5
 PERCENT = 75
@@ -29,14 +29,15 @@ POSITIONS = 128
 TREES = 16
 NODE = 32
 DEPTH = 2
-#: A large node is compared exhaustively, too, where so few members are outside its largest component. LAST: a node so
-#: deep that is still large (equal signatures of unlike sets) is compared exhaustively, whatever its size. STEP: levels
-#: between two looks at the components.
-FEW, LAST, STEP = 32, 40, 2
-#: Leaders whose links with a member are confirmed before its nodes branch on; those most like it.
+#: A large node is compared exhaustively, too, where its members outside the largest component make so few pairs with
+#: all of them. LAST: a node so deep that is still large (equal signatures of unlike sets) is compared exhaustively,
+#: whatever its size. STEP: levels between two looks at the components.
+FEW_PAIRS, LAST, STEP = 1_000_000, 40, 3
+#: Leaders whose links with a member are confirmed before its nodes branch on; those of its largest nodes.
 LEADERS = 2
-#: A pair is looked at in full if so many of the 128 tokens agree; 4.5 standard deviations under the threshold.
-AGREE = 74
+#: A pair is looked at in full if so many of the 128 tokens agree, and of their last bits: 4.5 standard deviations under
+#: the threshold, both.
+AGREE, BITS_AGREE = 74, 95
 _SALT = mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _A, _B = _SALT[:POSITIONS] | np.uint64(1), _SALT[POSITIONS:]
 _CHUNK = 4096
@@ -65,16 +66,20 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, doc_id) -> (key, doc_id, n_shingles, k1, k2, sig, s1, s2); s1 and s2: the last bits of the 128 tokens."""
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(as_bytes(part.column(1)))
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, bits = [], [], [], [], []
             for s in sets:
                 n.append(len(s))
                 k1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(mix(s ^ _SALT[0]).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sig"])
+                tokens = signature(s) if len(s) else None
+                sig.append(None if tokens is None else tokens.tobytes())
+                bits.append(np.zeros(2, dtype=np.int64) if tokens is None else np.packbits((tokens & 1).astype(bool)).view(np.int64))
+            s1, s2 = (np.array([b[k] for b in bits], dtype=np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(s1), pa.array(s2)], names=["key", "doc_id", "n_shingles", "k1", "k2", "sig", "s1", "s2"])
 
 
 def branch(path: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,27 +98,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, sig) -> (path, rep) at the first depth, in all trees."""
+    """(rep, s1, s2, sig) -> (path, rep, s1, s2) at the first depth, in all trees."""
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             batch = whole.slice(start, 2000)
-            reps, tokens = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            tokens = _matrix(batch.column(3))
             for tree in range(TREES):
-                path = np.full(len(reps), mix(np.array([tree + 1], dtype=np.uint64) * _SALT[5])[0], dtype=np.uint64)
-                rows = np.arange(len(reps))
+                path = np.full(len(tokens), mix(np.array([tree + 1], dtype=np.uint64) * _SALT[5])[0], dtype=np.uint64)
+                rows = np.arange(len(tokens))
                 for _ in range(DEPTH):
                     path, rows = branch(path, rows, tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(reps[rows], pa.int64())], names=["path", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *[batch.column(c).take(pa.array(rows)) for c in range(3)]], names=["path", "rep", "s1", "s2"])
 
 
 def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, rep, comp, sig) -> (path, rep, comp) STEP levels deeper."""
+    """(path, rep, s1, s2, comp, sig) -> (path, rep, s1, s2, comp) STEP levels deeper."""
     for batch in batches:
         if batch.num_rows:
-            path, rows, tokens = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(3))
+            path, rows, tokens = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(5))
             for _ in range(STEP):
                 path, rows = branch(path, rows, tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], names=["path", "rep", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *[batch.column(c).take(pa.array(rows)) for c in range(1, 5)]], names=["path", "rep", "s1", "s2", "comp"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,47 +170,71 @@ def _met(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long, agree int")
 
 
+def _alike(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether enough of the last bits of two documents' tokens agree."""
+    apart = F.bit_count(x("s1").bitwiseXOR(y("s1"))) + F.bit_count(x("s2").bitwiseXOR(y("s2")))
+    return apart <= POSITIONS - BITS_AGREE
+
+
 def _ordered() -> list[Column]:
     return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
 
+def _all_pairs(small: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of each small node whose bits are alike enough."""
+    x = small.groupBy("path").agg(F.collect_list(F.struct("rep", "s1", "s2")).alias("m")).select("m", F.explode("m").alias("x"))
+    fit = F.filter("m", lambda y: (y["rep"] > F.col("x.rep")) & _alike(lambda c: F.col(f"x.{c}"), lambda c: y[c]))
+    return x.select(F.col("x.rep").alias("a"), F.explode(fit).alias("y")).select("a", F.col("y.rep").alias("b"))
+
+
+def _led(large: DataFrame, nodes: int) -> DataFrame:
+    """(a, b): each member of large nodes beside the leaders, drawn by the nodes' own hashes, of its LEADERS largest nodes; those alike enough."""
+    leads = large.groupBy("path").agg(F.min_by(F.struct("rep", "s1", "s2"), F.xxhash64("path", "rep")).alias("lead"))
+    met = large.join(F.broadcast(leads) if nodes <= BROADCAST_KEYS else leads, "path").filter(F.col("rep") != F.col("lead.rep"))
+    first = met.groupBy(F.col("rep").alias("a")).agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "lead", "s1", "s2")), False), 1, LEADERS).alias("x"))
+    each = first.select("a", F.explode("x").alias("x")).filter(_alike(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"x.lead.{c}")))
+    return each.select("a", F.col("x.lead.rep").alias("b")).select(*_ordered()).distinct()
+
+
 def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, agree), a < b: documents (rep, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
+    """(a, b, agree), a < b: documents (rep, s1, s2, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
 
     texts gives (id, text) for documents (id). A small node gives all its pairs. In a large one the members' links with
-    a leader, drawn by the node's own hash, are confirmed; then only pairs inside a component go without being compared,
-    as no such link changes a component. Members alike are linked at once, and of members less alike than the threshold
-    fewer than one in 1 / threshold goes the same way, so that the rows shrink from level to level.
+    leaders are confirmed; then only pairs inside a component go without being compared, as no such link changes a
+    component. Members alike are linked at once, and of members less alike than the threshold fewer than one in
+    1 / threshold goes the same way, so that the rows shrink from level to level.
     """
-    level = reps.mapInArrow(_first_nodes, "path long, rep long").withColumn("comp", F.col("rep"))
-    found, edges, part, held = [], None, None, None
-    for depth in range(DEPTH, LAST + 1, STEP):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("path", "rep")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        nodes = _cut(level.join(sizes.filter("lo < hi").drop("lo", "hi"), "path"))
-        small, large = nodes.filter(F.col("n") <= NODE), nodes.filter(F.col("n") > NODE)
-        firsts = small.groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("m")).select("m", F.posexplode("m").alias("i", "a"))
-        pairs = firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
-        found.append(_met(_apart(pairs, part), reps))
-        if large.isEmpty():
+    level = reps.mapInArrow(_first_nodes, "path long, rep long, s1 long, s2 long")
+    found, edges, part, depth = [], None, None, DEPTH
+    while True:
+        # At first every document is a component of its own.
+        ends = [] if depth == DEPTH else [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), *ends).filter("lo < hi" if ends else "n > 1").select("path", "n")
+        nodes = _cut(level.drop("comp").join(sizes, "path"))
+        found.append(_all_pairs(nodes.filter(F.col("n") <= NODE)))
+        large = nodes.filter(F.col("n") > NODE)
+        many = large.select("path").distinct().count()
+        if not many:
             break
-        if held is None:
-            held = _cut(texts(large.select(F.col("rep").alias("id")).distinct()))
-        led = _met(_apart(large.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), part), reps)
-        led = led.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "b")), False), 1, LEADERS).alias("x")).select("a", F.explode("x.b").alias("b"))
-        links = _cut(confirm(led.select(*_ordered()).distinct(), held))
+        led = _cut(_apart(_led(large, many), part))
+        links = _cut(confirm(led, texts(led.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
         if not links.isEmpty():
             edges = links if edges is None else edges.unionByName(links)
             part = components(edges)
-        tagged = _cut(_labelled(large.select("path", "rep"), "rep", part, "comp").select("path", "rep", "comp"))
-        counts = tagged.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), (F.sum("n") - F.max("n")).alias("rest"))
+        tagged = _cut(_labelled(large.drop("n"), "rep", part, "comp").select("path", "rep", "s1", "s2", "comp"))
+        counts = tagged.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
         mixed = _cut(tagged.join(counts.filter("rest > 0"), "path"))
-        done = (F.col("rest") <= FEW) | F.lit(depth == LAST)
+        done = (F.col("rest") * F.col("all") <= FEW_PAIRS) | F.lit(depth >= LAST)
         few, on = mixed.filter(done), mixed.filter(~done)
-        others = few.filter("comp <> top").select("path", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        crossed = others.join(few.select("path", F.col("rep").alias("b"), F.col("comp").alias("cb"), "top"), "path").filter("ca <> cb and (cb = top or a < b)")
-        found.append(_cut(_met(crossed.select(*_ordered()).distinct(), reps)))
-        level = on.select("path", "rep", "comp").join(reps, "rep").select("path", "rep", "comp", "sig").mapInArrow(_next_nodes, "path long, rep long, comp long")
-    return _apart(functools.reduce(DataFrame.unionByName, found).distinct(), part), edges
+        one, two = few.filter("comp <> top").alias("one"), few.alias("two")
+        fit = (F.col("one.path") == F.col("two.path")) & F.expr("one.comp <> two.comp and (two.comp = two.top or one.rep < two.rep)") & _alike(lambda c: F.col(f"one.{c}"), lambda c: F.col(f"two.{c}"))
+        found.append(_cut(one.join(two, fit).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).select(*_ordered()).distinct()))
+        if on.isEmpty():
+            break
+        below = on.select("path", "rep", "s1", "s2", "comp").join(reps.select("rep", "sig"), "rep").select("path", "rep", "s1", "s2", "comp", "sig")
+        level = below.mapInArrow(_next_nodes, "path long, rep long, s1 long, s2 long, comp long")
+        depth += STEP
+    return _met(_apart(functools.reduce(DataFrame.unionByName, found).distinct(), part), reps), edges
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,26 +262,41 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _named(found: DataFrame) -> DataFrame:
+    """found (rep, least, component: the smallest key) with component_id, the smallest id: another one only where an id repeats or is null, for keys are ids elsewhere."""
+    other = found.filter(~F.col("least").eqNullSafe(F.col("rep"))).groupBy("component").agg(F.min("least").alias("_m"), F.max(F.col("rep") == F.col("component")).alias("_own"))
+    other = cut(other)
+    n = other.count()
+    if not n:
+        return found.withColumn("component_id", F.col("component"))
+    joined = found.join(F.broadcast(other) if n <= BROADCAST_KEYS else other, "component", "left")
+    return joined.withColumn("component_id", F.when(F.col("_own"), F.col("_m")).otherwise(F.least("component", "_m"))).drop("_m", "_own")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Texts without words, empty and null ones are linked with nothing and kept. Rows with equal sets are one class,
-    joined by its smallest id alone. A null id can't lead a class: its row gets its class's component, or null if
-    there is none. Ids are taken to be unique; rows that repeat id and text get equal results. Other columns of docs
-    aren't read. An empty table gives an empty table.
+    joined by its smallest row alone. Every row is a document of its own, whether or not its id repeats or is null; a
+    component's id is the smallest id among its rows, null if none has one, and the rows that have it are kept. So rows
+    that repeat an id and a text are all kept or none is: who wants one of them gives an id that is unique. Other
+    columns of docs aren't read. An empty table gives an empty table.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = cut(source.mapInArrow(_facts, "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
-    classes = facts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = cut(classes.filter("rep is not null"))
-    reps = classes.select("rep", "sig")
+    keyed = with_row_keys(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "key")
+    facts = cut(keyed.select("key", "text", "doc_id").mapInArrow(_facts, "key long, doc_id long, n_shingles long, k1 long, k2 long, sig binary, s1 long, s2 long"))
+    classes = cut(facts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("sig").alias("sig")))
+    reps = classes.select("rep", "s1", "s2", "sig")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return source.join(ids, source.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), "text")
+        """(id, text) of some documents, written out. Ids go to every task while they are few, so that texts stay where they are."""
+        ids = cut(ids)
+        if ids.count() <= BROADCAST_KEYS:
+            ids = F.broadcast(ids)
+        return cut(keyed.join(ids, keyed.key == ids.id, "left_semi").select(F.col("key").alias("id"), "text"))
 
     pairs, first = candidate_pairs(reps, texts_of)
     pairs = cut(pairs)
-    texts = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # First each document's best pair only: what those join needs no more of the pairs inside.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
     edges = cut(confirm(best, texts))
@@ -262,9 +306,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     more = cut(confirm(_apart(pairs, part).join(best, ["a", "b"], "left_anti"), texts))
     if not more.isEmpty():
         part = components(edges.unionByName(more))
-    found = classes.select("k1", "k2", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    found = found.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = facts.drop("sig").join(found, ["k1", "k2"], "left")
+    found = classes.select("k1", "k2", "rep", "least").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    found = _named(found.withColumn("component", F.coalesce("component", "rep"))).select("k1", "k2", "component_id")
+    out = facts.drop("sig", "s1", "s2").join(found, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
