@@ -174,14 +174,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, y: 0 or 1), all of which may be learned from.
 
-    Labels are drawn by a hash of doc_id, about `sample` of them at most; only their documents are looked at.
+    Labels are drawn by a hash of doc_id, about `sample` of them at most; only their documents are looked at. An id that
+    labels repeat has its smallest label; of documents that repeat ids so often that more than twice the sample is
+    found, those that come first by hash and features are taken.
     """
-    labels = labels.filter("doc_id is not null and y is not null")
+    labels = labels.filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     n = labels.count()
     drawn = labels.withColumn("u", unit_hash("quality", F.col("doc_id"))).filter(F.col("u") < (sample / n if n else 0.0))
     # The sample's bound holds for what is sent to the tasks, and for what comes back.
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("u", F.col("y").cast("int").alias("y"), "text")
-    found = rows.mapInArrow(_features, "u double, y int, x array<double>").collect()
+    found = rows.mapInArrow(_features, "u double, y int, x array<double>").orderBy("u", F.xxhash64("x")).limit(2 * sample).collect()
     found.sort(key=lambda r: (r["u"], r["y"], r["x"]))
     return fit(np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in found], dtype=float))
 

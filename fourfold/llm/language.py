@@ -21,6 +21,8 @@ from .common import as_bytes, column_name, slices, unit_hash
 
 #: Bounds of what is learned from: labelled texts and landmarks for each language, and both in all.
 SAMPLE, LANDMARKS, SAMPLE_ALL, LANDMARKS_ALL = 150, 24, 4000, 240
+#: Numbers (n-grams x landmarks) that a model holds at most; beyond, only the first landmark of each language is taken.
+NUMBERS = 16_000_000
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -76,11 +78,21 @@ def fit(found: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
     """Kernel ridge regression, one language against the rest, in the space that the landmarks span.
 
     found and langs come in an order that doesn't depend on the run; the first `landmarks` texts of each language are
-    the landmarks.
+    the landmarks, or as many of these in turn as NUMBERS allows.
     """
     languages = sorted(set(langs))
     each = max(1, min(landmarks, LANDMARKS_ALL // max(1, len(languages))))
-    chosen = [i for lang in languages for i in [k for k, x in enumerate(langs) if x == lang][:each]]
+    by_lang = {lang: [k for k, x in enumerate(langs) if x == lang][:each] for lang in languages}
+    taken: dict[str, int] = dict.fromkeys(languages, 0)
+    flags, n = np.zeros(WIDTH, dtype=bool), 0
+    for turn in range(each):
+        for lang in languages:
+            if turn < len(by_lang[lang]):
+                more = int((~flags[found[by_lang[lang][turn]]]).sum())
+                if turn == 0 or (int(flags.sum()) + more) * (n + 1) <= NUMBERS and taken[lang] == turn:
+                    flags[found[by_lang[lang][turn]]] = True
+                    taken[lang], n = turn + 1, n + 1
+    chosen = [i for lang in languages for i in by_lang[lang][: taken[lang]]]
     vocabulary = np.unique(np.concatenate([found[i] for i in chosen])) if chosen else np.empty(0, dtype=np.int32)
     number = np.full(WIDTH, -1, dtype=np.int32)
     number[vocabulary] = np.arange(len(vocabulary))
@@ -110,7 +122,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text, lang), all of which may be learned from.
 
-    A sample bounded by SAMPLE for each language and by SAMPLE_ALL in all, chosen by a hash of doc_id, is looked at.
+    A sample bounded by SAMPLE for each language and by SAMPLE_ALL in all, chosen by a hash of doc_id, is looked at;
+    of rows that repeat an id so often that more are drawn, those that come first by hash and text.
     """
     docs = docs.filter("lang is not null and text is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -119,7 +132,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return fit([], [])
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * each / n + 20 / n)) for k, n in counts.items()], "lang string, share double")
     drawn = docs.join(F.broadcast(shares), "lang").withColumn("u", unit_hash("language", F.col("doc_id"))).filter("u < share")
-    rows = drawn.select("lang", "u", "text").mapInArrow(_features, "lang string, u double, found binary").collect()
+    rows = drawn.select("lang", "u", "text").mapInArrow(_features, "lang string, u double, found binary")
+    rows = rows.orderBy("u", F.xxhash64("found")).limit(4 * SAMPLE_ALL + 100 * len(counts)).collect()
     rows.sort(key=lambda r: (r["u"], r["found"]))
     kept, seen = [], dict.fromkeys(counts, 0)
     for r in rows:
