@@ -21,6 +21,8 @@ from .pieces import SPACE, Vocabulary, load, probe, word_forms
 
 #: Characters of equally long words that advance together, and distinct words that a task remembers.
 TOGETHER, REMEMBERED = 60_000, 300_000
+#: Words of more characters are cut first, where no piece can lie; they are looked at in runs of so many characters.
+LONG, RUN = 2_000, 100_000
 
 
 def viterbi(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +61,67 @@ def viterbi(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.
     return np.take_along_axis(codes, turned, axis=1)[np.arange(size)[None, :] < counts[:, None]], counts
 
 
+def longest_at(vocabulary: Vocabulary, word: np.ndarray) -> np.ndarray:
+    """Length of the longest piece that starts at each character of a long word; 1 where there is none."""
+    out = np.ones(len(word), dtype=np.int16)
+    for a in range(0, len(word), RUN):
+        ids, _ = probe(vocabulary, word[None, a : a + RUN + vocabulary.longest - 1])
+        held = ids[0, : len(word[a : a + RUN])] >= 0
+        out[a : a + RUN] = np.maximum(1, (held * np.arange(1, held.shape[1] + 1)).max(axis=1))
+    return out
+
+
+def segments(vocabulary: Vocabulary, word: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of characters that no piece crosses: the best path of a word is made of theirs."""
+    reach = np.maximum.accumulate(np.arange(len(word)) + longest_at(vocabulary, word))
+    inner = np.flatnonzero(reach[:-1] <= np.arange(1, len(word))) + 1
+    return np.concatenate([[0], inner, [len(word)]])
+
+
+def step_through(vocabulary: Vocabulary, word: np.ndarray) -> np.ndarray:
+    """The codes of one long run, character by character: scores of a few places only, and the last piece of each place."""
+    size, most = len(word), vocabulary.longest
+    back, code = np.zeros(size + 1, dtype=np.int16), np.zeros(size + 1, dtype=np.int32)
+    best = [0.0] + [-np.inf] * most  # the scores at the place that is worked on and at those after it
+    for a in range(0, size, RUN):
+        ids, scores = probe(vocabulary, word[None, a : a + RUN + most - 1])
+        ids, scores = ids[0], scores[0]
+        for k in range(len(word[a : a + RUN])):
+            here, row, found = best[0], scores[k].tolist(), ids[k].tolist()
+            if found[0] < 0:
+                row[0], found[0] = vocabulary.unknown_score, -1 - int(word[a + k])
+            best = best[1:] + [-np.inf]
+            for length, s in enumerate(row[: size - a - k], 1):
+                if here + s > best[length - 1]:
+                    best[length - 1] = here + s
+                    back[a + k + length], code[a + k + length] = length, found[length - 1]
+    codes, at = [], size
+    while at:
+        codes.append(code[at])
+        at -= int(back[at])
+    return np.array(codes[::-1], dtype=np.int32)
+
+
+def long_word(vocabulary: Vocabulary, word: np.ndarray) -> np.ndarray:
+    """The codes of the best path of one long word: runs between cuts advance together by length, the longest by themselves."""
+    bounds = segments(vocabulary, word)
+    sizes = np.diff(bounds)
+    out: list[np.ndarray | None] = [None] * len(sizes)
+    for size in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == size)
+        if size > LONG:
+            for i in places.tolist():
+                out[i] = step_through(vocabulary, word[bounds[i] : bounds[i + 1]])
+            continue
+        step = max(1, TOGETHER // size)
+        for a in range(0, len(places), step):
+            group = places[a : a + step]
+            codes, n = viterbi(vocabulary, word[bounds[group][:, None] + np.arange(size)[None, :]])
+            for i, part in zip(group.tolist(), np.split(codes, np.cumsum(n)[:-1]), strict=True):
+                out[i] = part
+    return np.concatenate(out)
+
+
 def with_bytes(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids for codes, and how many each code has: one, or as many as the UTF-8 bytes of an uncovered character."""
     point = -1 - codes.astype(np.int64)
@@ -97,6 +160,14 @@ class Encoder:
             by_size.setdefault(len(w), []).append(i)
         order, ids, counts = [], [], []
         for size, places in sorted(by_size.items()):
+            if size > LONG:
+                for i in places:
+                    data = words[i].encode("utf-32-le", "surrogatepass")
+                    expanded, wide = with_bytes(self.vocabulary, long_word(self.vocabulary, np.frombuffer(data, dtype=np.uint32)))
+                    order.append(i)
+                    ids.append(expanded)
+                    counts.append(np.array([wide.sum()]))
+                continue
             step = max(1, TOGETHER // size)
             for a in range(0, len(places), step):
                 group = places[a : a + step]

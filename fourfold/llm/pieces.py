@@ -76,11 +76,27 @@ def build(pieces: list[str], scores: list[float], usable: list[bool], byte_ids:
     return Vocabulary(pieces, values, mask, np.array(byte_ids, dtype=np.int32), unknown, float(values[mask].min()) - UNKNOWN_PENALTY, max(len(pieces[i]) for i in ids), keys[order], ids[order].astype(np.int32), seen)
 
 
+def check_model(sp) -> None:
+    """Raise if a model's file asks for more than is done here: another type, another normalisation, pieces of its user's."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sp.serialized_model_proto())
+    kind, norm = proto.trainer_spec, proto.normalizer_spec
+    if kind.model_type not in (kind.UNIGRAM, kind.BPE):
+        raise ValueError("only models of the types unigram and BPE have pieces with scores to search by")
+    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces or kind.treat_whitespace_as_suffix:
+        raise ValueError("only models are supported that leave text as it is but for a leading space and spaces as U+2581")
+    if any(p.type == p.USER_DEFINED for p in proto.pieces):
+        raise ValueError("models with user-defined pieces are not supported")
+
+
 def load(path: str | None = None) -> Vocabulary:
-    """The vocabulary of a model file, read on the driver."""
+    """The vocabulary of a model file, read on the driver; an error if the file asks for what is not done here."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or MODEL)
+    check_model(sp)
     n = sp.get_piece_size()
     usable = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)]
     return build([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], usable, [i for i in range(n) if sp.is_byte(i)], sp.unk_id())

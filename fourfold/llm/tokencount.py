@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -46,7 +47,7 @@ class Counter:
     def word(self, word: str) -> int:
         """Pieces on the best path; ties go to the piece that starts earliest, sums are in double precision."""
         size = len(word)
-        best, count = [-math.inf] * (size + 1), [0] * (size + 1)
+        best, count = ([-math.inf] * (size + 1), [0] * (size + 1)) if size < 100_000 else (array("d", [-math.inf]) * (size + 1), array("q", [0]) * (size + 1))
         best[0] = 0.0
         if self.single.issuperset(word):
             for end, (length, score) in self.find(word):
