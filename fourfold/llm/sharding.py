@@ -18,6 +18,9 @@ from .common import cut
 
 SHARDS = 40
 TOLERANCE = 0.002
+#: A boundary goes through a group of equal texts only where the groups' bounds are further than this share from its aim.
+CUT_BEYOND = 0.01
+GROUP = 1 << 24
 PROBES = 24
 TASK_BYTES = 256_000_000
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -59,9 +62,11 @@ def histogram(keyed: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndar
 def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, int]:
     """The parts - 1 keys at which the bytes below come nearest to equal shares, rows below each, and rounds needed.
 
-    Each round asks for the bytes below `probes` keys inside each splitter's interval, all splitters together. A
-    splitter is done when it is within tolerance * share of its aim, or when no key lies strictly inside its interval;
-    then the nearer end of the interval is taken. Keys have 64 bits, so the rounds are bounded.
+    Each round asks for the bytes below `probes` keys inside each splitter's interval, all splitters together. Only
+    bounds of groups of equal texts (multiples of GROUP) are asked for first; a splitter goes on inside a group where
+    the group's bounds are more than CUT_BEYOND * share off. A splitter is done when it is within tolerance * share of
+    its aim, or when no key lies strictly inside its interval; then the nearer end of the interval is taken. Keys have
+    64 bits, so the rounds are bounded.
     """
     total = int(keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
     aims = [total * (i + 1) / parts for i in range(parts - 1)]
@@ -74,7 +79,11 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, p
         asked = set()
         for i in open_:
             a, b = low[i][0], high[i][0]
-            asked.update(a + (b - a) * (j + 1) // (probes + 1) for j in range(probes))
+            step = GROUP if b - a > GROUP else 1
+            tried = (a + (b - a) * (j + 1) // (probes + 1) for j in range(probes))
+            asked.update(k for k in (x // step * step for x in tried) if a < k < b)
+            if step > 1:  # so that an interval shrinks to one group
+                asked.update(k for k in (a // step * step + step, (b - 1) // step * step) if a < k < b)
         keys = np.array(sorted(asked), dtype=np.int64)
         below, rows = histogram(keyed, keys)
         still = []
@@ -90,7 +99,9 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, p
                         low[i] = point
                     if j == left and point[0] < high[i][0]:
                         high[i] = point
-            if best[i][0] > slack and high[i][0] - low[i][0] > 1 and high[i][1] > low[i][1]:
+            width = high[i][0] - low[i][0]
+            enough = slack if width > GROUP else max(slack, CUT_BEYOND * total / parts)
+            if best[i][0] > enough and width > 1 and high[i][1] > low[i][1]:
                 still.append(i)
         open_ = still
     if not total:
@@ -116,8 +127,9 @@ def histogram_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     The law is `bytes`: each shard's sum of sizes is within tolerance of an equal share, or as near as the sizes of
     single rows allow. Equal texts stand side by side and share a shard unless a boundary goes through them. Null and
     empty texts have size 16 and crc32 0. Rows that repeat both text and id can't be told apart by their key: they
-    stay together, in any order among themselves. An empty table gives an empty table. Columns of docs that have the
-    new names are replaced.
+    stay together, in any order among themselves. A group of equal texts is cut only where a boundary would otherwise be
+    more than CUT_BEYOND of a share off. An empty table gives an empty table. Columns of docs that have the new names
+    are replaced.
     """
     # Ranges finer than shards keep a task's share bounded at any size; a shard is a run of ranges.
     docs = docs.drop("size", "text_crc32", "shard", "slot", "key", "part")
