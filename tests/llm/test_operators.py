@@ -30,6 +30,7 @@ def odd(spark):
         (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \t\n\x0b ", "en", None, 5), (None, "an id that is null, and some more words to fill it up", "en", "b", 3),
         (5, " ".join(words), "en", "b", 1), (6, "x" * 300_000, None, "c", 1), (7, "1234 5678 !!!", "de", "c", 1), (8, "Ünïcödé 漢字 😀\n\nend", "de", "\U0001f600", 9),
         (9, "The one and only line of this text has more than nine words\nand a third", "en", "a", 1),
+        (None, "first null line\nsecond null line", "en", "b", 3), (None, "third null line\nfirst null line", None, "b", 3), (8, "another text\nof an id that is taken\nand a third", "de", None, 9),
     ]
     frame = spark.createDataFrame(rows, SCHEMA)
     return frame.withColumns({c: F.lit(7) for c in CLASHING})
@@ -89,6 +90,30 @@ def test_quality_rules_verdict(spark, sf_dir):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_verdicts_against_counting(spark, docs, sf_dir):
+    """Each text's mean log ratio and verdict, counted in plain Python from words and word pairs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    good, rows = {r[0] for r in labels.collect()}, docs.select("doc_id", "text").collect()
+    bins = {}
+    for r in rows:
+        w = common.Words([(r["text"] or "").encode()])
+        h = w.hashes()
+        pairs = common.mix(common.ngram_hashes(h, 2) + np.uint64(1)) if len(h) > 1 else np.empty(0, dtype=np.uint64)
+        bins[r["doc_id"]] = [int(x) % rules.BINS for x in [*common.mix(h).tolist(), *pairs.tolist()]]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, b in bins.items():
+        raw.update(b)
+        if i in good:
+            target.update(b)
+    n_raw, n_target = sum(raw.values()) + rules.BINS, sum(target.values()) + rules.BINS
+    ratio = {b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in raw}
+    for r in rules.quality_rules(docs, labels).collect():
+        own = bins[r["doc_id"]]
+        want = sum(ratio[b] for b in own) / len(own) if own else 0.0
+        assert r["llr"] == pytest.approx(want, abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and want >= rules.THRESHOLD)
+
+
 def test_log_ratios_against_counting(spark):
     texts = [("a b a", True), ("b c", False), ("a", True)]
     got = rules.log_ratios(spark.createDataFrame(texts, "text string, trusted boolean"))
@@ -121,6 +146,29 @@ def test_language_kernel_against_sets():
     assert (model.scores(found).argmax(axis=1) == [0, 1, 0, 1]).all()
 
 
+def test_language_weights_against_dense_kernels():
+    """With every text a landmark the model is kernel ridge regression itself."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"abcde " if k % 2 else b"cdefg "), 40).tolist()) for k in range(20)]
+    langs = ["x" if k % 2 else "y" for k in range(20)]
+    found = [language.grams(t) for t in texts]
+    model = language.fit(found, langs, landmarks=20, ridge=1e-3)
+    kernel = model.kernel(found).astype(float)
+    order = [i for lang in ("x", "y") for i in range(20) if langs[i] == lang]
+    square = kernel[:, np.argsort(order)]
+    wanted = np.array([[1.0 if x == lang else -1.0 for lang in ("x", "y")] for x in langs])
+    dense = square @ np.linalg.solve(square + 1e-3 * 20 * np.eye(20), wanted)
+    assert np.abs(model.scores(found) - dense).max() < 1e-3
+
+
+def test_language_model_is_bounded(monkeypatch):
+    monkeypatch.setattr(language, "NUMBERS", 4_000)
+    rng = np.random.default_rng(4)
+    found = [language.grams(bytes(rng.integers(97, 123, 300).tolist())) for _ in range(30)]
+    model = language.fit(found, [f"l{i % 3}" for i in range(30)])
+    assert model.landmarks.shape[1] >= 3 and model.landmarks.size <= 4_000 or model.landmarks.shape[1] == 3
+
+
 def test_language_id(spark, odd, none):
     got = queries.queries()["op2_language_id"](spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
@@ -134,7 +182,7 @@ def test_language_id(spark, odd, none):
     found = collections.defaultdict(set)
     for r in rows:
         found[r["doc_id"]].add((r["lang_pred"], r["score"]))
-    assert all(len(v) == 1 for v in found.values())
+    assert all(len(v) == 1 for i, v in found.items() if i not in (None, 8))
     assert {i for i, v in found.items() if {x for x, _ in v} == {"und"}} == {2, 3, 4, 7}
     assert language.predict(none, model).count() == 0
     unlearned = language.predict(odd, language.learn(none)).select("lang_pred").distinct().collect()
@@ -155,7 +203,10 @@ def edit(a, b):
 def brute_lines(rows):
     """The text that each document keeps, by comparing every line with every earlier one."""
     seen, by_length, out = set(), collections.defaultdict(list), []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+    # The first row of an id stands in its place; the others, and rows without an id, after all ids.
+    ids: set = set()
+    again = [r[0] is None or r[0] in ids or ids.add(r[0]) is not None for r in rows]
+    for _, (doc, text) in sorted(enumerate(rows), key=lambda x: (again[x[0]], 0 if again[x[0]] else x[1][0], x[0])):
         if text is None:
             out.append((doc, None))
             continue
@@ -188,9 +239,28 @@ def test_line_dedup_made_up(spark, odd, none):
     assert linededup.dedup_lines(none).count() == 0
     out = linededup.dedup_lines(odd).collect()
     assert len(out) == odd.count()
-    by = {r["doc_id"]: r for r in out}
-    assert by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == " \t\n\x0b "
-    assert by[9]["text"] == "and a third" and by[1]["n_kept"] == 2 and by[8]["text"] == "Ünïcödé 漢字 😀\n\nend"
+    assert out[0].asDict().keys() == {*odd.columns}
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out)
+    assert got == collections.Counter(brute_lines([(r["doc_id"], r["text"]) for r in odd.collect()]))
+    assert got[(2, None)] == got[(3, "")] == got[(4, " \t\n\x0b ")] == got[(9, "and a third")] == got[(1, "")] == 1
+    assert got[(None, "first null line\nsecond null line")] == got[(None, "third null line")] == got[(8, "another text\nof an id that is taken")] == 1
+
+
+def test_line_dedup_least_words(spark):
+    rows = [(1, "a b c d"), (2, "a b c e"), (3, "a b"), (4, "a c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: r[1] for r in linededup.dedup_lines(frame).select("doc_id", "n_kept").collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert {r[0]: r[1] for r in linededup.dedup_lines(frame, least=4).select("doc_id", "n_kept").collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
+
+
+def test_row_keys(spark):
+    rows = [(5, "a"), (None, "b"), (5, "c"), (9, "d"), (None, "e"), (5, "f"), (-3, "g")]
+    got = {r["x"]: (r["doc_id"], r["k"]) for r in common.with_row_keys(spark.createDataFrame(rows, "doc_id long, x string"), "doc_id", "k").collect()}
+    assert len({k for _, k in got.values()}) == 7
+    assert got["a"][1] == 5 and got["d"][1] == 9 and got["g"][1] == -3
+    assert 9 < got["b"][1] < got["c"][1] < got["e"][1] < got["f"][1]
+    plain = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, x string")
+    assert sorted(r["k"] for r in common.with_row_keys(plain, "doc_id", "k").collect()) == [1, 2]
 
 
 def test_within_one():
@@ -266,6 +336,45 @@ def test_encoding_against_plain_viterbi(model, docs, odd):
             assert back[k].decode() == t == library.decode(own)
 
 
+def test_long_words(model):
+    """Words of any length are cut where no piece lies, or stepped through; both give the best path."""
+    enc, count = encoding.Encoder(model), tokencount.Counter(model)
+    table = {p: i for i, (p, u) in enumerate(zip(model.pieces, model.usable, strict=True)) if u}
+    rng = np.random.default_rng(2)
+    words = ["x" * 3_001, "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 5_000)), "".join("abehnrst"[k] for k in rng.integers(0, 8, 4_000)), "😀é" * 1_500, "ab漢" * 2_000]
+    for w in words:
+        ids, bounds = enc.encode([w])
+        assert ids.tolist() == plain_viterbi(model, table, pieces.SPACE + w) and count.text(w) == len(ids)
+        points = np.frombuffer((pieces.SPACE + w).encode("utf-32-le"), dtype=np.uint32)
+        expanded, _ = encoding.with_bytes(model, encoding.step_through(model, points))
+        assert expanded.tolist() == ids.tolist()
+
+
+def test_model_file_is_checked():
+    """A file that asks for another normalisation, or has pieces of its user's, is an error."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    pieces.check_model(sp)
+
+    class Changed:
+        def __init__(self, change):
+            self.proto = sentencepiece_model_pb2.ModelProto()
+            self.proto.ParseFromString(sp.serialized_model_proto())
+            change(self.proto)
+
+        def serialized_model_proto(self):
+            return self.proto.SerializeToString()
+
+    for change in (
+        lambda p: setattr(p.normalizer_spec, "remove_extra_whitespaces", True), lambda p: setattr(p.normalizer_spec, "add_dummy_prefix", False),
+        lambda p: setattr(p.trainer_spec, "model_type", p.trainer_spec.WORD), lambda p: setattr(p.pieces[500], "type", p.pieces[500].USER_DEFINED),
+    ):
+        with pytest.raises(ValueError):
+            pieces.check_model(Changed(change))
+
+
 def test_encode_and_decode_frames(spark, odd, none, model):
     out = encoding.encode(odd, vocabulary=model)
     rows = out.select("doc_id", "text", "n_pieces", "ids", "ids_crc32", "round_trip").collect()
@@ -297,6 +406,24 @@ def test_sharding(spark, docs, odd, none):
     assert sharding.histogram_shards(none).count() == 0
 
 
+def test_sharding_against_a_sort(spark):
+    """Sorted by key, shards are runs, slots are places in them, and boundaries lie between groups of equal texts that are no larger than a hundredth of a share."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    out = sharding.histogram_shards(frame, shards=8).withColumn("key", sharding.sort_key(F.col("text"), F.col("doc_id"))).select("doc_id", "size", "shard", "slot", "key").toPandas()
+    out = out.sort_values(["key", "doc_id"]).reset_index(drop=True)
+    assert (np.diff(out["shard"]) >= 0).all()
+    assert (out.groupby("shard").cumcount() == out["slot"]).all()
+    share = out["size"].sum() / 8
+    below = out["size"].cumsum().to_numpy()
+    for b in np.flatnonzero(np.diff(out["shard"])):
+        aim = share * out["shard"][b + 1]
+        group = out["key"].to_numpy() >> 24
+        if group[b] == group[b + 1]:
+            whole = out["size"][group == group[b]].sum()
+            assert whole > 0.02 * share
+        assert abs(below[b] - aim) <= max(0.01 * share, out["size"].max())
+
+
 def test_splitters_go_through_a_group_of_copies(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one text for all of them").alias("text"))
     out = sharding.histogram_shards(rows).groupBy("shard").count().collect()
@@ -355,6 +482,21 @@ def test_classifier(spark, odd, none):
     assert classifier.classify(none, classifier.Model()).count() == 0
 
 
+def test_boosted_tables_reach_the_log_odds():
+    """One feature with two values: the fit is the log odds of either, which can be counted."""
+    y = np.array([1.0] * 90 + [0.0] * 10 + [1.0] * 30 + [0.0] * 70)
+    x = np.array([[0.0]] * 100 + [[1.0]] * 100)
+    m = classifier.fit(x, y)
+    low, high = m.margin(np.array([[0.0], [1.0]]))
+    assert low == pytest.approx(math.log(9), abs=0.15) and high == pytest.approx(math.log(3 / 7), abs=0.15)
+
+
+def test_labels_that_repeat_are_bounded(spark):
+    docs = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, y int")
+    assert isinstance(classifier.learn(docs, labels, sample=50), classifier.Model)
+
+
 def brute_components(rows):
     sets = {}
     for doc, text in rows:
@@ -455,9 +597,20 @@ def test_near_duplicates_odd(spark, odd, none):
     by = {r["doc_id"]: r for r in rows}
     assert all(by[i]["n_shingles"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in (2, 3, 4))
     assert by[6]["n_shingles"] == 1 and by[None]["component_id"] is None
+    assert [r["kept"] for r in rows if r["doc_id"] == 1] == [True, True] and [r["component_id"] for r in rows if r["doc_id"] == 8] == [8, 8]
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_repeated_and_null_ids(spark):
+    """Rows that repeat an id, or have none, are linked as all others are, and a component has the smallest id among its rows."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " more"
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(7, text), (9, near), (None, near), (3, other), (3, text), (None, other + " x"), (None, "a b c d e f g"), (4, "a b c d e f g h")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(7, 36, 3, False), (9, 37, 3, False), (0, 37, 3, False), (3, 36, 3, True), (3, 36, 3, True), (0, 37, 3, False), (0, 3, 4, False), (4, 4, 4, True)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (103, 200)]
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

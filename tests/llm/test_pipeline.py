@@ -35,6 +35,46 @@ def test_stages(spark):
     assert back.join(fourth.select("doc_id", "text").distinct(), "doc_id").filter(F.col("decoded") != F.col("text")).count() == 0
 
 
+def odd_documents(spark):
+    """Null ids, texts and sources, repeated rows, blank and very long texts, and columns whose names clash with those made inside."""
+    line = "The licence text that every file of this project repeats at its end"
+    rows = [
+        (1, f"Ein Satz über das Wetter in der Stadt und auf dem Land\n{line}", "de", "a", 1), (1, f"Ein Satz über das Wetter in der Stadt und auf dem Land\n{line}", "de", "a", 1),
+        (None, "the quick brown fox jumps over the lazy dog near the river bank", "en", "b", 1), (None, "the quick brown fox jumps over the lazy dog near the river bank today", "en", None, 1),
+        (2, f"{line}\nthe cat and the dog were seen in the garden of the old house", "en", None, 1), (3, None, None, None, None), (4, " \n ", "en", "a", 3), (5, "12 34", "en", "a", 5),
+        (6, " ".join(f"word{i % 5000}x{i % 77}" for i in range(80_000)), "en", "b", 1), (1, "une phrase tout autre sur les arbres et les fleurs du jardin", "fr", "c", 1), (7, "漢" * 5_000, "zh", "c", 5_000),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.withColumns({c: F.lit(1) for c in ("row", "doc", "key", "kept", "lines", "copies", "ids", "lang_pred", "n_kept")})
+
+
+def test_stages_on_odd_documents(spark):
+    docs = odd_documents(spark)
+    first = corpus_pipeline.identify_language(spark, docs, D).cache()
+    assert sorted((r["doc_id"] or 0) for r in first.collect()) == [0, 0, 1, 1, 1, 2, 6, 7]
+    second = corpus_pipeline.dedup_lines(spark, docs, D).cache()
+    texts = [(r["doc_id"], r["text"]) for r in second.collect()]
+    assert sum(i == 1 for i, _ in texts) == 2 and sum(i is None for i, _ in texts) == 1  # repeated rows lose all their lines
+    assert (2, "the cat and the dog were seen in the garden of the old house") in texts and (3, None) in texts
+    third = corpus_pipeline.drop_near_duplicates(spark, docs, D).cache()
+    assert sorted((r["doc_id"] or 0) for r in third.collect()) == [0, 1, 1, 2, 3, 4, 5, 6, 7]
+    fourth = corpus_pipeline.mix_sources(spark, docs, D)
+    assert fourth.columns == list(corpus_pipeline.COLUMNS)
+    fifth = corpus_pipeline.encode_text(spark, docs, D)
+    assert fifth.count() == docs.count() and fifth.filter("not round_trip").count() == 0
+
+
+def test_stages_on_no_documents(spark):
+    none = odd_documents(spark).filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, D).count() == 0, name
+
+
+def test_nothing_to_learn_from_keeps_texts(spark):
+    docs = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, docs, D).count() == 8
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.count() > 0 and "ids" in out.columns
