@@ -7,8 +7,10 @@ s. With 1 / threshold children on average a pair at the threshold survives any d
 trees raise the recall to 1 - (1 - chance)**trees. A node that is small is compared exhaustively, by sketches of one bit
 a token that its rows carry. In a larger one links with a leader are confirmed first. A node whose members are in one
 component by then has nothing more to say and goes; any other branches on in the same way, until its nodes are small, or
-those of its members that are outside its largest component can be compared with all. Links are confirmed on the full
-sets of shingles, and components are the smallest ids reachable.
+those of its members that are outside its largest component can be compared with all, block by block. Where sketches
+leave few pairs these go on as candidates; in a dense node, where they leave many, full sets are compared in the blocks
+themselves, and only the links that join components come out. Links are confirmed on the full sets of shingles, and
+components are the smallest ids reachable.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ DEPTH = 2
 #: A large node is compared exhaustively, too, where its members outside the largest component make so few pairs with
 #: all of them. LAST: a node so deep that is still large (equal signatures of unlike sets) is compared exhaustively,
 #: whatever its size. STEP: levels between two looks at the components.
-FEW_PAIRS, LAST, STEP = 1_000_000, 40, 3
+FEW_PAIRS, LAST, STEP = 16_000_000, 40, 3
+#: A node, or two blocks of one, is dense if sketches leave more pairs than this for each of its members.
+SPARSE = 2
+#: Members of a block whose sketches, and whose full sets, are compared together, and shingles of the latter.
+BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 10_000, 2_000, 1_000_000
 #: Leaders whose links with a member are confirmed before its nodes branch on; those of its largest nodes.
 LEADERS = 2
 #: A pair is looked at in full if so many of the 128 tokens agree, and of their last bits: 4.5 standard deviations under
@@ -181,10 +187,91 @@ def _ordered() -> list[Column]:
 
 
 def _all_pairs(small: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of each small node whose bits are alike enough."""
-    x = small.groupBy("path").agg(F.collect_list(F.struct("rep", "s1", "s2")).alias("m")).select("m", F.explode("m").alias("x"))
-    fit = F.filter("m", lambda y: (y["rep"] > F.col("x.rep")) & _alike(lambda c: F.col(f"x.{c}"), lambda c: y[c]))
-    return x.select(F.col("x.rep").alias("a"), F.explode(fit).alias("y")).select("a", F.col("y.rep").alias("b"))
+    """path, n, pairs: the pairs (a, b), a < b, of each small node whose bits are alike enough, where there are any."""
+
+    def beside(x: Column) -> Column:
+        fit = F.filter("m", lambda y: (y["rep"] > x["rep"]) & _alike(lambda c: x[c], lambda c: y[c]))
+        return F.transform(fit, lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
+
+    nodes = small.groupBy("path").agg(F.collect_list(F.struct("rep", "s1", "s2")).alias("m"))
+    return nodes.select("path", F.size("m").alias("n"), F.flatten(F.transform("m", beside)).alias("pairs")).filter(F.size("pairs") > 0)
+
+
+def _blocks(mixed: DataFrame, block: int, weight: Column | None = None, budget: int = 1) -> DataFrame:
+    """mixed (path, rep, comp, top, all, rest, ...) with i, j, left: members outside a node's largest component (left) meet all members in blocks (i, j) of bounded size; weight and budget bound the sum of a weight in it, too."""
+    parts = mixed.groupBy("path").agg(F.first("all").alias("_all"), F.first("rest").alias("_rest"), F.sum(weight if weight is not None else F.lit(0)).alias("_w"))
+    heavy = F.ceil(F.col("_w") / budget)
+    parts = parts.select("path", F.greatest(F.ceil(F.col("_all") / block), heavy, F.lit(1)).alias("_nj"), F.greatest(F.ceil(F.col("_rest") / block), F.ceil(heavy * F.col("_rest") / F.col("_all")), F.lit(1)).alias("_ni"))
+    rows = mixed.join(parts, "path")
+    h = F.xxhash64("rep")
+    left = rows.filter("comp <> top").withColumn("i", F.pmod(h, F.col("_ni"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nj") - 1))).withColumn("left", F.lit(True))
+    right = rows.withColumn("j", F.pmod(h, F.col("_nj"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ni") - 1))).withColumn("left", F.lit(False))
+    return left.unionByName(right).drop("_ni", "_nj")
+
+
+def _sides(t: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Left and right rows of a block, and which pairs count: of two components, and once if both members are outside the largest."""
+    mask = t.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    a, b = t.filter(pa.array(mask)), t.filter(pa.array(~mask))
+    ca, cb = a.column("comp").to_numpy(), b.column("comp").to_numpy()
+    ra, rb = a.column("rep").to_numpy(), b.column("rep").to_numpy()
+    counts = (ca[:, None] != cb[None, :]) & ((cb == b.column("top").to_numpy())[None, :] | (ra[:, None] < rb[None, :]))
+    return a, b, counts
+
+
+def _alike_in_block(t: pa.Table) -> pa.Table:
+    """(path, a, b) of alike pairs in one block; one row with nulls if there are too many."""
+    a, b, counts = _sides(t)
+    bits = [[x.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")] for x in (a, b)]
+    out_a, out_b, n = [], [], 0
+    ra, rb = a.column("rep").to_numpy(), b.column("rep").to_numpy()
+    for k in range(0, len(ra), 500):
+        apart = sum((np.bitwise_count(x[k : k + 500, None] ^ y[None, :]).astype(np.int16) for x, y in zip(*bits, strict=True)), np.int16(0))
+        i, j = np.nonzero((apart <= POSITIONS - BITS_AGREE) & counts[k : k + 500])
+        out_a.append(ra[k + i])
+        out_b.append(rb[j])
+        n += len(i)
+        if n > SPARSE * (len(ra) + len(rb)):
+            return pa.table({"path": pa.array([t.column("path")[0].as_py()], pa.int64()), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+    path = t.column("path")[0].as_py() if t.num_rows else 0
+    return pa.table({"path": pa.array(np.full(n, path), pa.int64()), "a": pa.array(np.concatenate([*out_a, np.empty(0, dtype=np.int64)]), pa.int64()), "b": pa.array(np.concatenate([*out_b, np.empty(0, dtype=np.int64)]), pa.int64())})
+
+
+def _links_in_block(t: pa.Table) -> pa.Table:
+    """(a, b): links of full sets in one block that join components, as many as it takes and no more."""
+    a, b, counts = _sides(t)
+    sets = [list(shingle_sets(as_bytes(x.column("text").combine_chunks()))) for x in (a, b)]
+    sizes = [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
+    _, number = np.unique(np.concatenate([*sets[0], *sets[1], np.empty(0, dtype=np.uint64)]), return_inverse=True)
+    first = int(sizes[0].sum())
+    # Right members by shingle; how many a left member shares with each is a count over its shingles' lists.
+    owner = np.repeat(np.arange(len(sizes[1])), sizes[1])
+    order = np.argsort(number[first:], kind="stable")
+    ends = np.searchsorted(number[first:][order], np.arange(number.max() + 2 if len(number) else 1))
+    owner = owner[order]
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    out, at = [], 0
+    ra, rb, ca, cb = (x.column(c).to_numpy() for c in ("rep", "comp") for x in (a, b))
+    for i, n in enumerate(sizes[0].tolist()):
+        own = number[at : at + n]
+        at += n
+        many = ends[own + 1] - ends[own]
+        stops = np.cumsum(many)
+        held = owner[np.arange(stops[-1] if n else 0) + np.repeat(ends[own] - (stops - many), many)]
+        shared = np.bincount(held, minlength=len(sizes[1]))
+        for j in np.flatnonzero((100 * shared >= PERCENT * (n + sizes[1] - shared)) & counts[i]).tolist():
+            x, y = top(int(ca[i])), top(int(cb[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append(sorted((int(ra[i]), int(rb[j]))))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _led(large: DataFrame, nodes: int) -> DataFrame:
@@ -197,38 +284,52 @@ def _led(large: DataFrame, nodes: int) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, agree), a < b: documents (rep, s1, s2, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
+    """(a, b, agree), a < b: documents (rep, n_shingles, s1, s2, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
 
     texts gives (id, text) for documents (id). A small node gives all its pairs. In a large one the members' links with
     leaders are confirmed; then only pairs inside a component go without being compared, as no such link changes a
     component. Members alike are linked at once, and of members less alike than the threshold fewer than one in
     1 / threshold goes the same way, so that the rows shrink from level to level.
     """
-    level = reps.mapInArrow(_first_nodes, "path long, rep long, s1 long, s2 long")
+    level = reps.select("rep", "s1", "s2", "sig").mapInArrow(_first_nodes, "path long, rep long, s1 long, s2 long")
     found, edges, part, depth = [], None, None, DEPTH
+
+    def linked(links: DataFrame) -> None:
+        nonlocal edges, part
+        links = _cut(links)
+        if not links.isEmpty():
+            edges = links if edges is None else edges.unionByName(links)
+            part = components(edges)
+
     while True:
         # At first every document is a component of its own.
         ends = [] if depth == DEPTH else [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
         sizes = level.groupBy("path").agg(F.count("*").alias("n"), *ends).filter("lo < hi" if ends else "n > 1").select("path", "n")
         nodes = _cut(level.drop("comp").join(sizes, "path"))
-        found.append(_all_pairs(nodes.filter(F.col("n") <= NODE)))
+        small = _cut(_all_pairs(nodes.filter(F.col("n") <= NODE)))
+        crowded = F.size("pairs") > SPARSE * F.col("n")
+        found.append(small.filter(~crowded).select(F.explode("pairs").alias("p")).select("p.a", "p.b"))
         large = nodes.filter(F.col("n") > NODE)
         many = large.select("path").distinct().count()
-        if not many:
-            break
-        led = _cut(_apart(_led(large, many), part))
-        links = _cut(confirm(led, texts(led.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
-        if not links.isEmpty():
-            edges = links if edges is None else edges.unionByName(links)
-            part = components(edges)
-        tagged = _cut(_labelled(large.drop("n"), "rep", part, "comp").select("path", "rep", "s1", "s2", "comp"))
+        if many:
+            led = _cut(_apart(_led(large, many), part))
+            linked(confirm(led, texts(led.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+        heavy = large.unionByName(nodes.join(small.filter(crowded).select("path"), "path", "left_semi"))
+        tagged = _cut(_labelled(heavy.drop("n"), "rep", part, "comp").select("path", "rep", "s1", "s2", "comp"))
         counts = tagged.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
         mixed = _cut(tagged.join(counts.filter("rest > 0"), "path"))
+        if mixed.isEmpty():
+            break
         done = (F.col("rest") * F.col("all") <= FEW_PAIRS) | F.lit(depth >= LAST)
         few, on = mixed.filter(done), mixed.filter(~done)
-        one, two = few.filter("comp <> top").alias("one"), few.alias("two")
-        fit = (F.col("one.path") == F.col("two.path")) & F.expr("one.comp <> two.comp and (two.comp = two.top or one.rep < two.rep)") & _alike(lambda c: F.col(f"one.{c}"), lambda c: F.col(f"two.{c}"))
-        found.append(_cut(one.join(two, fit).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).select(*_ordered()).distinct()))
+        alike = _cut(_blocks(few, BLOCK).groupBy("path", "i", "j").applyInArrow(_alike_in_block, "path long, a long, b long"))
+        dense = _cut(alike.filter("a is null").select("path").distinct())
+        found.append(alike.join(dense, "path", "left_anti").select(*_ordered()).distinct())
+        if not dense.isEmpty():
+            full = few.join(dense, "path", "left_semi").join(reps.select("rep", "n_shingles"), "rep")
+            full = _blocks(full, BLOCK_SETS, F.col("n_shingles"), BLOCK_SHINGLES).select("path", "i", "j", "left", "rep", "comp", "top")
+            held = texts(full.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+            linked(full.join(held, "rep").groupBy("path", "i", "j").applyInArrow(_links_in_block, "a long, b long").distinct())
         if on.isEmpty():
             break
         below = on.select("path", "rep", "s1", "s2", "comp").join(reps.select("rep", "sig"), "rep").select("path", "rep", "s1", "s2", "comp", "sig")
@@ -284,8 +385,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     keyed = with_row_keys(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "key")
     facts = cut(keyed.select("key", "text", "doc_id").mapInArrow(_facts, "key long, doc_id long, n_shingles long, k1 long, k2 long, sig binary, s1 long, s2 long"))
-    classes = cut(facts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("sig").alias("sig")))
-    reps = classes.select("rep", "s1", "s2", "sig")
+    classes = cut(facts.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("sig").alias("sig")))
+    reps = classes.select("rep", "n_shingles", "s1", "s2", "sig")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """(id, text) of some documents, written out. Ids go to every task while they are few, so that texts stay where they are."""
