@@ -703,3 +703,19 @@ def test_measured_window_against_counting(spark):
         apart += [min(abs(int(r[q]) - int(r[j])) for r in ranks) for j in np.argsort(far)[:10]]
     want = sorted(apart)[int(np.ceil(0.9 * len(apart)))] + 1
     assert abs(got - max(neighbours.LEAST_WINDOW, want)) <= 2
+
+
+def test_near_duplicates_dense_nodes(spark, monkeypatch):
+    """A wide group, many of whose pairs lie just under the threshold, in blocks of a few rows: no link is lost and no pair is listed."""
+    rng = np.random.default_rng(21)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for k in rng.choice(160, int(rng.integers(0, 9)), replace=False):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 50)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
