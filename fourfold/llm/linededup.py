@@ -93,10 +93,11 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, words) -> (key, kind, doc, line).
+def _variants(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(doc, line, words) -> (key, doc, line).
 
-    kind 0: a word left out at a place, the place is part of the key; 1: a word left out anywhere; 2: the line itself.
+    kind `placed`: a word left out at a place, the place is part of the key; `left_out`: a word left out anywhere;
+    `whole`: the line itself.
     """
     for batch in batches:
         for part in slices(batch, "words"):
@@ -105,20 +106,24 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             size = x.end - x.begin
             at = np.arange(len(x.hashes))
+            if kind == "whole":
+                keys, own = mix(x.run(x.begin, x.end) + size.astype(np.uint64)), np.arange(len(size))
+                yield _keyed(keys, pa.array(x.text[own]), part)
+                continue
             own = np.repeat(np.arange(len(size)), size)
             b, e = x.begin[own], x.end[own]
             back = x._back[_B1]
             sums = x._sums[_B1]
             rest = (sums[at] - sums[b]) * back[b] + (sums[e] - sums[at + 1]) * back[b + 1]
             n = (e - b).astype(np.uint64)
-            left_out = mix(rest + n - np.uint64(1))
-            placed = mix(mix(rest + n - np.uint64(1)) + mix((at - b + 1).astype(np.uint64) * np.uint64(_B2)))
-            whole = mix(x.run(x.begin, x.end) + size.astype(np.uint64))
-            rows = np.concatenate([x.text[own], x.text[own], x.text])
-            kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(own), len(own), len(size)])
-            keys = np.concatenate([placed, left_out, whole]).view(np.int64)
-            where = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kind), part.column(0).take(where), part.column(1).take(where)], names=["key", "kind", "doc", "line"])
+            keys = mix(rest + n - np.uint64(1))
+            if kind == "placed":
+                keys = mix(keys + mix((at - b + 1).astype(np.uint64) * np.uint64(_B2)))
+            yield _keyed(keys, pa.array(x.text[own]), part)
+
+
+def _keyed(keys: np.ndarray, where: pa.Array, part: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(where), part.column(1).take(where)], names=["key", "doc", "line"])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -170,9 +175,14 @@ def kept_lines(source: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(_chosen, "doc long, line int, words binary")
     texts = cut(texts)
-    variants = texts.mapInArrow(_variants, "key long, kind byte, doc long, line int").select("key", "kind", F.struct("doc", "line").alias("p"))
-    variants = cut(variants)
-    placed, left_out, whole = (variants.filter(F.col("kind") == k).drop("kind") for k in (0, 1, 2))
+
+    def variants(kind: str) -> DataFrame:
+        return texts.mapInArrow(functools.partial(_variants, kind=kind), "key long, doc long, line int").select("key", F.struct("doc", "line").alias("p"))
+
+    placed, left_out, whole = cut(variants("placed")), variants("left_out"), variants("whole")
+    # One key a line goes to every task while lines are few, so that the many keys of variants stay where they are.
+    if texts.count() <= BROADCAST_LINES:
+        whole = F.broadcast(whole)
     earliest = placed.groupBy("key").agg(F.min("p").alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
     replaced = placed.join(earliest, "key").filter("p > e").select("p", "e")
     put_in = left_out.join(whole.withColumnRenamed("p", "w"), "key").select(F.greatest("p", "w").alias("p"), F.least("p", "w").alias("e"))
