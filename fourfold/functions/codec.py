@@ -32,6 +32,28 @@ def iupac_code(char: Column) -> Column:
     return F.element_at(table, F.upper(char))
 
 
+def count_letters(text: Column, letters: str) -> Column:
+    """How many characters of a text are one of some letters; the text stays whole, nothing is spread over rows."""
+    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+
+
+def xy_counts(text: Column) -> list[Column]:
+    """n0 to n3: how often each two-bit code stands in a text, and n_other: characters that have none."""
+    found = [count_letters(text, letters) for letters in ("Aa", "Cc", "TtUu", "Gg")]
+    return [*[c.alias(f"n{k}") for k, c in enumerate(found)], (F.length(text).cast("long") - sum(found[1:], found[0])).alias("n_other")]
+
+
+def iupac_counts(text: Column) -> list[Column]:
+    """n_valid, n_options, n_plain: IUPAC letters in a text, nucleotides that they may stand for in all, and letters of one nucleotide."""
+    by_size: dict[int, str] = {}
+    for letter, bits in (IUPAC | {"U": 8, "X": 15}).items():
+        by_size[bits.bit_count()] = by_size.get(bits.bit_count(), "") + letter + letter.lower()
+    found = {k: count_letters(text, letters) for k, letters in by_size.items()}
+    total = sum(list(found.values())[1:], next(iter(found.values())))
+    options = sum((c * k for k, c in found.items()), F.lit(0))
+    return [total.alias("n_valid"), options.cast("long").alias("n_options"), found[1].alias("n_plain")]
+
+
 def iupac_char(code: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in IUPAC.items() for x in (v, k)])
     return F.element_at(table, code.cast("int"))
@@ -96,6 +118,13 @@ def expected_errors(text: Column) -> Column:
     return F.aggregate(qualities(text), F.lit(0.0), lambda a, q: a + error_probability(q))
 
 
+def text_errors(text: Column) -> Column:
+    """Expected errors of any text taken as a quality string, and its characters from ! to ~, which alone count: a struct of expected and n."""
+    counts = F.filter(F.split(text, ""), lambda c: (c >= "!") & (c <= "~") & (F.length(c) == 1))
+    start = F.struct(F.lit(0.0).alias("expected"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(counts, start, lambda a, c: F.struct((a["expected"] + error_probability(phred(c))).alias("expected"), (a["n"] + 1).alias("n")))
+
+
 def error_free_probability(text: Column) -> Column:
     return F.aggregate(qualities(text), F.lit(1.0), lambda a, q: a * (1 - error_probability(q)))
 

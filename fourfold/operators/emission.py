@@ -12,6 +12,10 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keep import cut
+
+#: So many sites of haplotypes are sent to every task.
+BROADCAST_SITES = 1_000_000
 TERMS = ("one", "read_pos", "qua", "hC", "hG", "hT", "qua_hC", "qua_hG", "qua_hT")
 #: Codes of the choices, in order.
 CHOICES = {"C": 1, "G": 3, "T": 2}
@@ -35,19 +39,32 @@ def log_probability(read_pos: Column, qua: Column, hap: Column, nuc: Column, bet
     own = F.lit(0.0)
     for c, code in enumerate(CHOICES.values()):
         own = F.when(nuc == code, score[c]).otherwise(own)
-    return own - F.log(1.0 + F.exp(score[0]) + F.exp(score[1]) + F.exp(score[2]))
+    top = F.greatest(F.lit(0.0), *score)  # taken out, so that no score is too large for exp
+    return own - top - F.log(F.exp(-top) + F.exp(score[0] - top) + F.exp(score[1] - top) + F.exp(score[2] - top))
 
 
 def consensus(bases: DataFrame, by: str = "true_hap") -> DataFrame:
     """region, ref_pos, h0 to h3: the most frequent nucleotide of each class of reads, the lowest code of equals."""
-    counts = bases.groupBy("region", "ref_pos", by, "nuc").agg(F.count("*").alias("n"))
-    best = counts.groupBy("region", "ref_pos").pivot(by, [0, 1, 2, 3]).agg(F.max_by("nuc", F.struct("n", -F.col("nuc"))))
-    return best.select("region", "ref_pos", *[F.col(str(k)).alias(f"h{k}") for k in range(4)])
+    each = [F.count_if((F.col(by) == k) & (F.col("nuc") == n)).alias(f"c{k}{n}") for k in range(4) for n in range(4)]
+    counts = bases.groupBy("region", "ref_pos").agg(*each)
+
+    def best(k: int) -> Column:
+        top = F.greatest(*[F.col(f"c{k}{n}") for n in range(4)])
+        found = F.coalesce(*[F.when(F.col(f"c{k}{n}") == top, n) for n in range(4)])
+        return F.when(top > 0, found).cast("long").alias(f"h{k}")
+
+    return counts.select("region", "ref_pos", *[best(k) for k in range(4)])
 
 
 def observations(bases: DataFrame, haps: DataFrame) -> DataFrame:
-    """Bases with the nucleotides of the four haplotypes there; bases where the first or last haplotype has a gap go."""
-    return bases.join(haps, ["region", "ref_pos"]).filter("h0 >= 0 and h3 >= 0")
+    """Bases with the nucleotides of the four haplotypes there; bases where the first or last haplotype has a gap go.
+
+    Haplotypes have one row a site: while these are few they go to every task, and the bases stay where they are.
+    """
+    haps = cut(haps.filter("h0 >= 0 and h3 >= 0"))
+    if haps.count() <= BROADCAST_SITES:
+        haps = F.broadcast(haps)
+    return bases.join(haps, ["region", "ref_pos"])
 
 
 def by_haplotype(obs: DataFrame) -> DataFrame:

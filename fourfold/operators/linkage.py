@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranges import points_in_intervals
+from .ranges import overlapping, points_in_intervals
 
 MISSING, GENOME_GAP = -1, 4
 
 
 def snp_sites(calls: DataFrame) -> DataFrame:
-    """Sites with more than one state, numbered along each region."""
-    sites = calls.filter("n_states > 1").select("region", "ref_pos", "a0", "a1", "n_states", "site_class")
+    """Sites with more than one state, numbered along each region; symbol goes along if calls have one."""
+    more = ["symbol"] if "symbol" in calls.columns else []
+    sites = calls.filter("n_states > 1").select("region", "ref_pos", "a0", "a1", "n_states", "site_class", *more)
     return sites.withColumn("site", F.row_number().over(W.partitionBy("region").orderBy("ref_pos")) - 1)
 
 
@@ -30,8 +31,23 @@ def linkage(bases: DataFrame, reads: DataFrame, sites: DataFrame, symbol: str |
     return seen.select("region", "read_id", "site", "ref_pos", F.coalesce(allele, F.lit(MISSING)).cast("long").alias("nuc"))
 
 
+def masked(bases: DataFrame, sites: DataFrame) -> DataFrame:
+    """region, read_id, site of bases that are neither of their site's two alleles: taken as missing."""
+    at = bases.select("region", "read_id", "ref_pos", "nuc").join(sites.select("region", "ref_pos", "site", "a0", "a1"), ["region", "ref_pos"])
+    return at.filter(~(F.col("nuc").eqNullSafe(F.col("a0")) | F.col("nuc").eqNullSafe(F.col("a1")))).select("region", "read_id", "site")
+
+
+def unshared(link: DataFrame, gone: DataFrame, sites: DataFrame) -> DataFrame:
+    """region, site: sites that no read covers together with the next one; a read doesn't cover what is masked in it (gone)."""
+    order = W.partitionBy("region", "read_id").orderBy("site")
+    cover = link.select("region", "read_id", "site").join(gone, ["region", "read_id", "site"], "left_anti")
+    tied = cover.withColumn("after", F.lead("site").over(order)).filter("after = site + 1").select("region", "site").distinct()
+    inner = sites.select("region", "site").join(sites.select("region", (F.col("site") - 1).alias("site")), ["region", "site"])
+    return inner.join(tied, ["region", "site"], "left_anti")
+
+
 def adjacent_pairs(link: DataFrame) -> DataFrame:
-    """region, site, nuc, next_nuc, n: how often reads carry two alleles at neighbouring sites, both known."""
+    """region, site, nuc, next_nuc, n: how often reads carry two alleles at neighbouring sites, both known; a gap of one sub-genome is known."""
     order = W.partitionBy("region", "read_id").orderBy("site")
     pairs = link.withColumn("next_site", F.lead("site").over(order)).withColumn("next_nuc", F.lead("nuc").over(order))
     pairs = pairs.filter("next_site = site + 1 and nuc >= 0 and next_nuc >= 0")
@@ -51,10 +67,33 @@ def patterns(link: DataFrame) -> DataFrame:
 
 
 def contained(rows: DataFrame) -> DataFrame:
-    """Partial patterns that another pattern of the same first site and length completes."""
-    a, b = rows.alias("a"), rows.alias("b")
-    like = F.expr("b.pattern rlike concat('^', replace(a.pattern, '-', '.'), '$')")
-    return a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.first_site") == F.col("b.first_site")) & (F.length("a.pattern") == F.length("b.pattern")) & (F.col("a.pattern") != F.col("b.pattern")) & like, "left_semi")
+    """Partial patterns that another pattern of the same first site and length completes: it has all the letters that they know.
+
+    A pattern is met by those that have its first known letter in the same place, not by all of its group.
+    """
+    letters = F.filter(F.transform(F.split("pattern", ""), lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda x: ~x["c"].isin("", "-"))
+    keyed = rows.withColumn("_l", F.length("pattern")).withColumn("_known", letters)
+    a = keyed.filter(F.col("pattern").contains("-")).withColumn("_at", F.col("_known")[0]).alias("a")
+    b = keyed.select("region", "first_site", "_l", F.col("pattern").alias("other"), F.explode("_known").alias("_at")).alias("b")
+    fits = F.forall(F.zip_with(F.split("a.pattern", ""), F.split("b.other", ""), lambda x, y: (x == y) | (x == "-")), lambda x: x)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("region", "first_site", "_l", "_at")]
+    return a.join(b, [*same, F.col("a.pattern") != F.col("b.other"), fits], "left_semi").drop("_l", "_known", "_at")
+
+
+def window_patterns(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """region, first_site, last_site, pattern, n: what reads know of each window of sites (spans), from the distinct patterns of all reads.
+
+    A letter for each site of the window, `-` where a read doesn't reach; reads that know nothing of it are left out.
+    """
+    reads = rows.select("region", "pattern", "n", F.col("first_site").alias("p_from"), (F.col("first_site") + F.length("pattern") - 1).alias("p_to"))
+    wide = spans.select("region", "first_site", "last_site").distinct()
+    met = overlapping(reads, wide, ["region"], (F.col("p_from") <= F.col("last_site")) & (F.col("p_to") >= F.col("first_site")), ("p_from", "p_to"), ("first_site", "last_site"), 16)
+    before = F.greatest(F.col("p_from") - F.col("first_site"), F.lit(0)).cast("int")
+    skipped = F.greatest(F.col("first_site") - F.col("p_from"), F.lit(0)).cast("int")
+    size = (F.col("last_site") - F.col("first_site") + 1).cast("int")
+    cut = F.substr(F.concat(F.repeat(F.lit("-"), before), F.substr(F.col("pattern"), skipped + 1)), F.lit(1), size)
+    out = met.select("region", "first_site", "last_site", F.rpad(cut, size, F.lit("-")).alias("pattern"), "n").filter(F.translate("pattern", "-", "") != "")
+    return out.groupBy("region", "first_site", "last_site", "pattern").agg(F.sum("n").alias("n"))
 
 
 def combinations(states: DataFrame, sites: DataFrame) -> DataFrame:
@@ -66,10 +105,11 @@ def combinations(states: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def supported(combos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Combinations all of whose four haplotypes agree with a read; all of a site's, if none is."""
+    """Combinations all of whose four haplotypes agree with a read; all of a site's, if none is. A state's gap is a read's gap of one sub-genome."""
     seen = pairs.groupBy("region", "site").agg(F.collect_set(F.concat_ws(",", "nuc", "next_nuc")).alias("seen"))  # 16 at most
     marked = combos.join(seen, ["region", "site"], "left")
-    need = F.zip_with("g1", "g2", lambda x, y: F.concat_ws(",", x.cast("string"), y.cast("string")))
+    code = lambda x: F.when(x < 0, GENOME_GAP).otherwise(x).cast("string")
+    need = F.zip_with("g1", "g2", lambda x, y: F.concat_ws(",", code(x), code(y)))
     good = F.coalesce(F.forall(need, lambda p: F.array_contains(F.col("seen"), p)), F.lit(False))
     marked = marked.withColumn("good", good).withColumn("any", F.max("good").over(W.partitionBy("region", "site")))
     return marked.filter("good or not any").drop("seen", "any")

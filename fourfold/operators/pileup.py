@@ -40,6 +40,12 @@ def uncovered_sites(bases: DataFrame) -> DataFrame:
     return every.join(bases.select("region", "ref_pos").distinct(), ["region", "ref_pos"], "left_anti")
 
 
+def last_supported(bases: DataFrame, least: int = 4) -> DataFrame:
+    """region, last_pos: the largest position that holds at least `least` bases."""
+    held = bases.groupBy("region", "ref_pos").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return held.groupBy("region").agg(F.max("ref_pos").alias("last_pos"))
+
+
 def base_counts(bases: DataFrame) -> DataFrame:
     """Bases of each nucleotide at each site."""
     return bases.groupBy("region", "ref_pos", "nuc").agg(F.count("*").alias("n"), F.sum("qua").alias("sum_qua"))
@@ -67,20 +73,19 @@ def site_table(bases: DataFrame, quality_limit: int = 10, cut_off: float = 0.0)
     One real base: it stays alone. Two that differ: the better one stays, the later on a tie. Otherwise the lowest
     quality goes if it is under quality_limit and others remain; nucleotides under cut_off of the coverage go too.
     """
-    levels = bases.groupBy("region", "ref_pos", "nuc", "qua").agg(F.count("*").alias("n"), F.max("read_id").alias("last"))
-    # At most one entry for each nucleotide and quality value, however deep the site is.
-    site = levels.groupBy("region", "ref_pos").agg(F.collect_list(F.struct("qua", "last", "nuc", "n")).alias("l"))
-    total = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    lowest = F.array_min(F.transform("l", lambda x: x["qua"]))
-    site = site.withColumn("real", total).withColumn("lowest", lowest)
-    at_lowest = F.aggregate(F.filter("l", lambda x: x["qua"] == F.col("lowest")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    masked = (F.col("lowest") < quality_limit) & (F.col("real") > at_lowest)
-    best = F.array_max("l")
-    site = site.withColumn("l", F.when(masked, F.filter("l", lambda x: x["qua"] > F.col("lowest"))).otherwise(F.col("l")))
+    at = ["region", "ref_pos"]
+    counts = [F.count_if(F.col("nuc") == k).alias(f"n{k}") for k in range(4)]
+    site = bases.groupBy(*at).agg(F.count("*").alias("real"), *counts, F.min("qua").alias("lowest"), F.max(F.struct("qua", "read_id", "nuc"))["nuc"].alias("best"))
+    # Only qualities under the limit are counted one by one, so a site has a few rows here, however deep it is.
+    levels = bases.filter(F.col("qua") < quality_limit).groupBy(*at, "qua").agg(*counts)
+    low = levels.groupBy(*at).agg(F.min_by(F.struct("n0", "n1", "n2", "n3"), "qua").alias("low"))
+    site = site.join(low, at, "left")
+    gone = sum((F.col(f"low.n{k}") for k in range(4)), F.lit(0))
+    masked = F.coalesce((F.col("lowest") < quality_limit) & (F.col("real") > gone), F.lit(False))
 
     def of(code: int) -> Column:
-        many = F.aggregate(F.filter("l", lambda x: x["nuc"] == code), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        return F.when(F.col("real") <= 2, (best["nuc"] == code).cast("long")).otherwise(many)
+        many = F.col(f"n{code}") - F.when(masked, F.col(f"low.n{code}")).otherwise(0)
+        return F.when(F.col("real") <= 2, (F.col("best") == code).cast("long")).otherwise(many)
 
     site = site.select("region", "ref_pos", "real", *[of(k).alias(f"n{k}") for k in range(4)])
     deep = coverage(read_summary(bases)).select("region", "ref_pos", "depth")

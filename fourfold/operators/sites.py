@@ -21,7 +21,8 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     """sites (n0 to n3, n_del, depth) with site_class, a0, a1, major, minor and n_states.
 
     symbol: a column with M, I or J for each universal column; M everywhere without it. Classes: mono, two, perm_two,
-    two_het (two and the double heterozygotes), gap2, gap4, empty. With third_nuc a site of three nucleotides or more
+    two_het (two and the double heterozygotes), gap2, gap4, empty; with the option `single` no site of two nucleotides is
+    mono, and single takes the place of perm_two: one permutation for each sub-genome. With third_nuc a site of three nucleotides or more
     also gets triple (the nucleotides) and n_triple (4 or 12 states more, which stand first).
     """
     o = options or Options()
@@ -34,9 +35,9 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     major = F.when(n1 >= n2, a0).otherwise(a1)
     share = most / total
     single = a1.isNull()
-    mono = ((total - most == 1) & (total > 4)) | (share >= o.majority)
+    mono = F.lit(False) if o.single else ((total - most == 1) & (total > 4)) | (share >= o.majority)
     two = F.lit("two_het" if o.dbheter else "two")
-    pair = F.when(mono, "mono").when(share >= o.three_hap, "perm_two").otherwise(two)
+    pair = F.when(mono, "mono").when(share >= o.three_hap, "single" if o.single else "perm_two").otherwise(two)
     every = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") + F.col("n_del")
     gapped = F.col("n_del") / every >= 0.4
     odd = F.col(symbol).isin("I", "J") if symbol else F.lit(False)
@@ -44,7 +45,7 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     gap = F.when(single, F.when(odd, "gap2").otherwise("mono")).when(even, F.when(odd, F.lit("gap4")).otherwise(pair)).otherwise(F.when(odd, "gap2").otherwise("mono"))
     label = F.when(a0.isNull(), "empty").when(gapped, gap).when(single, "mono").otherwise(pair)
     out = out.withColumn("site_class", label)
-    states = F.create_map(*[F.lit(x) for kv in (("mono", 1), ("two", 2), ("perm_two", 6), ("two_het", 6), ("gap2", 2), ("gap4", 4), ("empty", 1)) for x in kv])
+    states = F.create_map(*[F.lit(x) for kv in (("mono", 1), ("two", 2), ("perm_two", 6), ("single", 2), ("two_het", 6), ("gap2", 2), ("gap4", 4), ("empty", 1)) for x in kv])
     out = out.withColumns({"a0": a0, "a1": a1, "major": major, "minor": F.when(n1 >= n2, a1).otherwise(a0), "n_states": F.element_at(states, F.col("site_class"))})
     out = out.drop("_x", "_y")
     if not o.third_nuc:
@@ -74,6 +75,7 @@ def site_states(calls: DataFrame) -> DataFrame:
         .when(F.col("site_class") == "two", rows(*two))
         .when(F.col("site_class") == "two_het", rows(*two, *het))
         .when(F.col("site_class") == "perm_two", F.when(y > x, rows(*up, *two)).otherwise(rows(*up[::-1], *two)))
+        .when(F.col("site_class") == "single", F.when(y > x, rows(up[0], up[2])).otherwise(rows(up[3], up[1])))
         .when(F.col("site_class") == "gap2", rows((g, g, x, x), (x, x, g, g)))
         .when(F.col("site_class") == "gap4", rows((g, g, a, b), (g, g, b, a), (a, b, g, g), (b, a, g, g)))
         .otherwise(rows((g, g, g, g)))

@@ -6,12 +6,12 @@ from dataclasses import dataclass, fields, replace
 
 
 #: Options of rules that are not built: any value but the default is an error.
-UNBUILT = ("emprical", "sampling", "n_sample", "lower_ab", "single", "no_emi_update", "db_penal")
+UNBUILT = ("emprical", "sampling", "n_sample", "lower_ab")
 
 
 @dataclass(frozen=True)
 class Options:
-    """Shares are between 0 and 1. None switches a filter off. min_pair_reads: reads that must carry two neighbouring alleles for them to count as linked."""
+    """Shares are between 0 and 1. None switches a filter off. min_reads: reads that must carry a pattern of alleles, as far as each of them goes, for it to count in a window."""
 
     majority: float = 0.9
     cut_off: float = 0.0
@@ -40,7 +40,7 @@ class Options:
     tol: float = 1e-5
     seed: int = 0
     max_states: int = 10_000
-    min_pair_reads: int = 1
+    min_reads: int = 1
 
     def __post_init__(self):
         for f in fields(self):
@@ -54,6 +54,7 @@ class Options:
             if name not in known:
                 raise KeyError(f"no option is named {name}")
             now = getattr(self, name)
-            if now is not None and value is not None and not isinstance(value, (type(now), int)):
+            fits = (bool,) if isinstance(now, bool) else (int,) if isinstance(now, int) else (float, int)
+            if now is not None and value is not None and (not isinstance(value, fits) or isinstance(value, bool) and bool not in fits):
                 raise TypeError(f"{name} takes {type(now).__name__}, not {type(value).__name__}")
         return replace(self, **values)

@@ -6,19 +6,21 @@ from pyspark.sql import functions as F
 
 from fourfold.functions import codec
 from fourfold.operators import pileup, ranges, targets
-from fourfold.plans.views import TETRA_SQL, chars, table, tetra
+from fourfold.plans.views import TETRA_SQL, table, tetra
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
 
 
 def xy_encode(spark, sf_dir):
     """How often each code stands in each whole text."""
-    code = codec.xy_code(F.col("ch"))
-    return chars(spark, sf_dir).groupBy("doc_id").agg(*[F.count_if(code == k).alias(f"n{k}") for k in range(4)], F.count_if(code.isNull()).alias("n_other"))
+    return _texts(spark, sf_dir).select("doc_id", *codec.xy_counts(F.col("text")))
 
 
 def iupac_decode(spark, sf_dir):
     """Letters of IUPAC in each text, what they may stand for in all, and how many are unambiguous."""
-    code = codec.iupac_code(F.col("ch"))
-    return chars(spark, sf_dir).groupBy("doc_id").agg(F.count(code).alias("n_valid"), F.coalesce(F.sum(codec.iupac_options(code)), F.lit(0)).cast("long").alias("n_options"), F.count(codec.iupac_to_xy(code)).alias("n_plain"))
+    return _texts(spark, sf_dir).select("doc_id", *codec.iupac_counts(F.col("text")))
 
 
 def revcomp(spark, sf_dir):
@@ -28,8 +30,8 @@ def revcomp(spark, sf_dir):
 
 def phred_expected_error(spark, sf_dir):
     """Expected errors of each whole text taken as a quality string, over characters from ! to ~."""
-    counts = chars(spark, sf_dir).filter("ch between '!' and '~' and length(ch) = 1").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg(F.round(F.sum(F.col("n") * codec.error_probability(codec.phred(F.col("ch")))), 6).alias("expected"), F.sum("n").alias("n"))
+    rows = _texts(spark, sf_dir).select("doc_id", codec.text_errors(F.col("text")).alias("e")).filter("e.n > 0")
+    return rows.select("doc_id", F.round("e.expected", 6).alias("expected"), "e.n")
 
 
 CIGAR = "concat(event_id % 5 + 1, 'S', 20 + event_id % 30, 'M', event_id % 4 + 1, 'I', 10 + event_id % 20, 'M', event_id % 3 + 1, 'D15M')"
@@ -69,7 +71,7 @@ def set_intersect(spark, sf_dir):
 
 def set_except(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.filter("o_orderstatus = 'O'").select("o_custkey").exceptAll(o.filter("o_orderstatus = 'F'").select("o_custkey").distinct()).distinct()
+    return o.filter("o_orderstatus = 'O'").select("o_custkey").subtract(o.filter("o_orderstatus = 'F'").select("o_custkey"))
 
 
 def semi_missing(spark, sf_dir):
@@ -98,7 +100,6 @@ def sub_prob_matrix(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (xy_encode, iupac_decode, revcomp, phred_expected_error, cigar_explode, cigar_summary, region_overlap_join, two_genome_merge, set_intersect, set_except, semi_missing, anti_missing, poisson_gap_penalty, sub_prob_matrix)}
 
 CHARS_SQL = "chars as (select doc_id, unnest(string_split(text, '')) as ch from documents where text is not null and text <> '')"
-CIGAR_SQL = CIGAR.replace("D15M", "D15M")
 
 ORACLES = {
     "xy_encode": f"""with {CHARS_SQL}, c as (select doc_id, case when regexp_full_match(ch, '[ACGTUacgtu]') then (ascii(ch) >> 1) & 3 end as code from chars)
@@ -120,7 +121,7 @@ select region, read_id, min(target) as target from r join g on case when re - rs
     "two_genome_merge": """with r as (select l_orderkey, l_partkey % 50 as part, l_linestatus from lineitem where l_linestatus in ('O', 'F'))
 select l_orderkey, part, count(*) filter (where l_linestatus = 'O') as n_a, count(*) filter (where l_linestatus = 'F') as n_b, count(*) filter (where l_linestatus = 'O') = 1 and count(*) filter (where l_linestatus = 'F') = 1 as kept from r group by all""",
     "set_intersect": "select o_custkey from orders where o_orderstatus = 'O' intersect select o_custkey from orders where o_orderstatus = 'F'",
-    "set_except": """select distinct o_custkey from (select o_custkey, count(*) as n from orders where o_orderstatus = 'O' group by 1) a where n > (select count(distinct o_custkey) from orders b where b.o_orderstatus = 'F' and b.o_custkey = a.o_custkey)""",
+    "set_except": "select o_custkey from orders where o_orderstatus = 'O' except select o_custkey from orders where o_orderstatus = 'F'",
     "semi_missing": "select c_custkey, c_nationkey from customer where exists (select 1 from orders where o_custkey = c_custkey)",
     "anti_missing": "select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')",
     "poisson_gap_penalty": """with r as (select (l_linenumber - 1) % 5 as gaps, l_quantity::bigint + 50 as length, count(*) as n from lineitem group by all)

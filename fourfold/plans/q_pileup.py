@@ -52,10 +52,8 @@ def step_table(spark, sf_dir):
 
 
 def masked_group_sizes(spark, sf_dir):
-    """Largest position that at least two reads reach, for each region."""
-    reads = pileup.read_summary(tetra(spark, sf_dir))
-    ends = reads.groupBy("region", "last_pos").agg(F.count("*").alias("n")).filter("n >= 2")
-    return ends.groupBy("region").agg(F.max("last_pos").alias("last_pos"))
+    """Largest position over which at least four bases lie, for each region."""
+    return pileup.last_supported(tetra(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (snp_call_table, site_state_rows, pileup_counts, site_coverage, uncovered_sites, quality_masked_pileup, read_summary, step_table, masked_group_sizes)}
@@ -99,6 +97,6 @@ select region, ref_pos, nuc, count(*) as n, sum(qua)::bigint as sum_qua from k w
     "read_summary": f"""with {TETRA_SQL} select region, read_id, count(*) as n_bases, min(ref_pos) as first_pos, max(ref_pos) as last_pos, max(read_pos) as last_read_pos, sum(qua)::bigint as sum_qua,
 max(ref_pos) - min(ref_pos) + 1 - count(*) as n_missing from tetra where qua >= {MASK} group by all""",
     "step_table": f"""with {SITES_SQL} select region, first_pos as start, count(*) as n_reads, max(last_pos - first_pos + 1) as span, row_number() over (partition by region order by first_pos) - 1 as t from reads group by region, first_pos""",
-    "masked_group_sizes": f"""with {TETRA_SQL}, r as (select region, read_id, max(ref_pos) as last_pos from tetra group by all), e as (select region, last_pos from r group by all having count(*) >= 2)
-select region, max(last_pos) as last_pos from e group by region""",
+    "masked_group_sizes": f"""with {TETRA_SQL}, e as (select region, ref_pos from tetra group by all having count(*) >= 4)
+select region, max(ref_pos) as last_pos from e group by region""",
 }

@@ -1,7 +1,7 @@
 """Read-shaped views of the given tables, and the same in SQL for DuckDB.
 
 `tetra` takes each event as a read of 100 bases; 400 neighbouring events are the reads of one region with four
-haplotypes, two of them of sub-genome A (0, 1) and two of B (2, 3). `chars` takes each document's whole text as a read.
+haplotypes, two of them of sub-genome A (0, 1) and two of B (2, 3).
 """
 
 from __future__ import annotations
@@ -29,9 +29,3 @@ tetra_b as (select event_id as read_id, event_id // 400 as region, event_id % 4
 tetra_c as (select *, st + j as p, ((st + j) * (st + j) * 7 + (st + j) * 3 + ((st + j) * 11) % 13) % 4 as b0 from tetra_b),
 tetra_d as (select *, case when p % 50 = 5 and k >= 2 then (b0 + 1) % 4 when p % 50 = 25 and k = 1 then (b0 + 2) % 4 when p % 75 = 10 and k = 3 then (b0 + 3) % 4 else b0 end as h from tetra_c),
 tetra as (select region, read_id, j as read_pos, p as ref_pos, 12 + (read_id * 31 + j * 7) % 30 as qua, case when (read_id * 131 + j * 17) % 101 = 0 then (h + 1) % 4 else h end as nuc, k as true_hap from tetra_d)"""
-
-
-def chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, ch: every character of every whole text."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
-    return docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "ch"))

@@ -142,6 +142,15 @@ def test_double_heterozygotes(spark):
     assert states[2:] == [(0, 1, 1, 0), (0, 1, 0, 1), (1, 0, 0, 1), (1, 0, 1, 0)]
 
 
+def test_single_option(spark):
+    """No site of two nucleotides is monomorphic, and one permutation stands for each sub-genome."""
+    o = Options(single=1)
+    assert site(spark, (19, 1, 0, 0), options=o) == ("single", [(0, 0, 0, 1), (0, 1, 0, 0)])
+    assert site(spark, (1, 19, 0, 0), options=o) == ("single", [(0, 1, 1, 1), (1, 1, 0, 1)])
+    assert site(spark, (5, 5, 0, 0), options=o) == ("two", [(0, 0, 1, 1), (1, 1, 0, 0)])
+    assert site(spark, (5, 0, 0, 0), options=o)[0] == "mono"
+
+
 def test_third_nucleotide(spark):
     o = Options(third_nuc=1)
     label, states = site(spark, (5, 3, 0, 3), options=o)
@@ -153,20 +162,16 @@ def test_third_nucleotide(spark):
     assert site(spark, (5, 5, 0, 0), options=o)[1] == [(0, 0, 1, 1), (1, 1, 0, 0)]
 
 
-def test_combinations_of_a_window():
-    two = [[0, 0, 1, 1], [1, 1, 0, 0]]
-    window = [{"states": two, "pairs": [{"s1": 0, "s2": 0}, {"s1": 1, "s2": 1}]}, {"states": two, "pairs": None}, {"states": two, "pairs": None}]
-    assert len(statespace.combine(window, False, 100)) == 4
-    assert len(statespace.combine(window, True, 100)) == 2  # swapped sub-genomes are one at the start
-    assert statespace.combine(window, False, 3) is None
-
-
 def test_options():
     assert Options().having(majority=0.8).majority == 0.8
     with pytest.raises(KeyError):
         Options().having(nothing=1)
     with pytest.raises(TypeError):
         Options().having(max_iter="a")
+    for name, value in (("drop_unmapped", 5), ("max_iter", True), ("max_iter", 1.5), ("majority", "x")):
+        with pytest.raises(TypeError):
+            Options().having(**{name: value})
+    assert Options().having(majority=1, single=1, no_emi_update=0, db_penal=0.3).db_penal == 0.3
 
 
 def test_reads_of_one_start_are_scored_in_blocks(spark, monkeypatch):
@@ -197,7 +202,7 @@ def test_options_that_are_not_built_raise():
 
     from fourfold.plans.options import Options
 
-    for name, value in {"emprical": 0, "sampling": 1, "n_sample": 5, "lower_ab": 0.9, "single": 1, "no_emi_update": 0, "db_penal": 0.3}.items():
+    for name, value in {"emprical": 0, "sampling": 1, "n_sample": 5, "lower_ab": 0.9}.items():
         with pytest.raises(NotImplementedError):
             Options().having(**{name: value})
     assert Options().having(emprical=1, cut_off=0.1).cut_off == 0.1
