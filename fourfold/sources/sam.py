@@ -1,4 +1,4 @@
-"""SAM: scan, filters with their reasons, and a sink."""
+"""SAM: scan, and filters with their reasons."""
 
 from __future__ import annotations
 
@@ -25,9 +25,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
     Lines with fewer than six fields are no records; seq and qual may be missing. The first ten fields are parsed only.
     """
-    lines = numbered_lines(spark, path).filter("value not like '@%'")
-    f = F.split("value", "\t")
-    rows = lines.withColumn("f", f).filter(F.size("f") >= 6)
+    return parse_records(numbered_lines(spark, path))
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """The records among lines of SAM (line, value), as read_sam gives them."""
+    rows = lines.filter("value not like '@%'").withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 6)
     get = lambda k: F.get("f", F.lit(k))
     star = lambda c: F.when(c != "*", c)
     out = rows.select("line", get(0).alias("name"), get(1).cast("int").alias("flag"), get(2).alias("rname"), get(3).cast("long").alias("pos"), get(5).alias("cigar"), star(get(9)).alias("seq"), star(get(10)).alias("qual"))
@@ -75,10 +78,3 @@ def base_table(rows: DataFrame) -> DataFrame:
         F.when(F.col("op") == "I", F.lit(-1)).otherwise(F.col("ref_start") + F.col("i") - 1).cast("long").alias("ref_pos"),
         F.when(gone, -1).otherwise(F.ascii(F.substr(F.col("qual"), at + 1, F.lit(1))) - 33).alias("qua"),
         F.when(gone, "-").otherwise(F.substr(F.col("seq"), at + 1, F.lit(1))).alias("nuc"))
-
-
-def write_sam(rows: DataFrame, header: list[tuple[str, int]], path: str) -> None:
-    """Records as SAM text, mapping quality 60; the header lines come first in each part."""
-    lines = rows.select(F.concat_ws("\t", "name", F.col("flag").cast("string"), "rname", F.col("pos").cast("string"), F.lit("60"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*"))).alias("value"))
-    head = rows.sparkSession.createDataFrame([(f"@SQ\tSN:{n}\tLN:{k}",) for n, k in header], "value string")
-    head.coalesce(1).unionByName(lines).write.text(path)
