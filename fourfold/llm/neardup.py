@@ -44,6 +44,8 @@ LEADERS = 2
 #: A pair is looked at in full if so many of the 128 tokens agree, and of their last bits: 4.5 standard deviations under
 #: the threshold, both.
 AGREE, BITS_AGREE = 74, 95
+#: Rows of ids and labels that one partition holds, about.
+ROWS = 50_000
 _SALT = mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _A, _B = _SALT[:POSITIONS] | np.uint64(1), _SALT[POSITIONS:]
 _CHUNK = 4096
@@ -156,6 +158,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df, of about n narrow rows, in as many partitions as these need: each step would else write as many files as the session has shuffle partitions."""
+    return df.coalesce(max(1, -(-n // ROWS)))
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """df written out, in partitions that fit its rows, and their number."""
+    done = _cut(df)
+    n = done.count()
+    return _few(done, n), n
+
+
 def _labelled(rows: DataFrame, of: str, part: DataFrame | None, name: str) -> DataFrame:
     """rows with the component, so far, of the document in column `of`."""
     if part is None:
@@ -296,8 +310,8 @@ def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
 
     def linked(links: DataFrame) -> None:
         nonlocal edges, part
-        links = _cut(links)
-        if not links.isEmpty():
+        links, n = _kept(links)
+        if n:
             edges = links if edges is None else edges.unionByName(links)
             part = components(edges)
 
@@ -305,29 +319,29 @@ def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
         # At first every document is a component of its own.
         ends = [] if depth == DEPTH else [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
         sizes = level.groupBy("path").agg(F.count("*").alias("n"), *ends).filter("lo < hi" if ends else "n > 1").select("path", "n")
-        nodes = _cut(level.drop("comp").join(sizes, "path"))
-        small = _cut(_all_pairs(nodes.filter(F.col("n") <= NODE)))
+        nodes, _ = _kept(level.drop("comp").join(sizes, "path"))
+        small, _ = _kept(_all_pairs(nodes.filter(F.col("n") <= NODE)))
         crowded = F.size("pairs") > SPARSE * F.col("n")
         found.append(small.filter(~crowded).select(F.explode("pairs").alias("p")).select("p.a", "p.b"))
         large = nodes.filter(F.col("n") > NODE)
         many = large.select("path").distinct().count()
         if many:
-            led = _cut(_apart(_led(large, many), part))
+            led, _ = _kept(_apart(_led(large, many), part))
             linked(confirm(led, texts(led.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
         heavy = large.unionByName(nodes.join(small.filter(crowded).select("path"), "path", "left_semi"))
-        tagged = _cut(_labelled(heavy.drop("n"), "rep", part, "comp").select("path", "rep", "s1", "s2", "comp"))
+        tagged, n = _kept(_labelled(heavy.drop("n"), "rep", part, "comp").select("path", "rep", "s1", "s2", "comp"))
         counts = tagged.groupBy("path", "comp").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
-        mixed = _cut(tagged.join(counts.filter("rest > 0"), "path"))
-        if mixed.isEmpty():
+        mixed, n = _kept(_few(tagged.join(counts.filter("rest > 0"), "path"), n))
+        if not n:
             break
         done = (F.col("rest") * F.col("all") <= FEW_PAIRS) | F.lit(depth >= LAST)
         few, on = mixed.filter(done), mixed.filter(~done)
-        alike = _cut(_blocks(few, BLOCK).groupBy("path", "i", "j").applyInArrow(_alike_in_block, "path long, a long, b long"))
-        dense = _cut(alike.filter("a is null").select("path").distinct())
+        alike, _ = _kept(_blocks(few, BLOCK).groupBy("path", "i", "j").applyInArrow(_alike_in_block, "path long, a long, b long"))
+        dense, n_dense = _kept(alike.filter("a is null").select("path").distinct())
         found.append(alike.join(dense, "path", "left_anti").select(*_ordered()).distinct())
-        if not dense.isEmpty():
+        if n_dense:
             full = few.join(dense, "path", "left_semi").join(reps.select("rep", "n_shingles"), "rep")
-            full = _blocks(full, BLOCK_SETS, F.col("n_shingles"), BLOCK_SHINGLES).select("path", "i", "j", "left", "rep", "comp", "top")
+            full, _ = _kept(_blocks(full, BLOCK_SETS, F.col("n_shingles"), BLOCK_SHINGLES).select("path", "i", "j", "left", "rep", "comp", "top"))
             held = texts(full.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
             linked(full.join(held, "rep").groupBy("path", "i", "j").applyInArrow(_links_in_block, "a long, b long").distinct())
         if on.isEmpty():
@@ -347,15 +361,16 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for all ends of the edges (a, b): the smallest id reachable, by spreading minima and skipping ahead."""
-    sym = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    sym = _cut(sym)
-    labels = _cut(sym.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
+    n = 2 * edges.count()
+    ends = _few(edges.select("a", "b"), n)
+    sym = cut(_few(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n))
+    labels = cut(_few(sym.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), n))
     total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first()["s"]
     while total is not None:
-        near = sym.join(labels, sym.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("step"))
+        near = _few(sym.join(labels, sym.b == labels.id), n).groupBy("a").agg(F.min("component").alias("near"))
+        stepped = _few(labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("step")), n)
         ahead = labels.select(F.col("id").alias("step"), F.col("component").alias("ahead"))
-        labels = _cut(stepped.join(ahead, "step").select("id", F.least("step", "ahead").alias("component")))
+        labels = cut(_few(stepped.join(ahead, "step").select("id", F.least("step", "ahead").alias("component")), n))
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("s")).first()["s"]
         if now == total:  # labels only fall, so an equal sum means that none has changed
             break
@@ -396,16 +411,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return cut(keyed.join(ids, keyed.key == ids.id, "left_semi").select(F.col("key").alias("id"), "text"))
 
     pairs, first = candidate_pairs(reps, texts_of)
-    pairs = cut(pairs)
+    pairs, n = _kept(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # First each document's best pair only: what those join needs no more of the pairs inside.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    edges = cut(confirm(best, texts))
+    best = _few(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")), n)
+    edges, _ = _kept(confirm(best, texts))
     if first is not None:
         edges = edges.unionByName(first)
     part = components(edges)
-    more = cut(confirm(_apart(pairs, part).join(best, ["a", "b"], "left_anti"), texts))
-    if not more.isEmpty():
+    rest, n = _kept(_apart(pairs, part).join(best, ["a", "b"], "left_anti"))
+    more, n = _kept(confirm(rest, texts)) if n else (rest, 0)
+    if n:
         part = components(edges.unionByName(more))
     found = classes.select("k1", "k2", "rep", "least").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = _named(found.withColumn("component", F.coalesce("component", "rep"))).select("k1", "k2", "component_id")
