@@ -102,6 +102,14 @@ def sufficient_statistics(rows: DataFrame, weight: Column | None = None) -> Data
     return rows.filter("hap_nuc >= 0").groupBy(*KEY).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("w"))
 
 
+def fitted(stats: DataFrame, beta: list[list[float]]) -> DataFrame:
+    """stats with pA, pC, pG, pT, the model's chances of each nucleotide, and residual, 1 less the chance of what was read."""
+    code = {"A": 0, **CHOICES}
+    p = {f"p{c}": F.exp(log_probability(F.col("read_pos"), F.col("qua"), F.col("hap_nuc"), F.lit(k), beta)) for c, k in code.items()}
+    own = F.coalesce(*[F.when(F.col("nuc") == k, F.col(f"p{c}")) for c, k in code.items()])
+    return stats.withColumns(p).withColumn("residual", 1 - own)
+
+
 def log_likelihood(stats: DataFrame, beta: list[list[float]]) -> DataFrame:
     return stats.agg(F.sum(F.col("w") * log_probability(*[F.col(c) for c in KEY], beta)).alias("loglik"))
 

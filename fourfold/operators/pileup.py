@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Sites whose coverage is summed up in one task.
+STRETCH = 65_536
+
+
 def read_summary(bases: DataFrame) -> DataFrame:
     """Extent, number of bases and missing bases of each read."""
     out = bases.groupBy("region", "read_id").agg(
@@ -25,11 +29,21 @@ def steps(reads: DataFrame) -> DataFrame:
 
 
 def coverage(reads: DataFrame) -> DataFrame:
-    """Reads over each site that any covers, from starts and ends alone: no read is spread over its sites."""
+    """Reads over each site that any covers, from starts and ends alone: no read is spread over its sites.
+
+    Sums run along stretches of STRETCH sites, which begin with the sum of all stretches before them, so that a long
+    region is no single task.
+    """
     edges = reads.select("region", F.explode(F.array(F.struct(F.col("first_pos").alias("at"), F.lit(1).alias("d")), F.struct((F.col("last_pos") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
     change = edges.groupBy("region", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    order = W.partitionBy("region").orderBy("at")
-    runs = change.select("region", "at", F.sum("d").over(order).alias("depth"), F.lead("at").over(order).alias("until")).filter("until is not null and depth > 0")
+    change = change.withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    along = W.partitionBy("region").orderBy("stretch")
+    before = F.coalesce(F.sum("d").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stretches = change.groupBy("region", "stretch").agg(F.sum("d").alias("d"), F.min("at").alias("first"))
+    stretches = stretches.select("region", "stretch", before.alias("before"), F.lead("first").over(along).alias("after"))
+    order = W.partitionBy("region", "stretch").orderBy("at")
+    rows = change.join(stretches, ["region", "stretch"])
+    runs = rows.select("region", "at", (F.col("before") + F.sum("d").over(order)).alias("depth"), F.coalesce(F.lead("at").over(order), "after").alias("until")).filter("until is not null and depth > 0")
     return runs.select("region", F.explode(F.sequence("at", F.col("until") - 1)).alias("ref_pos"), "depth")
 
 

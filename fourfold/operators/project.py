@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from fourfold.functions import codec
 
+from .numbering import numbered
 from .targets import cigar_blocks
 
 
@@ -71,7 +72,7 @@ def choose(kept: DataFrame, score_a: DataFrame, score_b: DataFrame, seed: int) -
     both = kept.join(a, ["target", "line_a"]).join(b, ["target", "line_b"])
     coin = F.pmod(F.xxhash64(F.lit(seed), "target", "line_a"), F.lit(2)) == 0
     genome = F.when((F.col("ll_a") > F.col("ll_b")) | ((F.col("ll_a") == F.col("ll_b")) & coin), "A").otherwise("B")
-    return both.withColumn("genome", genome).withColumn("read_id", F.row_number().over(W.partitionBy("target").orderBy("line_a")).cast("long"))
+    return numbered(both.withColumn("genome", genome), "target", "line_a", "read_id")
 
 
 def pileup_rows(projected: DataFrame, quality: int) -> DataFrame:

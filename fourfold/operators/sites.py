@@ -21,8 +21,8 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     """sites (n0 to n3, n_del, depth) with site_class, a0, a1, major, minor and n_states.
 
     symbol: a column with M, I or J for each universal column; M everywhere without it. Classes: mono, two, perm_two,
-    two_het (two and the double heterozygotes), gap2, gap4, empty; with the option `single` no site of two nucleotides is
-    mono, and single takes the place of perm_two: one permutation for each sub-genome. With third_nuc a site of three nucleotides or more
+    two_het (two and the double heterozygotes), gap2, gap4, empty; with the options `single` and `sampling` no site of two
+    nucleotides is mono; with `single`, single takes the place of perm_two: one permutation for each sub-genome. With third_nuc a site of three nucleotides or more
     also gets triple (the nucleotides) and n_triple (4 or 12 states more, which stand first).
     """
     o = options or Options()
@@ -35,7 +35,7 @@ def call_sites(sites: DataFrame, options: Options | None = None, symbol: str | N
     major = F.when(n1 >= n2, a0).otherwise(a1)
     share = most / total
     single = a1.isNull()
-    mono = F.lit(False) if o.single else ((total - most == 1) & (total > 4)) | (share >= o.majority)
+    mono = F.lit(False) if o.single or o.sampling else ((total - most == 1) & (total > 4)) | (share >= o.majority)
     two = F.lit("two_het" if o.dbheter else "two")
     pair = F.when(mono, "mono").when(share >= o.three_hap, "single" if o.single else "perm_two").otherwise(two)
     every = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") + F.col("n_del")

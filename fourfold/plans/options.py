@@ -5,13 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 
 
-#: Options of rules that are not built: any value but the default is an error.
-UNBUILT = ("emprical", "sampling", "n_sample", "lower_ab")
-
-
 @dataclass(frozen=True)
 class Options:
-    """Shares are between 0 and 1. None switches a filter off. min_reads: reads that must carry a pattern of alleles, as far as each of them goes, for it to count in a window."""
+    """Shares are between 0 and 1. None switches a filter off. min_reads: reads that must carry a pattern of alleles, as far as each of them goes, for it to count in a window. emprical 0: windows take sampled haplotypes (n_sample rounds, up to a share lower_ab of all) instead of completed reads; sampling 1: reads are completed by every observed allele, and no site of two nucleotides is monomorphic."""
 
     majority: float = 0.9
     cut_off: float = 0.0
@@ -42,11 +38,6 @@ class Options:
     max_states: int = 10_000
     min_reads: int = 1
 
-    def __post_init__(self):
-        for f in fields(self):
-            if f.name in UNBUILT and getattr(self, f.name) != f.default:
-                raise NotImplementedError(f"{f.name} is not built: it takes {f.default} only")
-
     def having(self, **values) -> Options:
         """A copy with other values; unknown names and values of another type are errors."""
         known = {f.name: f for f in fields(self)}

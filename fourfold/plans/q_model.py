@@ -61,6 +61,12 @@ def mlogit_gradient_fixed_beta(spark, sf_dir):
     return out.select("term", "choice", F.round("value", 3).alias("value"))
 
 
+def mlogit_fitted_fixed_beta(spark, sf_dir):
+    """Chances and residuals of the model at fixed coefficients, for every combination that occurs."""
+    out = emission.fitted(emission.sufficient_statistics(_own(spark, sf_dir)), FIXED_BETA)
+    return out.select(*emission.KEY, "w", *[F.round(c, 9).alias(c) for c in ("pA", "pC", "pG", "pT", "residual")])
+
+
 def mlogit_fit(spark, sf_dir):
     """term, choice, value of the fitted error model; iterative, so without SQL."""
     fit = mlogit.fit_error_model(emission.sufficient_statistics(_own(spark, sf_dir)))
@@ -98,7 +104,7 @@ def markov_transitions(spark, sf_dir):
     return counts.select("event_type", "next_type", "n", F.round(F.log(F.col("n") / total), 6).alias("log_share"))
 
 
-QUERIES = {f.__name__: f for f in (hap_consensus, emission_lookup, read_loglik, responsibility, mixture_update, mlogit_sufficient_stats, mlogit_loglik_fixed_beta, mlogit_gradient_fixed_beta, mlogit_fit, forward_llk_fixed, viterbi_fixed, markov_transitions)}
+QUERIES = {f.__name__: f for f in (hap_consensus, emission_lookup, read_loglik, responsibility, mixture_update, mlogit_sufficient_stats, mlogit_loglik_fixed_beta, mlogit_gradient_fixed_beta, mlogit_fitted_fixed_beta, mlogit_fit, forward_llk_fixed, viterbi_fixed, markov_transitions)}
 
 
 def _score(c: int, h: str) -> str:
@@ -140,6 +146,7 @@ select read_pos, qua, hap_nuc, nuc, round({_lp('hap_nuc')}, 6) as lp from e wher
     "mlogit_loglik_fixed_beta": f"with {STAT_SQL} select round(sum(w * {_lp('hap_nuc')}), 3) as loglik from stats",
     "mlogit_gradient_fixed_beta": f"with {STAT_SQL}, g as (select *, " + ", ".join(f"w * ((nuc = {code})::int - exp({_lp('hap_nuc', str(code))})) as r{c}" for c, code in CHOICES.items()) + " from stats) " + " union all ".join(
         f"select '{t}' as term, '{c}' as choice, round(sum(r{c} * {x}), 3) as value from g" for c in CHOICES for t, x in zip(TERMS, ("1", "read_pos", "qua", "(hap_nuc = 1)::int", "(hap_nuc = 3)::int", "(hap_nuc = 2)::int", "qua * (hap_nuc = 1)::int", "qua * (hap_nuc = 3)::int", "qua * (hap_nuc = 2)::int"), strict=True)),
+    "mlogit_fitted_fixed_beta": f"with {STAT_SQL} select read_pos, qua, hap_nuc, nuc, w, " + ", ".join(f"round(exp({_lp('hap_nuc', str(k))}), 9) as p{c}" for c, k in {"A": 0, **CHOICES}.items()) + f", round(1 - exp({_lp('hap_nuc')}), 9) as residual from stats",
     "forward_llk_fixed": f"""with recursive {CHAIN_SQL},
 f as (select user_id, i, {START[0]} * p / ({START[0]} * p + {START[1]} * q) as a, {START[1]} * q / ({START[0]} * p + {START[1]} * q) as b, ln({START[0]} * p + {START[1]} * q) as ll from em where i = 1
   union all select em.user_id, em.i, x / (x + y), y / (x + y), ll + ln(x + y) from (select f.user_id, f.i, ll, (a * {MOVE[0][0]} + b * {MOVE[1][0]}) * p as x, (a * {MOVE[0][1]} + b * {MOVE[1][1]}) * q as y from f join em e2 on e2.user_id = f.user_id and e2.i = f.i + 1) z

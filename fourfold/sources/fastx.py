@@ -11,8 +11,8 @@ from .text import numbered_lines, require
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """place (order in the file), name, seq; sequences may go over several lines."""
-    rows = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
+    """place (order in the file), name, seq; sequences may go over several lines. A record begins at `>` at the start of a line only."""
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", r"^>", "")).filter("trim(value) <> ''")
     rows = rows.select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     name = F.regexp_extract("value", r"^([^\n\r]*)", 1)
     out = rows.select("place", F.trim(name).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))

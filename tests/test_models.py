@@ -195,14 +195,3 @@ def test_reads_of_one_start_are_scored_in_blocks(spark, monkeypatch):
     gamma = rows.withColumn("gamma", statespace.F.array(statespace.F.lit(np.log(0.5)), statespace.F.lit(np.log(0.5))))
     whole = statespace.weights(reads, gamma).filter("site = -1").groupBy("read_id").agg(statespace.F.sum("w").alias("w")).collect()
     assert len(whole) == 400 and all(abs(r["w"] - 1) < 1e-9 for r in whole)
-
-
-def test_options_that_are_not_built_raise():
-    import pytest
-
-    from fourfold.plans.options import Options
-
-    for name, value in {"emprical": 0, "sampling": 1, "n_sample": 5, "lower_ab": 0.9}.items():
-        with pytest.raises(NotImplementedError):
-            Options().having(**{name: value})
-    assert Options().having(emprical=1, cut_off=0.1).cut_off == 0.1
