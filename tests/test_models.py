@@ -101,6 +101,33 @@ def test_logit_drops_columns_without_information():
     assert np.isfinite(fit.beta[3]).all()
 
 
+def test_fit_in_spark_is_the_fit_at_hand(spark):
+    """Likelihood, gradient and Hessian added up over tasks give the same steps."""
+    rng = np.random.default_rng(5)
+    n = 5_000
+    rows = np.stack([rng.integers(0, 60, n), rng.integers(12, 42, n), rng.integers(0, 4, n), rng.integers(0, 4, n)], axis=1)
+    frame = spark.createDataFrame([(*map(int, r), 1.0) for r in rows], "read_pos long, qua long, hap_nuc long, nuc long, w double").repartition(3)
+    stats = emission.sufficient_statistics(frame, F.col("w"))
+    near, far = mlogit.fit_error_model(stats), mlogit.fit_error_model(stats, most_rows=10)
+    assert far.beta == pytest.approx(near.beta, abs=1e-6) and far.loglik == pytest.approx(near.loglik)
+    assert far.hessian == pytest.approx(near.hessian, rel=1e-6) and near.iterations == far.iterations
+
+
+def test_hessian_against_differences():
+    rng = np.random.default_rng(6)
+    args = (rng.integers(0, 60, 300), rng.integers(12, 42, 300), rng.integers(0, 4, 300), rng.integers(0, 4, 300), rng.random(300))
+    beta = np.array(emission.FIXED_BETA)
+    _, grad, hess = mlogit.sums(*args, beta)
+    for place in (0, 4, 13, 26):
+        m, i = divmod(place, 9)
+        up, down = beta.copy(), beta.copy()
+        up[i, m] += 1e-5
+        down[i, m] -= 1e-5
+        (f, g, _), (e, h, _) = mlogit.sums(*args, up), mlogit.sums(*args, down)
+        assert grad[place] == pytest.approx((f - e) / 2e-5, rel=1e-4, abs=1e-4)
+        assert hess[place] == pytest.approx((g - h) / 2e-5, rel=1e-4, abs=1e-3)
+
+
 def test_log_probabilities_sum_to_one(spark):
     rows = spark.range(40).select((F.col("id") % 100).alias("r"), (F.col("id") % 30 + 10).alias("q"), (F.col("id") % 4).alias("h"))
     p = sum((F.exp(emission.log_probability(F.col("r"), F.col("q"), F.col("h"), F.lit(k), emission.FIXED_BETA)) for k in range(4)), F.lit(0.0))
