@@ -34,11 +34,11 @@ DEPTH = 2
 #: A large node is compared exhaustively, too, where its members outside the largest component make so few pairs with
 #: all of them. LAST: a node so deep that is still large (equal signatures of unlike sets) is compared exhaustively,
 #: whatever its size. STEP: levels between two looks at the components.
-FEW_PAIRS, LAST, STEP = 16_000_000, 40, 3
+FEW_PAIRS, LAST, STEP = 4_000_000, 40, 3
 #: A node, or two blocks of one, is dense if sketches leave more pairs than this for each of its members.
 SPARSE = 2
 #: Members of a block whose sketches, and whose full sets, are compared together, and shingles of the latter.
-BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 10_000, 2_000, 1_000_000
+BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 4_000, 2_000, 1_000_000
 #: Leaders whose links with a member are confirmed before its nodes branch on; those of its largest nodes.
 LEADERS = 2
 #: A pair is looked at in full if so many of the 128 tokens agree, and of their last bits: 4.5 standard deviations under
@@ -212,21 +212,22 @@ def _all_pairs(small: DataFrame) -> DataFrame:
 
 
 def _blocks(mixed: DataFrame, block: int, weight: Column | None = None, budget: int = 1) -> DataFrame:
-    """mixed (path, rep, comp, top, all, rest, ...) with i, j, left: members outside a node's largest component (left) meet all members in blocks (i, j) of bounded size; weight and budget bound the sum of a weight in it, too."""
+    """mixed (path, rep, comp, top, all, rest, ...) with i, j, side: members outside a node's largest component (1) meet all members (0) in blocks (i, j) of bounded size; where a node is one block, these stand there once, for both (2). weight and budget bound the sum of a weight in a block, too."""
     parts = mixed.groupBy("path").agg(F.first("all").alias("_all"), F.first("rest").alias("_rest"), F.sum(weight if weight is not None else F.lit(0)).alias("_w"))
     heavy = F.ceil(F.col("_w") / budget)
     parts = parts.select("path", F.greatest(F.ceil(F.col("_all") / block), heavy, F.lit(1)).alias("_nj"), F.greatest(F.ceil(F.col("_rest") / block), F.ceil(heavy * F.col("_rest") / F.col("_all")), F.lit(1)).alias("_ni"))
     rows = mixed.join(parts, "path")
     h = F.xxhash64("rep")
-    left = rows.filter("comp <> top").withColumn("i", F.pmod(h, F.col("_ni"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nj") - 1))).withColumn("left", F.lit(True))
-    right = rows.withColumn("j", F.pmod(h, F.col("_nj"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ni") - 1))).withColumn("left", F.lit(False))
+    whole = (F.col("_ni") == 1) & (F.col("_nj") == 1)
+    left = rows.filter(F.expr("comp <> top") & ~whole).withColumn("i", F.pmod(h, F.col("_ni"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nj") - 1))).withColumn("side", F.lit(1))
+    right = rows.withColumn("j", F.pmod(h, F.col("_nj"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ni") - 1))).withColumn("side", F.when(whole & F.expr("comp <> top"), 2).otherwise(0))
     return left.unionByName(right).drop("_ni", "_nj")
 
 
 def _sides(t: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
     """Left and right rows of a block, and which pairs count: of two components, and once if both members are outside the largest."""
-    mask = t.column("left").to_numpy(zero_copy_only=False).astype(bool)
-    a, b = t.filter(pa.array(mask)), t.filter(pa.array(~mask))
+    side = t.column("side").to_numpy(zero_copy_only=False)
+    a, b = t.filter(pa.array(side >= 1)), t.filter(pa.array(side != 1))
     ca, cb = a.column("comp").to_numpy(), b.column("comp").to_numpy()
     ra, rb = a.column("rep").to_numpy(), b.column("rep").to_numpy()
     counts = (ca[:, None] != cb[None, :]) & ((cb == b.column("top").to_numpy())[None, :] | (ra[:, None] < rb[None, :]))
@@ -341,7 +342,7 @@ def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
         found.append(alike.join(dense, "path", "left_anti").select(*_ordered()).distinct())
         if n_dense:
             full = few.join(dense, "path", "left_semi").join(reps.select("rep", "n_shingles"), "rep")
-            full, _ = _kept(_blocks(full, BLOCK_SETS, F.col("n_shingles"), BLOCK_SHINGLES).select("path", "i", "j", "left", "rep", "comp", "top"))
+            full, _ = _kept(_blocks(full, BLOCK_SETS, F.col("n_shingles"), BLOCK_SHINGLES).select("path", "i", "j", "side", "rep", "comp", "top"))
             held = texts(full.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
             linked(full.join(held, "rep").groupBy("path", "i", "j").applyInArrow(_links_in_block, "a long, b long").distinct())
         if on.isEmpty():
