@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .emission import BROADCAST_SITES
+from .keep import cut
 from .ranges import overlapping, points_in_intervals
 
 MISSING, GENOME_GAP = -1, 4
@@ -18,14 +20,23 @@ def snp_sites(calls: DataFrame) -> DataFrame:
     return sites.withColumn("site", F.row_number().over(W.partitionBy("region").orderBy("ref_pos")) - 1)
 
 
+def _settled(sites: DataFrame) -> DataFrame:
+    """sites written out, and sent to every task if they are few enough."""
+    done = cut(sites)
+    return F.broadcast(done) if done.count() <= BROADCAST_SITES else done
+
+
 def linkage(bases: DataFrame, reads: DataFrame, sites: DataFrame, symbol: str | None = None) -> DataFrame:
     """region, read_id, site, ref_pos, nuc of every site inside a read's extent.
 
     nuc is one of the site's two alleles, or -1: missing or a third allele; a missing base in a column of the universal
-    genome where one sub-genome has a gap (symbol I or J) is 4.
+    genome where one sub-genome has a gap (symbol I or J) is 4. Sites are settled once; while they are few they go to
+    every task, and only the bases that lie on one are dealt by read.
     """
+    sites = _settled(sites)
     inside = points_in_intervals(sites, reads.select("region", "read_id", "first_pos", "last_pos"), ["region"], "ref_pos", "first_pos", "last_pos")
-    seen = inside.join(bases.select("region", "read_id", "ref_pos", "nuc"), ["region", "read_id", "ref_pos"], "left")
+    held = bases.select("region", "read_id", "ref_pos", "nuc").join(sites.select("region", "ref_pos"), ["region", "ref_pos"], "left_semi")
+    seen = inside.join(held, ["region", "read_id", "ref_pos"], "left")
     lost = F.when(F.col(symbol).isin("I", "J") & F.col("nuc").isNull(), GENOME_GAP).otherwise(MISSING) if symbol else F.lit(MISSING)
     allele = F.when((F.col("nuc") == F.col("a0")) | (F.col("nuc") == F.col("a1")), F.col("nuc")).otherwise(lost)
     return seen.select("region", "read_id", "site", "ref_pos", F.coalesce(allele, F.lit(MISSING)).cast("long").alias("nuc"))
