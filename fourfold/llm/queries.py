@@ -15,6 +15,7 @@ from .neardup import op10_near_duplicates
 from .neighbours import op6_nearest_neighbours
 from .rules import op1_quality_rules
 from .sharding import op5_sharding
+from .substrings import OP11_SQL, op11_substring_dedup
 from .tokencount import op4_token_counts
 
 
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_substring_dedup": op11_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op11_substring_dedup": OP11_SQL}
