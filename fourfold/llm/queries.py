@@ -10,6 +10,7 @@ from .classifier import op8_quality_classifier
 from .encoding import op9_sentencepiece
 from .language import op2_language_id
 from .linededup import op3_line_dedup
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .neighbours import op6_nearest_neighbours
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op11_substring_dedup": OP11_SQL}
+    return {"op7_mixing": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
