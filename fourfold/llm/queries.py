@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import op8_quality_classifier
+from .divergence import OP13_SQL, op13_source_divergence
 from .encoding import op9_sentencepiece
 from .language import op2_language_id
 from .linededup import op3_line_dedup
@@ -34,8 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_duplicates": op10_near_duplicates,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op7_mixing": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_source_divergence": OP13_SQL}
