@@ -77,7 +77,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def probability(n: Column, all_of: Column, kept: Column) -> Column:
     """1 + floor(SCALE * (n + SMOOTH) / (all_of + SMOOTH * kept)), exactly; null without terms."""
     above = F.lit(SCALE).cast("decimal(10,0)") * (n + SMOOTH).cast("decimal(20,0)")
-    return F.call_function("div", above, (all_of + SMOOTH * kept).cast("decimal(20,0)")).cast("long") + 1
+    return F.call_function("div", above, F.nullif((all_of + SMOOTH * kept).cast("decimal(20,0)"), F.lit(0))).cast("long") + 1
 
 
 class Quadtree:
@@ -170,7 +170,8 @@ def _tile(cells: pd.DataFrame, rows: int) -> pd.DataFrame:
     row = np.searchsorted(place, own["place"].to_numpy())
     column = np.array([number[t] for t in own["term"]], dtype=np.int64)
     left, right = np.flatnonzero(place // rows == low), np.flatnonzero(place // rows == high)
-    sums = pair_sums(row, column, own["p"].to_numpy(), empty, left, right, len(columns))
+    # Terms that none of these sources has are columns, too.
+    sums = pair_sums(row, column, own["p"].to_numpy(), empty, left, right, int(heads["width"].iloc[0]))
     a, b = np.repeat(left, len(right)), np.tile(right, len(left))
     found = [pd.DataFrame({"lang": lang, "source": sources[a], "part": "pair", "item": sources[b], "value": sums.ravel()})[a < b if low == high else slice(None)]]
     if low == high:
@@ -194,23 +195,27 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     cells = written(term_counts(docs))
     all_groups = docs.groupBy("lang", "source").agg(F.count("*").alias("rows")).drop("rows")
     groups = all_groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("size")), ["lang", "source"], "left")
-    kept = cells.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
+    columns = cells.groupBy("lang", "term").agg(F.first("total").alias("total"))
+    kept = columns.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
     groups = groups.join(kept, "lang", "left").fillna(0, ["size", "kept", "lang_size"])
     groups = groups.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1)
     groups = groups.withColumn("blocks", F.floor((F.max("place").over(W.partitionBy("lang"))) / ROWS).cast("int") + 1)
     groups = written(groups.withColumn("tiles", F.ceil(F.col("kept") / COLUMNS).cast("int")))
+    tile = F.pmod(F.xxhash64("term"), "tiles").cast("int").alias("tile")
+    widths = columns.join(groups.select("lang", "tiles").distinct(), "lang").groupBy("lang", tile).agg(F.count("*").alias("width"))
     mine = F.floor(F.col("place") / ROWS).cast("int")
 
     def to_tiles(rows: DataFrame) -> DataFrame:
         """A row goes to each tile of rows that its block makes with another."""
         other = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        return other.select("lang", "tile", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"), "source", "place", "term", "total", "p", "q")
+        return other.select("lang", "tile", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"), "source", "place", "term", "total", "p", "q", "width")
 
     nothing = F.lit(None)
     heads = groups.withColumns({"tile": F.explode(F.sequence(F.lit(0), F.greatest(F.col("tiles"), F.lit(1)) - 1)), "term": nothing.cast("string"), "total": nothing.cast("long"), "q": nothing.cast("long")})
+    heads = heads.join(widths, ["lang", "tile"], "left").fillna(0, ["width"])
     heads = heads.withColumn("p", F.coalesce(probability(F.lit(0), F.col("size"), F.col("kept")), F.lit(0)))
     of_groups = groups.select("lang", "source", "place", "blocks", "tiles", "size", "kept", "lang_size")
-    inner = cells.join(of_groups, ["lang", "source"]).withColumn("tile", F.pmod(F.xxhash64("term"), "tiles").cast("int"))
+    inner = cells.join(of_groups, ["lang", "source"]).withColumns({"tile": tile, "width": nothing.cast("long")})
     inner = inner.withColumns({"p": probability(F.col("n"), F.col("size"), F.col("kept")), "q": probability(F.col("total"), F.col("lang_size"), F.col("kept"))})
     tiles = to_tiles(heads).unionByName(to_tiles(inner)).groupBy("lang", "tile", "low", "high")
     rows_of_tile = ROWS
