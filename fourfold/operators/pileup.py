@@ -87,18 +87,22 @@ def site_table(bases: DataFrame, quality_limit: int = 10, cut_off: float = 0.0)
     One real base: it stays alone. Two that differ: the better one stays, the later on a tie. Otherwise the lowest
     quality goes if it is under quality_limit and others remain; nucleotides under cut_off of the coverage go too.
     """
-    at = ["region", "ref_pos"]
-    counts = [F.count_if(F.col("nuc") == k).alias(f"n{k}") for k in range(4)]
-    site = bases.groupBy(*at).agg(F.count("*").alias("real"), *counts, F.min("qua").alias("lowest"), F.max(F.struct("qua", "read_id", "nuc"))["nuc"].alias("best"))
-    # Only qualities under the limit are counted one by one, so a site has a few rows here, however deep it is.
-    levels = bases.filter(F.col("qua") < quality_limit).groupBy(*at, "qua").agg(*counts)
-    low = levels.groupBy(*at).agg(F.min_by(F.struct("n0", "n1", "n2", "n3"), "qua").alias("low"))
-    site = site.join(low, at, "left")
-    gone = sum((F.col(f"low.n{k}") for k in range(4)), F.lit(0))
+    at, codes = ["region", "ref_pos"], range(4)
+    # One pass over the bases: qualities under the limit are told apart, so a site has a few rows, however deep it is.
+    # All sums and extremes are of plain numbers, which hash aggregation holds; no base is sorted.
+    levels = bases.withColumn("low", F.when(F.col("qua") < quality_limit, F.col("qua"))).groupBy(*at, "low").agg(
+        F.count("*").alias("real"), *[F.count_if(F.col("nuc") == k).alias(f"n{k}") for k in codes], F.min("qua").alias("lowest"), F.max("qua").alias("highest"),
+        F.max("read_id").alias("last"), F.max_by("nuc", "read_id").alias("of_last"), F.max_by("nuc", "qua").alias("of_highest"))
+    site = levels.groupBy(*at).agg(
+        F.sum("real").alias("real"), *[F.sum(f"n{k}").alias(f"n{k}") for k in codes], F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+        F.max_by("of_last", "last").alias("of_last"), F.max_by("of_highest", "highest").alias("of_highest"), *[F.min_by(f"n{k}", "low").alias(f"low{k}") for k in codes])
+    # Of two bases: the later where their qualities are equal.
+    site = site.withColumn("best", F.when(F.col("lowest") == F.col("highest"), F.col("of_last")).otherwise(F.col("of_highest")))
+    gone = sum((F.coalesce(f"low{k}", F.lit(0)) for k in codes), F.lit(0))
     masked = F.coalesce((F.col("lowest") < quality_limit) & (F.col("real") > gone), F.lit(False))
 
     def of(code: int) -> Column:
-        many = F.col(f"n{code}") - F.when(masked, F.col(f"low.n{code}")).otherwise(0)
+        many = F.col(f"n{code}") - F.when(masked, F.col(f"low{code}")).otherwise(0)
         return F.when(F.col("real") <= 2, (F.col("best") == code).cast("long")).otherwise(many)
 
     site = site.select("region", "ref_pos", "real", *[of(k).alias(f"n{k}") for k in range(4)])
