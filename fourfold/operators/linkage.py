@@ -80,15 +80,18 @@ def patterns(link: DataFrame) -> DataFrame:
 def contained(rows: DataFrame) -> DataFrame:
     """Partial patterns that another pattern of the same first site and length completes: it has all the letters that they know.
 
-    A pattern is met by those that have its first known letter in the same place, not by all of its group.
+    Patterns are projected on each set of places that a partial one of their group knows, of which there are few; a
+    partial pattern goes if its own letters come out twice there. No two patterns are compared.
     """
-    letters = F.filter(F.transform(F.split("pattern", ""), lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda x: ~x["c"].isin("", "-"))
-    keyed = rows.withColumn("_l", F.length("pattern")).withColumn("_known", letters)
-    a = keyed.filter(F.col("pattern").contains("-")).withColumn("_at", F.col("_known")[0]).alias("a")
-    b = keyed.select("region", "first_site", "_l", F.col("pattern").alias("other"), F.explode("_known").alias("_at")).alias("b")
-    fits = F.forall(F.zip_with(F.split("a.pattern", ""), F.split("b.other", ""), lambda x, y: (x == y) | (x == "-")), lambda x: x)
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("region", "first_site", "_l", "_at")]
-    return a.join(b, [*same, F.col("a.pattern") != F.col("b.other"), fits], "left_semi").drop("_l", "_known", "_at")
+    group = ["region", "first_site", "_l"]
+    keyed = rows.withColumn("_l", F.length("pattern")).withColumn("_mask", F.regexp_replace("pattern", "[^-]", "x"))
+    masks = keyed.filter(F.col("pattern").contains("-")).select(*group, "_mask").distinct()
+    seen = F.array_join(F.zip_with(F.split("pattern", ""), F.split("_mask", ""), lambda c, m: F.when(m == "x", c).otherwise(m)), "")
+    cast = keyed.select(*group, "pattern").join(masks, group).withColumn("_seen", seen)
+    # What knows less than the places asked for is another set's case.
+    cast = cast.filter(F.regexp_replace("_seen", "[^-]", "x") == F.col("_mask"))
+    twice = cast.groupBy(*group, F.col("_seen").alias("pattern")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return keyed.join(twice, [*group, "pattern"], "left_semi").drop("_l", "_mask")
 
 
 def window_patterns(rows: DataFrame, spans: DataFrame) -> DataFrame:

@@ -81,11 +81,12 @@ def mask_low_quality(bases: DataFrame, limit: int = 12) -> DataFrame:
     return bases.filter(F.col("qua") >= limit)
 
 
-def site_table(bases: DataFrame, quality_limit: int = 10, cut_off: float = 0.0) -> DataFrame:
+def site_table(bases: DataFrame, quality_limit: int = 10, cut_off: float = 0.0, reads: DataFrame | None = None) -> DataFrame:
     """Counts of A, C, T, G (n0 to n3) and of missing bases (n_del) at each site, after the rules for thin sites.
 
     One real base: it stays alone. Two that differ: the better one stays, the later on a tie. Otherwise the lowest
     quality goes if it is under quality_limit and others remain; nucleotides under cut_off of the coverage go too.
+    reads: the reads' summary, where it is at hand.
     """
     at, codes = ["region", "ref_pos"], range(4)
     # One pass over the bases: qualities under the limit are told apart, so a site has a few rows, however deep it is.
@@ -106,7 +107,7 @@ def site_table(bases: DataFrame, quality_limit: int = 10, cut_off: float = 0.0)
         return F.when(F.col("real") <= 2, (F.col("best") == code).cast("long")).otherwise(many)
 
     site = site.select("region", "ref_pos", "real", *[of(k).alias(f"n{k}") for k in range(4)])
-    deep = coverage(read_summary(bases)).select("region", "ref_pos", "depth")
+    deep = coverage(read_summary(bases) if reads is None else reads).select("region", "ref_pos", "depth")
     out = site.join(deep, ["region", "ref_pos"])
     out = out.withColumn("n_del", F.when(F.col("real") <= 2, F.lit(0)).otherwise(F.col("depth") - F.col("real")).cast("long"))
     if cut_off:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fourfold.functions import codec
 from fourfold.operators import linkage, pileup, project, sites, steps
+from fourfold.operators.keep import cut
 from fourfold.plans.options import Options
 from fourfold.plans.q_linkage import PATTERN_SQL, SNP_SQL, STEP_SQL
 from fourfold.plans.q_pileup import LOW, MASK, SITES_SQL
@@ -123,11 +124,12 @@ def cut_off_counts(spark, sf_dir):
 
 def _parts(spark, sf_dir, symbol=False):
     bases = pileup.mask_low_quality(tetra(spark, sf_dir), MASK)
-    calls = pileup.site_table(bases, LOW)
+    reads = cut(pileup.read_summary(bases))
+    calls = pileup.site_table(bases, LOW, reads=reads)
     if symbol:
         calls = calls.withColumn("symbol", F.expr(SYMBOL))
     calls = sites.call_sites(calls, None, "symbol" if symbol else None)
-    return bases, pileup.read_summary(bases), linkage.snp_sites(calls)
+    return bases, reads, cut(linkage.snp_sites(calls))
 
 
 def linkage_with_gaps(spark, sf_dir):
@@ -145,13 +147,13 @@ def masked_alleles(spark, sf_dir):
 
 def _windows(spark, sf_dir):
     _, reads, snps = _parts(spark, sf_dir)
-    return steps.step_sites(pileup.steps(reads), snps)
+    return cut(steps.step_sites(pileup.steps(reads), snps))
 
 
 def window_support(spark, sf_dir):
     """What reads know of each window of sites."""
     bases, reads, snps = _parts(spark, sf_dir)
-    located = steps.step_sites(pileup.steps(reads), snps).filter("n_sites > 0")
+    located = cut(steps.step_sites(pileup.steps(reads), snps)).filter("n_sites > 0")
     out = linkage.window_patterns(linkage.patterns(linkage.linkage(bases, reads, snps)), located)
     return out.select(F.col("region"), F.col("first_site").cast("long").alias("first_site"), F.col("last_site").cast("long").alias("last_site"), "pattern", "n")
 
@@ -166,7 +168,7 @@ def delete_steps(spark, sf_dir):
 def trimmed_windows(spark, sf_dir):
     """Windows cut where linkage is broken; every fifth site is taken as unshared with the next."""
     bases, reads, snps = _parts(spark, sf_dir)
-    located = steps.step_sites(pileup.steps(reads), snps)
+    located = cut(steps.step_sites(pileup.steps(reads), snps))
     members = reads.select("region", "read_id", F.col("first_pos").alias("start")).join(located.select("region", "start", "t"), ["region", "start"])
     out = steps.trim(located, members, linkage.masked(bases, snps), snps.filter("site % 2 = 1").select("region", "site"))
     return out.select("region", "t", *[F.col(c).cast("long").alias(c) for c in ("first_site", "last_site")])

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fourfold.operators import impute, linkage, pileup, sites, steps
+from fourfold.operators import impute, linkage, pileup, repair, sites, steps
+from fourfold.operators.keep import cut
 from fourfold.plans.q_pileup import LOW, MASK, SITES_SQL
 from fourfold.plans.views import table, tetra
 
 
 def _parts(spark, sf_dir):
+    """Bases, and reads, calls and varying sites written out: they are small, and much is made of them."""
     bases = pileup.mask_low_quality(tetra(spark, sf_dir), MASK)
-    calls = sites.call_sites(pileup.site_table(bases, LOW))
-    return bases, pileup.read_summary(bases), calls, linkage.snp_sites(calls)
+    reads = cut(pileup.read_summary(bases))
+    calls = cut(sites.call_sites(pileup.site_table(bases, LOW, reads=reads)))
+    return bases, reads, calls, cut(linkage.snp_sites(calls))
 
 
 def _link(spark, sf_dir):
@@ -80,12 +83,29 @@ def combo_supported(spark, sf_dir):
 
 
 def transition_permit(spark, sf_dir):
-    return _long(linkage.permitted(_supported(spark, sf_dir)), "region", "site", "s1", "s2", "s3")
+    """Neighbouring combinations that agree."""
+    return _long(linkage.permitted(cut(_supported(spark, sf_dir))), "region", "site", "s1", "s2", "s3")
+
+
+#: Of all combinations of three neighbouring sites, those that are chosen before repair.
+CHOSEN = "(s1 * 5 + s2 * 3 + s3 * 7 + site) % 4 = 0"
+
+
+def state_repair(spark, sf_dir):
+    """States of windows of three sites, of which a part is chosen, and those that neighbours ask for."""
+    link, calls, snps = _link(spark, sf_dir)
+    states = sites.site_states(calls)
+    combos = cut(linkage.combinations(states, snps).select("region", "site", "s1", "s2"))
+    pool = linkage.permitted(combos).select("region", F.lit(0).alias("block_id"), F.col("site").alias("t"), F.expr("(s1 * 100 + s2 * 10 + s3)").alias("place"), F.array("s1", "s2", "s3").alias("combo"), F.expr(f"{CHOSEN}").alias("taken"))
+    pool = cut(pool)
+    windows = pool.groupBy("region", "block_id", "t").agg(F.col("t").alias("first_site"), (F.col("t") + 2).alias("last_site"))
+    out = repair.repair(windows, pool.filter("taken"), pool)
+    return out.select("region", F.col("t").cast("long").alias("site"), *[F.col("combo")[k].cast("long").alias(f"s{k + 1}") for k in range(3)], F.col("added").cast("long").alias("added"))
 
 
 def _parents(spark, sf_dir):
     _, reads, _, snps = _parts(spark, sf_dir)
-    return steps.parents(steps.step_sites(pileup.steps(reads), snps))
+    return steps.parents(cut(steps.step_sites(pileup.steps(reads), snps)))
 
 
 def step_parent_asof(spark, sf_dir):
@@ -109,7 +129,7 @@ def weighted_group_sum(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("w"), F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, imputed_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, step_parent_asof, block_ids, state_space_size, weighted_group_sum)}
+QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, imputed_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, state_repair, step_parent_asof, block_ids, state_space_size, weighted_group_sum)}
 
 SNP_SQL = f"""{SITES_SQL},
 snp as (select region, ref_pos, a0, a1, major, minor, site_class, case site_class when 'two' then 2 else 6 end as n_states, row_number() over (partition by region order by ref_pos) - 1 as site from calls where site_class <> 'mono'),
@@ -151,6 +171,17 @@ select region, first_site, pattern, n, before from r where before < 0.95 * total
     "combo_cartesian": f"with {COMBO_SQL} select region, site, s1, s2 from combo",
     "combo_supported": f"with {COMBO_SQL} select region, site, s1, s2 from sup",
     "transition_permit": f"with {COMBO_SQL} select a.region, a.site, a.s1, a.s2, b.s2 as s3 from sup a join sup b on a.region = b.region and b.site = a.site + 1 and a.s2 = b.s1",
+    "state_repair": f"""with recursive {COMBO_SQL},
+pool as (select a.region, a.site, a.s1, a.s2, b.s2 as s3 from combo a join combo b on a.region = b.region and b.site = a.site + 1 and a.s2 = b.s1),
+chosen as (select * from pool where {CHOSEN}),
+by_left as (select region, site, s1, s2, min(s3) as s3 from pool group by all), by_right as (select region, site, s2, s3, min(s1) as s1 from pool group by all),
+back as (select region, site, s1, s2, s3, 0 as added from chosen
+  union select p.region, p.site, p.s1, p.s2, p.s3, 1 from back b join by_right p on p.region = b.region and p.site = b.site - 1 and p.s2 = b.s1 and p.s3 = b.s2
+  where not exists (select 1 from chosen c where c.region = p.region and c.site = p.site and c.s2 = p.s2 and c.s3 = p.s3)),
+fore as (select region, site, s1, s2, s3, added from back
+  union select p.region, p.site, p.s1, p.s2, p.s3, 2 from fore b join by_left p on p.region = b.region and p.site = b.site + 1 and p.s1 = b.s2 and p.s2 = b.s3
+  where not exists (select 1 from back c where c.region = p.region and c.site = p.site and c.s1 = p.s1 and c.s2 = p.s2))
+select region, site, s1::bigint as s1, s2::bigint as s2, s3::bigint as s3, added::bigint as added from fore""",
     "step_parent_asof": f"with {STEP_SQL} select region, t, first_site, last_site, coalesce(parent_t, -1) as parent_t, coalesce(overlap, -1) as overlap from parent",
     "block_ids": f"with {STEP_SQL} select region, t, (sum((parent_t is null)::int) over (partition by region order by t) - 1)::bigint as block_id from parent",
     "state_space_size": f"""with {STEP_SQL} select p.region, t, round(sum(log2(n_states)), 6) as log2_states from stp p join snp s on s.region = p.region and s.ref_pos >= start and s.ref_pos < start + span group by all""",
