@@ -24,8 +24,8 @@ from .common import as_bytes, slices, written
 
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 ROWS, COLUMNS = 128, 512
-#: A task hands on its counts when they hold so many terms or bytes.
-HELD_TERMS, HELD_BYTES = 300_000, 32_000_000
+#: A task hands on its counts when they hold so many terms, or come from so many bytes of text.
+HELD_TERMS, HELD_BYTES = 300_000, 64_000_000
 #: Cells that one step of the walk looks at together.
 STEP_CELLS = 1_000_000
 #: ASCII other than letters ends a term; A-Z count as a-z.
@@ -51,13 +51,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), strict=True):
-                kinds += (lang, source) not in held
-                n, docs = held.setdefault((lang, source), (collections.Counter(), collections.Counter()))
-                own = collections.Counter(terms(text))
-                for t in own.keys() - n.keys():
-                    kinds, size = kinds + 1, size + len(t)
+                if (lang, source) not in held:
+                    held[lang, source] = (collections.Counter(), collections.Counter())
+                    kinds += 1
+                n, docs = held[lang, source]
+                own, before = terms(text), len(n)
                 n.update(own)
-                docs.update(own.keys())
+                docs.update(set(own))
+                kinds, size = kinds + len(n) - before, size + len(text)
                 if kinds > HELD_TERMS or size > HELD_BYTES:
                     yield from rows()
                     held.clear()
