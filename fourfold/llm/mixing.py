@@ -66,10 +66,11 @@ def with_copies(docs: DataFrame, text: str = "text", source: str = "source", key
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with docs' columns."""
-    columns = docs.columns
-    taken = with_copies(docs, **options).filter(F.col("copies") > 0)
-    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The mix itself: the rows of docs as they are, each as often as it is taken. options: those of with_copies."""
+    named = {n: options.pop(n, n if n != "key" else "doc_id") for n in ("text", "source", "key")}
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *[F.col(c).alias(n) for n, c in named.items()])
+    taken = with_copies(packed, key="key", **options).filter(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

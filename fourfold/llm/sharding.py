@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import column_name, cut
 
 SHARDS = 40
 TOLERANCE = 0.002
@@ -64,7 +64,7 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, p
 
     Each round asks for the bytes below `probes` keys inside each splitter's interval, all splitters together. Only
     bounds of groups of equal texts (multiples of GROUP) are asked for first; a splitter goes on inside a group where
-    the group's bounds are more than CUT_BEYOND * share off. A splitter is done when it is within tolerance * share of
+    the group's bounds are more than CUT_BEYOND * share, and half a row of the group, off. A splitter is done when it is within tolerance * share of
     its aim, or when no key lies strictly inside its interval; then the nearer end of the interval is taken. Keys have
     64 bits, so the rounds are bounded.
     """
@@ -100,7 +100,10 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, p
                     if j == left and point[0] < high[i][0]:
                         high[i] = point
             width = high[i][0] - low[i][0]
-            enough = slack if width > GROUP else max(slack, CUT_BEYOND * total / parts)
+            enough = slack
+            if width <= GROUP:  # inside a group of equal texts: no nearer than half a row of it
+                many = (high[i][2] or low[i][2] + 1) - low[i][2]
+                enough = max(slack, CUT_BEYOND * total / parts, (high[i][1] - low[i][1]) / max(many, 1) / 2)
             if best[i][0] > enough and width > 1 and high[i][1] > low[i][1]:
                 still.append(i)
         open_ = still
@@ -110,13 +113,13 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE, p
     return np.array([best[i][1] for i in order], dtype=np.int64), np.array([best[i][2] for i in order], dtype=np.int64), rounds
 
 
-def _place(splitters: list[int]):
-    cuts = np.array(splitters, dtype=np.int64)
+def _place(splitters: np.ndarray, base: np.ndarray, key: str, part: str, before: str):
+    """Adds the range of a row's key and the number of rows that its shard holds in ranges before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.searchsorted(cuts, b.column(b.schema.get_field_index("key")).to_numpy(zero_copy_only=False), side="right")
-            yield b.append_column("part", pa.array(at, pa.int32()))
+            at = np.searchsorted(splitters, b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False), side="right")
+            yield b.append_column(part, pa.array(at, pa.int32())).append_column(before, pa.array(base[at], pa.int64()))
 
     return run
 
@@ -128,28 +131,29 @@ def histogram_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     single rows allow. Equal texts stand side by side and share a shard unless a boundary goes through them. Null and
     empty texts have size 16 and crc32 0. Rows that repeat both text and id can't be told apart by their key: they
     stay together, in any order among themselves. A group of equal texts is cut only where a boundary would otherwise be
-    more than CUT_BEYOND of a share off. An empty table gives an empty table. Columns of docs that have the new names
+    more than CUT_BEYOND of a share, and half a row, off. An empty table gives an empty table. Columns of docs that have the new names
     are replaced.
     """
     # Ranges finer than shards keep a task's share bounded at any size; a shard is a run of ranges.
-    docs = docs.drop("size", "text_crc32", "shard", "slot", "key", "part")
-    facts = [size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), sort_key(F.col(text), F.col(doc_id)).alias("key")]
+    docs = docs.drop("size", "text_crc32", "shard", "slot")
+    key, part, before = (column_name(docs, c) for c in ("key", "part", "before"))
+    facts = [size_of(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), sort_key(F.col(text), F.col(doc_id)).alias(key)]
     keep = docs.columns if payload else [doc_id]
     keyed = docs.select(*keep, *facts)
     # The probing rounds go over keys and sizes only, computed once.
-    thin = cut(keyed.select(doc_id, "size", "text_crc32", "key"))
+    thin = cut(keyed.select(doc_id, "size", "text_crc32", key))
     total = int(thin.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
     finer = max(1, -(-total // (shards * TASK_BYTES)))
-    splitters, rows, _ = find_splitters(thin, shards * finer, tolerance)
-    first = [0, *rows.tolist()]
-    base = [first[p] - first[p // finer * finer] for p in range(shards * finer)]
+    splitters, rows, _ = find_splitters(thin.select(F.col(key).alias("key"), "size"), shards * finer, tolerance)
+    first = np.concatenate([[0], rows]).astype(np.int64)
+    every = np.arange(shards * finer)
+    base = first[every] - first[every // finer * finer]
     source = keyed if payload else thin
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", part int"
-    placed = source.mapInArrow(_place(splitters.tolist()), schema)
-    order = W.partitionBy("part").orderBy("key", F.col(doc_id).asc_nulls_last())
-    offset = F.element_at(F.array(*[F.lit(int(b)) for b in base]), F.col("part") + 1) if finer > 1 else F.lit(0)
-    out = placed.withColumn("slot", (offset + F.row_number().over(order) - 1).cast("long"))
-    return out.withColumn("shard", F.floor(F.col("part") / finer).cast("int")).drop("part", "key")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + f", `{part}` int, `{before}` long"
+    placed = source.mapInArrow(_place(splitters, base, key, part, before), schema)
+    order = W.partitionBy(part).orderBy(key, F.col(doc_id).asc_nulls_last())
+    out = placed.withColumn("slot", (F.col(before) + F.row_number().over(order) - 1).cast("long"))
+    return out.withColumn("shard", F.floor(F.col(part) / finer).cast("int")).drop(key, part, before)
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
