@@ -60,10 +60,38 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+class Frame:
+    """Vectors less a point near all of them and over their scale, so that |x|^2 - 2xy + |y|^2 neither cancels nor overflows.
+
+    With n dimensions a quick distance is off by at most `doubt` times the larger square.
+    """
+
+    def __init__(self, sample: np.ndarray):
+        largest = float(np.abs(sample).max(initial=0.0)) or 1.0
+        self.centre = (sample / largest).mean(axis=0) * largest if len(sample) else np.zeros(sample.shape[1])
+        self.scale = float(np.abs(sample / 2 - self.centre / 2).max(initial=0.0)) * 2 or 1.0
+        self.doubt = 1e-15 * (sample.shape[1] + 10)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x / 2 - self.centre / 2) / (self.scale / 2)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from q, on the vectors as they are; huge differences are scaled first."""
+    with np.errstate(over="ignore"):
+        apart = x - q
+        largest = np.abs(apart).max(axis=1, initial=0.0)
+        plain = np.sqrt((apart**2).sum(axis=1))
+    for k in np.flatnonzero((largest > 1e150) | (largest < 1e-150) & (largest > 0)).tolist():
+        plain[k] = largest[k] * np.sqrt(((apart[k] / largest[k]) ** 2).sum()) if np.isfinite(largest[k]) else np.inf
+    return plain
+
+
 @dataclass
 class Index:
     """Projections and shifts of the curves, quantiles for each projected coordinate, sorted keys of the sample, bounds of the ranges."""
 
+    frame: Frame
     projections: list[np.ndarray]
     shifts: list[np.ndarray]
     quantiles: list[np.ndarray]
@@ -72,7 +100,7 @@ class Index:
 
     def keys(self, curve: int, vectors: np.ndarray) -> np.ndarray:
         """Curve position in the upper bits, a hash of the vector below, so that a crowded cell can be cut too."""
-        y = vectors @ self.projections[curve]
+        y = self.frame(vectors) @ self.projections[curve]
         marks = self.quantiles[curve]
         share = np.stack([np.searchsorted(marks[:, i], y[:, i]) / (len(marks) + 1) for i in range(y.shape[1])], axis=1)
         cells = ((share + self.shifts[curve]) / 2 * (1 << BITS)).astype(np.uint32)
@@ -85,11 +113,12 @@ class Index:
 
 def fit(sample: np.ndarray, curves: int = CURVES, seed: int = 7) -> Index:
     rng, size = np.random.default_rng(seed), sample.shape[1]
-    index = Index([], [], [], [], [])
+    index = Index(Frame(sample), [], [], [], [], [])
+    framed = index.frame(sample)
     for c in range(curves):
         index.projections.append(np.linalg.qr(rng.normal(size=(size, size)))[0][:, : min(size, DIMENSIONS)])
         index.shifts.append(rng.random(min(size, DIMENSIONS)))
-        index.quantiles.append(np.quantile(sample @ index.projections[c], np.linspace(0, 1, 257)[1:-1], axis=0))
+        index.quantiles.append(np.quantile(framed @ index.projections[c], np.linspace(0, 1, 257)[1:-1], axis=0))
         index.samples.append(np.sort(index.keys(c, sample)))
     return index
 
@@ -133,15 +162,16 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float64)
 
 
-def _true_neighbours(batches: Iterator[pa.RecordBatch], probes: np.ndarray, kind: str, most: int) -> Iterator[pa.RecordBatch]:
+def _true_neighbours(batches: Iterator[pa.RecordBatch], probes: np.ndarray, kind: str, most: int, frame: Frame) -> Iterator[pa.RecordBatch]:
     """(vec) -> (probe, vec, score): the nearest of this partition for each probe, the probe itself left out."""
     names = {p.astype(kind).tobytes() for p in probes}
     own = [p.astype(kind).tobytes() for p in probes]
     best: list[list[tuple[float, bytes]]] = [[] for _ in own]
+    probes = frame(probes)
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             vecs = whole.column(0).slice(start, 2000).to_pylist()
-            x = np.frombuffer(b"".join(vecs), dtype=kind).reshape(len(vecs), -1).astype(np.float64)
+            x = frame(np.frombuffer(b"".join(vecs), dtype=kind).reshape(len(vecs), -1).astype(np.float64))
             far = (x * x).sum(axis=1)[None, :] - 2 * (probes @ x.T) + (probes * probes).sum(axis=1)[:, None]
             same = [k for k, v in enumerate(vecs) if v in names]
             for p, row in enumerate(far):
@@ -175,7 +205,7 @@ def measured_window(distinct: DataFrame, probes: np.ndarray, index: Index, kind:
     """
     if not len(probes):
         return LEAST_WINDOW
-    near = distinct.select("vec").mapInArrow(functools.partial(_true_neighbours, probes=probes, kind=kind, most=k), "probe int, vec binary, score double")
+    near = distinct.select("vec").mapInArrow(functools.partial(_true_neighbours, probes=probes, kind=kind, most=k, frame=index.frame), "probe int, vec binary, score double")
     place = F.row_number().over(W.partitionBy("probe").orderBy("score", "vec"))
     true = near.withColumn("_r", place).filter(F.col("_r") <= k).select("probe", "vec").collect()
     if not true:
@@ -232,13 +262,14 @@ def _spread(batches: Iterator[pa.RecordBatch], index: Index, asked: bool, chunks
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fine), curve), pa.int32()), pa.array(part[fine], pa.int32()), pa.array(chunk), pa.array(keys[fine].view(np.int64)), pa.array(far[fine], pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], names=names)
 
 
-def _nearest(rows: pa.Table, queries: pa.Table, most: int, chunks: int, kind: str) -> pa.Table:
+def _nearest(rows: pa.Table, queries: pa.Table, most: int, chunks: int, kind: str, frame: Frame) -> pa.Table:
     """The `most` nearest ids in one range for each query, among the rows that its window reaches: (q, id, score)."""
     out_q, out_id, out_score = [], [], []
     if rows.num_rows and queries.num_rows:
         rows, queries = rows.sort_by("key"), queries.sort_by("key")
         ids, x = rows.column("other").to_pylist(), _matrix(rows.column("vec"), kind)
-        squares, keys = (x * x).sum(axis=1), rows.column("key").to_numpy()
+        y = frame(x)
+        squares, keys = (y * y).sum(axis=1), rows.column("key").to_numpy()
         # A chunk holds one in `chunks` of a range's rows, give or take; a window is as much smaller in it.
         reach = queries.column("reach").to_numpy() / chunks
         reach = np.ceil(reach + (3 * np.sqrt(reach) if chunks > 1 else 0)).astype(np.int64)
@@ -246,21 +277,23 @@ def _nearest(rows: pa.Table, queries: pa.Table, most: int, chunks: int, kind: st
         low = np.maximum(np.searchsorted(keys, asked, side="left") - reach, 0)
         high = np.minimum(np.searchsorted(keys, asked, side="right") + reach, len(keys))
         names, q = queries.column("vec").to_pylist(), _matrix(queries.column("vec"), kind)
+        p = frame(q)
+        doubt = frame.doubt * (squares.max() + (p * p).sum(axis=1))
         for start in range(0, len(names), 100):
             # Neighbouring queries share most of their windows.
             end = min(start + 100, len(names))
             a, b = int(low[start:end].min()), int(high[start:end].max())
-            rough = squares[None, a:b] - 2 * (q[start:end] @ x[a:b].T)
+            rough = squares[None, a:b] - 2 * (p[start:end] @ y[a:b].T)
             at = np.arange(a, b)[None, :]
             rough[(at < low[start:end, None]) | (at >= high[start:end, None])] = np.inf
-            # A few more than needed by the quick formula, then by exact differences.
-            many = min(b - a, 2 * most + 10)
+            # As many as needed by the quick formula, and all that may be as near within its doubt; then by exact differences.
+            many = min(b - a, most)
             if not many:
                 continue
-            near = np.argpartition(rough, many - 1, axis=1)[:, :many]
-            for k, found in zip(range(start, end), near, strict=True):
-                found = found[np.isfinite(rough[k - start, found])] + a
-                exact = np.sqrt(((x[found] - q[k]) ** 2).sum(axis=1))
+            least = np.partition(rough, many - 1, axis=1)[:, many - 1]
+            for k in range(start, end):
+                found = np.flatnonzero((rough[k - start] <= least[k - start] + 4 * doubt[k]) & np.isfinite(rough[k - start])) + a
+                exact = distances(x[found], q[k])
                 best = sorted((d, i) for d, j in zip(exact.tolist(), found.tolist(), strict=True) for i in ids[j])[:most]
                 out_q += [names[k]] * len(best)
                 out_id += [i for _, i in best]
@@ -298,7 +331,8 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, cu
         return np.frombuffer(b"".join(sorted(bytes(r["vec"]) for r in found)), dtype=kind).reshape(-1, size).astype(np.float64)
 
     x = drawn(distinct, 1, sample, n)
-    index = fit(x if len(x) else np.ones((1, size)), curves)
+    x = x if len(x) else np.ones((1, size))
+    index = fit(x, curves)
     if window is None:
         window = measured_window(distinct, drawn(marks, 2, probed, n_asked), index, kind, k, recall)
     ranges = int(max(1, min(MOST_RANGES, n // max(RANGE_ROWS, window))))
@@ -312,7 +346,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, cu
     by = ["curve", "part", "chunk"]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _nearest(left, right, k + 1, chunks, kind)
+        return _nearest(left, right, k + 1, chunks, kind, index.frame)
 
     found = placed.groupBy(*by).cogroup(meeting.groupBy(*by)).applyInArrow(compare, "q binary, id long, score double")
     merged = found.groupBy("q", "id").agg(F.min("score").alias("score"))
