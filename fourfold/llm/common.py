@@ -131,18 +131,20 @@ _CODES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _CODES[_SPACE] = 0
 _FOLDED = _CODES.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
+#: Bytes that are hashed together, and powers that are kept.
+RUN = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        known = np.full(size, base, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; up to RUN of them are kept for the next call."""
+    known = _powers.get(base) if n <= RUN else None
+    if known is None:
+        known = np.full(max(n, RUN), base, dtype=np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        _powers[base] = known
+        if n <= RUN:
+            _powers[base] = known
     return known[:n]
 
 
@@ -167,12 +169,18 @@ class Words:
 
     def hashes(self, fold: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes; fold: with A-Z as a-z."""
-        if not len(self.starts):
-            return np.empty(0, dtype=np.uint64)
-        values = (_FOLDED if fold else _CODES)[self.data]
-        values *= powers(_BASE, len(values))
-        sums = np.add.reduceat(values, self.starts)
-        sums *= powers(pow(_BASE, -1, 1 << 64), len(values))[self.starts]
+        sums = np.zeros(len(self.starts), dtype=np.uint64)
+        codes, ahead, back = _FOLDED if fold else _CODES, powers(_BASE, RUN), powers(pow(_BASE, -1, 1 << 64), RUN)
+        for at in range(0, len(self.data), RUN):
+            values = codes[self.data[at : at + RUN]]
+            values *= ahead[: len(values)]
+            a, b = np.searchsorted(self.starts, (at, at + RUN))
+            if a and self.ends[a - 1] > at:  # what is left of a word that began in an earlier run
+                rest = int(values[: self.ends[a - 1] - at].sum(dtype=np.uint64)) * pow(_BASE, int(at - self.starts[a - 1]), 1 << 64)
+                sums[a - 1] += np.uint64(rest & 0xFFFFFFFFFFFFFFFF)
+            if b > a:
+                begin = self.starts[a:b] - at
+                sums[a:b] += np.add.reduceat(values, begin) * back[begin]
         return mix(sums + (self.ends - self.starts).astype(np.uint64))
 
     def sums(self, marks: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ over the pieces that end there, found by their hashes among the sorted keys of t
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from .pieces import SPACE, Vocabulary, load, probe, word_forms
 
 #: Characters of equally long words that advance together, and distinct words that a task remembers.
 TOGETHER, REMEMBERED = 60_000, 300_000
+#: Characters of all words that are remembered.
+REMEMBERED_CHARS = 8_000_000
 #: Words of more characters are cut first, where no piece can lie; they are looked at in runs of so many characters.
 LONG, RUN = 2_000, 100_000
 
@@ -151,6 +154,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.first, self.counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.int32)
 
@@ -188,7 +192,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (with the end of the last)."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self._forget()
         known, number = len(self.number), self.number
         places, sizes = [], [0]
@@ -197,7 +201,9 @@ class Encoder:
             places += [number.setdefault(w, len(number)) for w in forms]
             sizes.append(len(places))
         if len(number) > known:
-            self._learn(list(number)[known:])
+            new = list(itertools.islice(number, known, None))
+            self.held += sum(map(len, new))
+            self._learn(new)
         at = np.array(places, dtype=np.int64)
         counts = self.counts[at]
         ends = np.concatenate([[0], np.cumsum(counts)])

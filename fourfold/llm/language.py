@@ -21,6 +21,8 @@ from .common import as_bytes, column_name, slices, unit_hash
 
 #: Bounds of what is learned from: labelled texts and landmarks for each language, and both in all.
 SAMPLE, LANDMARKS, SAMPLE_ALL, LANDMARKS_ALL = 150, 24, 4000, 240
+#: Languages that a model knows at most.
+LANGUAGES = 1000
 #: Numbers (n-grams x landmarks) that a model holds at most; beyond, only the first landmark of each language is taken.
 NUMBERS = 16_000_000
 RIDGE = 1e-2
@@ -123,10 +125,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text, lang), all of which may be learned from.
 
     A sample bounded by SAMPLE for each language and by SAMPLE_ALL in all, chosen by a hash of doc_id, is looked at;
+    only the LANGUAGES most frequent languages are learned, so that what reaches the driver is bounded where `lang` is dirty;
     of rows that repeat an id so often that more are drawn, those that come first by hash and text.
     """
     docs = docs.filter("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     each = max(2, min(sample, SAMPLE_ALL // max(1, len(counts))))
     if not counts:
         return fit([], [])

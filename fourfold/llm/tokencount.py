@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 from .pieces import Vocabulary, load, word_forms
 
-REMEMBERED = 700_000
+#: Distinct words that a worker remembers; longer ones, as lines are where a script has no blanks, are counted anew.
+REMEMBERED, LONGEST = 500_000, 100
 _built: dict[tuple, ahocorasick.Automaton] = {}
 _memos: dict[tuple, dict[str, int]] = {}
 
@@ -81,7 +82,7 @@ class Counter:
             n = memo.get(w)
             if n is None:
                 n = self.word(w)
-                if len(memo) < REMEMBERED:
+                if len(memo) < REMEMBERED and len(w) <= LONGEST:
                     memo[w] = n
             total += n
         return total

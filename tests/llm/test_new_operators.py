@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fourfold.llm import divergence, merkle, queries, substrings
+from fourfold.llm import common, divergence, merkle, mixing, neighbours, queries, sharding, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ("doc", "spans", "n_words", "n_removed", "runs", "group", "rank", "size", "hash", "kids", "load", "block", "place", "term", "n", "p", "q", "value", "item", "part", "tile", "low", "key")
@@ -240,3 +240,49 @@ def test_pair_sums_against_dense():
         got = divergence.pair_sums(row, column, dense[row, column], empty, everything, everything, columns)
         assert (np.triu(got, 1) == np.triu(want, 1)).all()
         assert (divergence.pair_sums(row, column, dense[row, column], empty, low, high, columns) == want[np.ix_(low, high)]).all()
+
+
+def test_long_words_hash_alike():
+    """Words that lie across several runs of bytes have the hash that they have alone."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (5, 70_000, 3, 200_000, 1, 65_536, 65_535)]
+    together = common.Words([b" ".join(words), None, b"", words[3]]).hashes()
+    alone = [int(common.Words([w]).hashes()[0]) for w in words]
+    assert together.tolist() == [*alone, alone[3]] and len(set(alone)) == len(alone)
+    assert common.Words([words[1].upper()]).hashes(fold=True)[0] == common.Words([words[1]]).hashes(fold=True)[0]
+    assert all(len(k) <= common.RUN for k in common._powers.values())
+
+
+def test_callers_columns_keep_their_values(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text no "), F.col("id") % 50).alias("text"), F.lit("s").alias("source"))
+    names = ("size", "source_size", "target", "copies", "row", "key", "part", "before")
+    frame = rows.withColumns({n: F.col("doc_id") + k for k, n in enumerate(names)})
+    for r in mixing.mix(frame).collect():
+        assert all(r[n] == r["doc_id"] + k for k, n in enumerate(names))
+    for r in sharding.histogram_shards(frame, shards=4).collect():
+        assert all(r[n] == r["doc_id"] + k for k, n in enumerate(names) if n != "size")
+    assert mixing.mix(frame.withColumnRenamed("source", "origin"), source="origin").columns == ["doc_id", "text", "origin", *names]
+
+
+def test_pairs_of_copies_stay_together(spark):
+    """A boundary near the end of a small group is moved to it rather than cut through."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("x"), F.floor(F.col("id") / 2)), 20).alias("text"))
+    out = sharding.histogram_shards(rows, shards=10).groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count()
+    assert out <= 4
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 1e8), (1e200, 0.0), (1e-200, 0.0), (1e154, 3e154)])
+def test_neighbours_of_shifted_and_huge_vectors(spark, scale, offset):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)) * scale + offset
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(frame, frame.filter("vec_id % 20 = 0"), window=60).collect()
+    assert len(got) == 20 * 10 and all(np.isfinite(r["score"]) for r in got)
+    hit = 0
+    for q in range(0, 400, 20):
+        far = neighbours.distances(x, x[q])
+        true = [i for i in np.lexsort((np.arange(400), far)).tolist() if i != q][:10]
+        own = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        hit += len(set(true) & own.keys())
+        assert all(own[i] == pytest.approx(far[i], rel=1e-12) for i in own)
+    assert hit / 200 >= 0.9
