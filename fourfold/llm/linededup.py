@@ -1,31 +1,38 @@
 """Line dedup over the whole corpus by a deletion-neighbourhood join.
 
 Lines are sequences of words (A-Z as a-z, white space dropped), and an edit is one word put in, left out or replaced.
-A line goes if an earlier line, by (doc_id, line number), is equal or, for lines of at least `least` words (MIN_WORDS
-unless told otherwise), within one edit: in a shorter line one word is too much of it. Equal lines meet by a hash of the whole. For the rest each line gives the hash of every variant with one word
-deleted; a replaced word makes two lines give the same variant at the same place, and a word put in makes one line a
-variant of the other. What meets is verified by words, and the earliest stays.
-
-Only lines that share their first or last half with another line can be within one edit of any, so only those give
-variants; that loses nothing.
+A line of LEAST words or more goes if an earlier line, by (doc_id, line number), is within `edits` edits of it. In a
+shorter line one word is too much of it: such lines, if they have LEAST_CHARS characters or more, are sequences of
+characters, and go if an earlier one is within one edit of a character. Equal lines meet by a hash of the whole and go
+at any length. For the rest each line gives the hash of every variant with words left out: an edit that replaces a word
+leaves the same place open in both lines, one that puts a word in makes one line a variant of the other. What meets is
+verified by words, and the earliest stays.
+
+With one edit only lines that share their first or last half with another line can be within it of any, so only those
+give variants; that loses nothing. With more edits (a parameter; the query has one) all lines give all variants with up
+to so many places open or words left out.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, column_name, cut, mix, powers, slices, with_row_keys
+from .common import Words, as_bytes, column_name, mix, powers, slices, with_row_keys, written
 
-MIN_WORDS = 8
+LEAST, LEAST_CHARS = 8, 24
 #: So many candidate lines are sent to every task; more are joined by document.
 BROADCAST_LINES = 2_000_000
 _B1, _B2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: A place of lines that is one number: the document in the upper bits, the line below.
+LINE_BITS = 24
+_SPELLED, _BLANK = b"\x01", b"\x02"
 
 
 class Lines:
@@ -59,29 +66,50 @@ class Lines:
         return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (doc, line, h1, h2, halves); lines of fewer than `least` words have no halves."""
+def folded(line: bytes) -> bytes:
+    return b" ".join(line.lower().split())
+
+
+def spelled(line: bytes) -> bytes:
+    """A folded line with each of its characters as a word, behind a word that no line has."""
+    return b" ".join([_SPELLED, *[_BLANK if c == " " else c.encode("utf-8", "surrogatepass") for c in line.decode("utf-8", "surrogatepass")]])
+
+
+def is_short(line: bytes, least: int, least_chars: int | None) -> bool:
+    """Whether a folded line is compared by characters."""
+    return least_chars is not None and line.count(b" ") + 1 < least and len(line.decode("utf-8", "surrogatepass")) >= least_chars
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int, least_chars: int | None) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> (doc, line, h1, h2, k1 to k4); keys of halves for lines that may have a partner, null for others."""
     for batch in batches:
         for part in slices(batch, "text"):
-            x = Lines(as_bytes(part.column(1)))
+            texts = as_bytes(part.column(1))
+            x = Lines(texts)
             if not len(x.begin):
                 continue
             doc = part.column(0).to_numpy(zero_copy_only=False)[x.text]
-            size = (x.end - x.begin).astype(np.uint64)
+            n = x.end - x.begin
+            size = n.astype(np.uint64)
             h1, h2 = mix(x.run(x.begin, x.end) + size), mix(x.run(x.begin, x.end, _B2) + size)
-            long = x.end - x.begin >= least
-            keys = np.stack(x.halves(np.flatnonzero(long)), axis=1).view(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(np.where(long, 4, 0))])
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(x.number, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], names=["doc", "line", "h1", "h2", "halves"])
-
-
-def folded(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
-
-
-def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, lines) -> (doc, line, words), words joined by spaces."""
+            keys = np.zeros((len(n), 4), dtype=np.uint64)
+            wanted = n >= least
+            keys[wanted] = np.stack(x.halves(np.flatnonzero(wanted)), axis=1)
+            if least_chars is not None:
+                span = x.words.ends[x.end - 1] - x.words.starts[x.begin]
+                few = np.flatnonzero(~wanted & (span >= least_chars))
+                found = [folded(x.words.data[a:b].tobytes()) for a, b in zip(x.words.starts[x.begin[few]].tolist(), x.words.ends[x.end[few] - 1].tolist(), strict=True)]
+                short = [k for k, line in enumerate(found) if is_short(line, least, least_chars)]
+                if short:
+                    y = Lines([spelled(found[k]) for k in short])
+                    keys[few[short]] = np.stack(y.halves(np.arange(len(short))), axis=1)
+                    wanted[few[short]] = True
+            columns = [pa.array(keys[:, k].view(np.int64), mask=~wanted) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(x.number, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *columns], names=["doc", "line", "h1", "h2", "k1", "k2", "k3", "k4"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], least: int, least_chars: int | None) -> Iterator[pa.RecordBatch]:
+    """(doc, text, lines) -> (doc, line, words), words joined by spaces; short lines as characters."""
     for batch in batches:
         for part in slices(batch, "text"):
             doc, line, words = [], [], []
@@ -89,7 +117,8 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = (t or b"").split(b"\n")
                 doc += [d] * len(wanted)
                 line += wanted
-                words += [folded(own[k]) for k in wanted]
+                found = [folded(own[k]) for k in wanted]
+                words += [spelled(x) if is_short(x, least, least_chars) else x for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
 
 
@@ -122,6 +151,44 @@ def _variants(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.Recor
             yield _keyed(keys, pa.array(x.text[own]), part)
 
 
+def _open_variants(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """(doc, line, words) -> (key, doc, line, places, gone) of every variant with up to `edits` places left open or words left out.
+
+    Two lines are within `edits` edits if, and only if, they have a variant in common whose open places and the words
+    left out of either are no more than that. A line of characters has one edit.
+    """
+    open_word = mix(np.array([_B2 & 0xFFFF], dtype=np.uint64))[0]
+    for batch in batches:
+        for part in slices(batch, "words", 200_000):
+            texts = as_bytes(part.column(2))
+            x = Lines(texts)
+            hashes = mix(x.hashes + np.uint64(_B1 & 0xFFFF))
+            size = x.end - x.begin
+            few = np.array([t.startswith(_SPELLED) for t in texts])
+            for n, most in {(int(n), 1 if few[t] else edits) for n, t in zip(size, x.text, strict=True)}:
+                own = np.flatnonzero((size == n) & (few[x.text] if most == 1 and edits > 1 else ~few[x.text] | (edits == 1)))
+                words = hashes[x.begin[own][:, None] + np.arange(n)]
+                for places in range(most + 1):
+                    for gone in range(most + 1 - places):
+                        if places + gone > n:
+                            continue
+                        yield from _with_holes(part, x.text[own], words, places, gone, open_word)
+
+
+def _with_holes(part: pa.RecordBatch, where: np.ndarray, words: np.ndarray, places: int, gone: int, open_word: np.uint64) -> Iterator[pa.RecordBatch]:
+    n = words.shape[1]
+    ahead = powers(_B1, n + 1)
+    for out in itertools.combinations(range(n), gone):
+        left = np.delete(words, out, axis=1)
+        terms = left * ahead[: left.shape[1]]
+        whole = terms.sum(axis=1, dtype=np.uint64)
+        for at in itertools.combinations(range(left.shape[1]), places):
+            at = list(at)
+            key = whole - terms[:, at].sum(axis=1, dtype=np.uint64) + (open_word * ahead[at]).sum(dtype=np.uint64)
+            batch = _keyed(mix(key + np.uint64(left.shape[1])), pa.array(where), part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(where), places), pa.int32()), pa.array(np.full(len(where), gone), pa.int32())], names=["key", "doc", "line", "places", "gone"])
+
+
 def _keyed(keys: np.ndarray, where: pa.Array, part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(where), part.column(1).take(where)], names=["key", "doc", "line"])
 
@@ -140,8 +207,8 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [within_one(x.split(), y.split()) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield batch.select(["doc", "line"]).filter(pa.array(good, pa.bool_()))
+        good = [within_one(x.split(), y.split()) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield batch.select(["p"]).filter(pa.array(good, pa.bool_()))
 
 
 def _kept_text(text: bytes | None, keep: set[int]) -> bytes | None:
@@ -162,51 +229,84 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], text: str, kept: str, names: lis
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_lines", "n_kept"])
 
 
-def kept_lines(source: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def _place(doc: str, line: str, packed: bool) -> Column:
+    """Where a line stands, in order: one number where that holds it, which hash aggregation can take the least of."""
+    return F.shiftleft(F.col(doc), LINE_BITS).bitwiseOR(F.col(line).cast("long")) if packed else F.struct(F.col(doc).alias("doc"), F.col(line).alias("line"))
+
+
+def _unpacked(place: str, packed: bool) -> list[Column]:
+    if packed:
+        return [F.shiftright(place, LINE_BITS).alias("doc"), F.col(place).bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line")]
+    return [F.col(f"{place}.doc"), F.col(f"{place}.line")]
+
+
+def kept_lines(source: DataFrame, least: int = LEAST, least_chars: int | None = LEAST_CHARS, edits: int = 1) -> DataFrame:
     """(doc, line) of all lines that stay, from (doc, text); doc is unique."""
-    found = source.mapInArrow(functools.partial(_lines, least=least), "doc long, line int, h1 long, h2 long, halves array<long>")
-    place = F.struct("doc", "line")
-    firsts = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.first("halves").alias("halves")).select("p.doc", "p.line", "halves"))
-    halves = firsts.select("doc", "line", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    wanted = halves.join(shared, "key").select("doc", "line").distinct()
-    wanted = cut(wanted.groupBy("doc").agg(F.collect_list("line").alias("lines")))
+    ends = source.agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max(F.octet_length("text")).alias("long")).first()
+    packed = (ends["low"] or 0) >= 0 and (ends["high"] or 0) < 1 << (63 - LINE_BITS) and (ends["long"] or 0) < 1 << LINE_BITS
+    bounds = {"least": least, "least_chars": least_chars}
+    found = source.mapInArrow(functools.partial(_lines, **bounds), "doc long, line int, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long")
+    halves = [f"k{k}" for k in range(1, 5)]
+    firsts = written(found.groupBy("h1", "h2").agg(F.min(_place("doc", "line", packed)).alias("p"), *[F.first(k).alias(k) for k in halves]).drop("h1", "h2"))
+    may = firsts.filter("k1 is not null")
+    if edits == 1:
+        each = may.select("p", F.explode(F.array(*halves)).alias("key"))
+        shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        may = each.join(shared, "key").select("p").distinct()
+    wanted = may.select(*_unpacked("p", packed))
+    wanted = written(wanted.groupBy("doc").agg(F.collect_list("line").alias("lines")))
     if (wanted.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    texts = source.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(_chosen, "doc long, line int, words binary")
-    texts = cut(texts)
+    texts = source.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(functools.partial(_chosen, **bounds), "doc long, line int, words binary")
+    texts = written(texts)
+    place = _place("doc", "line", packed).alias("p")
+    if edits > 1:
+        gone = _within(texts.mapInArrow(functools.partial(_open_variants, edits=edits), "key long, doc long, line int, places int, gone int").select("key", place, "places", "gone"), edits)
+        return firsts.select("p").join(gone, "p", "left_anti").select(*_unpacked("p", packed))
 
     def variants(kind: str) -> DataFrame:
-        return texts.mapInArrow(functools.partial(_variants, kind=kind), "key long, doc long, line int").select("key", F.struct("doc", "line").alias("p"))
+        return texts.mapInArrow(functools.partial(_variants, kind=kind), "key long, doc long, line int").select("key", place)
 
-    placed, left_out, whole = cut(variants("placed")), variants("left_out"), variants("whole")
+    placed, left_out, whole = written(variants("placed")), variants("left_out"), variants("whole")
     # One key a line goes to every task while lines are few, so that the many keys of variants stay where they are.
     if texts.count() <= BROADCAST_LINES:
-        whole = F.broadcast(whole)
+        whole = F.broadcast(written(whole))
     earliest = placed.groupBy("key").agg(F.min("p").alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
     replaced = placed.join(earliest, "key").filter("p > e").select("p", "e")
     put_in = left_out.join(whole.withColumnRenamed("p", "w"), "key").select(F.greatest("p", "w").alias("p"), F.least("p", "w").alias("e"))
     pairs = replaced.unionByName(put_in).distinct()
-    a = texts.select(F.struct("doc", "line").alias("p"), F.col("words").alias("x"))
-    b = texts.select(F.struct("doc", "line").alias("e"), F.col("words").alias("y"))
-    checked = pairs.join(a, "p").join(b, "e").select("p.doc", "p.line", "x", "y").mapInArrow(_verified, "doc long, line int")
-    return firsts.select("doc", "line").join(checked.distinct(), ["doc", "line"], "left_anti")
+    a, b = texts.select(place, F.col("words").alias("x")), texts.select(place.alias("e"), F.col("words").alias("y"))
+    checked = pairs.join(a, "p").join(b, "e").select("p", "x", "y").mapInArrow(_verified, f"p {'long' if packed else 'struct<doc: long, line: int>'}")
+    return firsts.select("p").join(checked.distinct(), "p", "left_anti").select(*_unpacked("p", packed))
+
+
+def _within(variants: DataFrame, edits: int) -> DataFrame:
+    """p of the lines that have an earlier one within `edits` edits, from (key, p, places, gone).
+
+    For each variant and each number of words left out the earliest line is kept; no two lines are paired. What meets
+    has one variant with as many open places, so their hashes' 64 bits stand for the words.
+    """
+    reach = [F.min(F.when(F.col("gone") <= g, F.col("p"))).alias(f"e{g}") for g in range(edits + 1)]
+    earliest = variants.groupBy("key", "places").agg(*reach, F.count("*").alias("n")).filter("n > 1")
+    own = F.element_at(F.array(*[f"e{g}" for g in range(edits + 1)]), F.lit(edits + 1) - F.col("places") - F.col("gone"))
+    return variants.join(earliest, ["key", "places"]).filter(own < F.col("p")).select("p").distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, least_chars: int | None = LEAST_CHARS, edits: int = 1) -> DataFrame:
     """docs with each text less the lines that go, and n_lines, n_kept: its lines with words before and after.
 
-    least: words that a line must have to go for a line that differs by one word; equal lines go at any length. Lines
-    without words stay as they are; null and empty texts stay null and empty; a document whose lines all go has an empty
-    text or the feeds of its blank lines. Every row is a document of its own: of rows that repeat an id the first stands
-    in the id's place, the others and rows without an id stand after all ids. Columns of docs named n_lines or n_kept
-    are replaced; an empty table gives an empty table.
+    edits: words that may differ in lines of `least` words or more; least_chars: characters from which on a shorter line
+    goes for an earlier short one within one character (None: short lines go when equal only). Equal lines go at any
+    length. Lines without words stay as they are; null and empty texts stay null and empty; a document whose lines all
+    go has an empty text or the feeds of its blank lines. Every row is a document of its own: of rows that repeat an id
+    the first stands in the id's place, the others and rows without an id stand after all ids. Columns of docs named
+    n_lines or n_kept are replaced; an empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_kept")
     names = docs.columns
     mine, lists = column_name(docs, "doc"), column_name(docs, "kept")
     docs = with_row_keys(docs, doc_id, mine)
-    kept = kept_lines(docs.select(F.col(mine).alias("doc"), F.col(text).alias("text")), least)
+    kept = kept_lines(docs.select(F.col(mine).alias("doc"), F.col(text).alias("text")), least, least_chars, edits)
     per = kept.groupBy(F.col("doc").alias(mine)).agg(F.collect_list("line").alias(lists))
     joined = docs.join(per, mine, "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(mine).schema.fields) + ", n_lines long, n_kept long"

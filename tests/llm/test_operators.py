@@ -200,9 +200,9 @@ def edit(a, b):
     return p[-1]
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=8, least_chars=24, edits=1):
     """The text that each document keeps, by comparing every line with every earlier one."""
-    seen, by_length, out = set(), collections.defaultdict(list), []
+    seen, by_length, short, out = set(), collections.defaultdict(list), collections.defaultdict(list), []
     # The first row of an id stands in its place; the others, and rows without an id, after all ids.
     ids: set = set()
     again = [r[0] is None or r[0] in ids or ids.add(r[0]) is not None for r in rows]
@@ -210,16 +210,24 @@ def brute_lines(rows):
         if text is None:
             out.append((doc, None))
             continue
-        keep, own = [], []
+        keep = []
         for line in text.encode().split(b"\n"):
             w = tuple(fold(line).split())
-            gone = bool(w) and (w in seen or (len(w) >= 8 and any(len(set(w) ^ set(v)) <= 4 and edit(w, v) <= 1 for n in (len(w) - 1, len(w), len(w) + 1) if n >= 8 for v in by_length[n])))
+            letters = b" ".join(w).decode()
+            few = least_chars is not None and len(w) < least and len(letters) >= least_chars
+            gone = bool(w) and w in seen
+            if w and not gone and len(w) >= least:
+                near = range(max(least, len(w) - edits), len(w) + edits + 1)
+                gone = any(len(set(w) ^ set(v)) <= 4 * edits and edit(w, v) <= edits for n in near for v in by_length[n])
+            elif w and not gone and few:
+                gone = any(len(set(letters) ^ set(v)) <= 4 and edit(letters, v) <= 1 for n in (len(letters) - 1, len(letters), len(letters) + 1) for v in short[n])
             if w and w not in seen:
                 seen.add(w)
                 by_length[len(w)].append(w)
+                if few:
+                    short[len(letters)].append(letters)
             if not gone:
                 keep.append(line)
-            own.append(w)
         out.append((doc, b"\n".join(keep).decode()))
     return out
 
@@ -253,6 +261,37 @@ def test_line_dedup_least_words(spark):
     assert {r[0]: r[1] for r in linededup.dedup_lines(frame, least=4).select("doc_id", "n_kept").collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_of_several_edits(spark, edits):
+    rng = np.random.default_rng(edits)
+    lines = []
+    for _ in range(60):
+        base = rng.integers(0, 6, rng.integers(5, 9)).tolist()
+        lines.append(base)
+        for _ in range(2):
+            new = list(base)
+            for _ in range(int(rng.integers(1, edits + 2))):
+                k = int(rng.integers(0, len(new)))
+                new[k : k + int(rng.integers(0, 2))] = [int(rng.integers(0, 6))] * int(rng.integers(0, 2))
+            lines.append(new)
+    rows = [(i, "\n".join(" ".join(f"t{w}" for w in x) for x in lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0], r[1]) for r in linededup.dedup_lines(frame, least=5, least_chars=None, edits=edits).select("doc_id", "text").collect())
+    assert got == sorted(brute_lines(rows, 5, None, edits))
+
+
+@pytest.mark.parametrize("ids", [0, 1 << 45])
+def test_short_lines_by_characters(spark, ids):
+    """ids: so large that places aren't single numbers."""
+    texts = ["All rights reserved by Acme Corporation 2019", "All rights reserved by Acme Corporation 2010", "All rights reserved by Acme Corporations 2019", "All rights reserved by Acme Corporation 2031", "Section one", "Section ona", "Überschrift der ersten Seite hier", "überschrift der ersten seite hiér", "Überschrift der ersten Seite  hier"]
+    rows = [(ids + i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0], r[1]) for r in linededup.dedup_lines(frame).select("doc_id", "text").collect())
+    assert got == sorted(brute_lines(rows))
+    assert [bool(t) for _, t in got] == [True, False, False, True, True, True, True, True, False]
+    assert all(r["n_kept"] for r in linededup.dedup_lines(frame.limit(8), least_chars=None).collect())
+
+
 def test_row_keys(spark):
     rows = [(5, "a"), (None, "b"), (5, "c"), (9, "d"), (None, "e"), (5, "f"), (-3, "g")]
     got = {r["x"]: (r["doc_id"], r["k"]) for r in common.with_row_keys(spark.createDataFrame(rows, "doc_id long, x string"), "doc_id", "k").collect()}
