@@ -68,6 +68,12 @@ def iupac_to_xy(code: Column) -> Column:
     return F.when(code == 1, 0).when(code == 2, 1).when(code == 8, 2).when(code == 4, 3)
 
 
+def letter_codes(seq: Column, encoding: str) -> Column:
+    """The codes of all letters of a sequence, two-bit (`xy`) or IUPAC sets (`iupac`)."""
+    one = {"xy": xy_code, "iupac": iupac_code}[encoding]
+    return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: one(c).cast("int"))
+
+
 def iupac_options(code: Column) -> Column:
     return F.bit_count(code)
 
@@ -190,6 +196,43 @@ def query_length(ops: Column) -> Column:
     return consumed(ops, "MIS=X")
 
 
+def clipped(ops: Column, start: Column, lo: Column, hi: Column) -> Column:
+    """The operations of an alignment that begins at `start`, with all that lies outside [lo, hi) of the reference as soft clips.
+
+    What is left begins at lo. Bases cut off, and insertions that no longer lie between bases, go into the clips at the
+    ends, with those that were there; hard clips stay outside them. One fold over the operations; lo is no less than start.
+    """
+    kinds = "array<struct<op:string,len:int>>"
+    first = F.struct(start.cast("int").alias("at"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("hard_left"), F.lit(0).alias("hard_right"), F.array().cast(kinds).alias("out"))
+    lo, hi = lo.cast("int"), hi.cast("int")
+
+    def step(a: Column, o: Column) -> Column:
+        op, size, at = o["op"], o["len"], a["at"]
+        on_reference, on_read = F.instr(F.lit("MDN=X"), op) > 0, F.instr(F.lit("MIS=X"), op) > 0
+        none = F.lit(0)
+        before = F.when(on_reference, F.least(size, F.greatest(none, lo - at)))
+        kept = F.when(on_reference, F.greatest(none, F.least(at + size, hi) - F.greatest(at, lo))).when((op == "I") & (at > lo) & (at < hi), size).otherwise(none)
+        ahead = F.when(on_reference, before).when(at <= lo, size - kept).otherwise(none)
+        behind = size - kept - ahead
+        return F.struct(
+            (at + F.when(on_reference, size).otherwise(none)).alias("at"),
+            (a["left"] + F.when(on_read, ahead).otherwise(none)).alias("left"), (a["right"] + F.when(on_read, behind).otherwise(none)).alias("right"),
+            (a["hard_left"] + F.when(op == "H", ahead).otherwise(none)).alias("hard_left"), (a["hard_right"] + F.when(op == "H", behind).otherwise(none)).alias("hard_right"),
+            F.concat(a["out"], F.when(kept > 0, F.array(F.struct(op.alias("op"), kept.alias("len")))).otherwise(F.array().cast(kinds))).alias("out"))
+
+    def end(a: Column) -> Column:
+        part = lambda n, op: F.when(n > 0, F.array(F.struct(F.lit(op).alias("op"), n.alias("len")))).otherwise(F.array().cast(kinds))
+        return F.concat(part(a["hard_left"], "H"), part(a["left"], "S"), a["out"], part(a["right"], "S"), part(a["hard_right"], "H"))
+
+    return F.aggregate(ops, first, step, end)
+
+
+def cigar_text(ops: Column) -> Column:
+    """Operations as a CIGAR string, `*` if there are none."""
+    text = F.array_join(F.transform(ops, lambda o: F.concat(o["len"].cast("string"), o["op"])), "")
+    return F.when(text == "", "*").otherwise(text)
+
+
 def longest(ops: Column, kinds: str) -> Column:
     """The longest operation of some kinds; 0 if there is none."""
     found = F.transform(F.filter(ops, lambda o: F.instr(F.lit(kinds), o["op"]) > 0), lambda o: o["len"])

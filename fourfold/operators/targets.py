@@ -56,6 +56,17 @@ def merge_files(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumn("kept", (F.col("n_a") == 1) & (F.col("n_b") == 1))
 
 
+def common_extent(alignments: DataFrame, read: list[str], start: str = "start", ops: str = "ops") -> DataFrame:
+    """alignments cut to what all alignments of one read cover: `start` and `ops` as they are then; reads whose alignments have nothing in common are left out.
+
+    start: where an alignment begins, in coordinates that all alignments of a read share. A read's extent is summed up
+    first and joined back.
+    """
+    ends = alignments.groupBy(*read).agg(F.max(start).alias("_lo"), F.min(F.col(start) + codec.reference_length(F.col(ops))).alias("_hi")).filter("_hi > _lo")
+    rows = alignments.join(ends, read)
+    return rows.withColumn(ops, codec.clipped(F.col(ops), F.col(start), F.col("_lo"), F.col("_hi"))).withColumn(start, F.col("_lo")).drop("_lo", "_hi")
+
+
 def target_table(ref_sam: DataFrame) -> DataFrame:
     """One row for each mapped record of the SAM that aligns sub-genome B's regions to A's, in file order.
 

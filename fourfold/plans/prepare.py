@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fourfold.functions import codec
@@ -13,27 +13,31 @@ from fourfold.operators import project, targets
 from fourfold.operators.keep import cut
 from fourfold.plans.options import Options
 from fourfold.sources import fastx, sam
-from fourfold.sources.pileup import write_pileup
+from fourfold.sources.pileup import write_pileup, write_universal
 
 
 @dataclass
 class Prepared:
     """pileup: region, read_id, read_pos, ref_pos, qua, nuc; universal: region, name, seq; columns: of each target; reads:
-    which alignment was chosen for each read, with its name; report: records left out, by file and reason."""
+    which alignment was chosen for each read, with its name; report: records left out, by file and reason; missing: region
+    and file of targets that no read of the file lies on."""
 
     pileup: DataFrame
     universal: DataFrame
     columns: DataFrame
     reads: DataFrame
     report: DataFrame
+    missing: DataFrame
 
 
-def check_path(path: str, endings: tuple[str, ...]) -> str:
-    """Local paths must exist; all must end as their format does. Paths with a scheme are left to Spark."""
+def check_path(spark: SparkSession, path: str, endings: tuple[str, ...]) -> str:
+    """A path must end as its format does and exist, in whatever file system Spark finds it."""
     if not path.lower().endswith(endings):
         raise ValueError(f"{path}: must end in {', '.join(endings)}")
-    if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(path)
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
     return path
 
 
@@ -41,12 +45,13 @@ def prepare_alignment(spark: SparkSession, references: str, ref_sam: str, sam_a:
     """Read the files, keep reads aligned once to each sub-genome of a target, and take the likelier alignment of each.
 
     references: FASTA with the aligned sequences, B's after A's; ref_sam: the alignment of B's regions to A's; sam_a,
-    sam_b: the reads on either genome. All targets of ref_sam are done at once; a target's number is its region.
+    sam_b: the reads on either genome. All targets of ref_sam are done at once; a target's number is its region. Where
+    every target lacks reads in one file or the other that is an error.
     """
     o = options or Options()
-    check_path(references, (".fsa", ".fa", ".fasta"))
+    check_path(spark, references, (".fsa", ".fa", ".fasta"))
     for p in (ref_sam, sam_a, sam_b):
-        check_path(p, (".sam",))
+        check_path(spark, p, (".sam",))
     table = cut(targets.target_table(sam.read_sam(spark, ref_sam).filter(F.col("flag").bitwiseAND(o.secondary_flag) == 0)))
     seqs = fastx.read_fasta(spark, references).select("name", "seq")
     pairs = table.join(seqs.withColumnsRenamed({"name": "region_a", "seq": "seq_a"}), "region_a").join(seqs.withColumnsRenamed({"name": "region_b", "seq": "seq_b"}), "region_b")
@@ -67,6 +72,10 @@ def prepare_alignment(spark: SparkSession, references: str, ref_sam: str, sam_a:
         flip = table.select("target", (F.col("strand_b") if side == "b" else F.lit(0)).alias("flip"))
         placed = mapped.join(where, "line").join(flip, "target").withColumn("strand", strand.bitwiseXOR(F.col("flip")))
         sides[side] = cut(placed.select("target", "line", "name", "strand", "flip", "pos", "ops", "seq", "qual"))
+    lacking = [table.select("target").join(sides[s].select("target"), "target", "left_anti").select(F.col("target").alias("region"), F.lit(s).alias("file")) for s in sides]
+    missing = cut(lacking[0].unionByName(lacking[1]))
+    if table.select("target").join(missing.select(F.col("region").alias("target")), "target", "left_anti").isEmpty():
+        raise ValueError(f"no read of {', '.join(r['file'].upper() for r in missing.select('file').distinct().orderBy('file').collect())} lies on a target of {ref_sam}")
     key = ["target", "name", "strand"]
     counts = targets.merge_files(sides["a"], sides["b"], key).filter("kept").select(*key)
     kept = counts.join(sides["a"].select(*key, F.col("line").alias("line_a")), key).join(sides["b"].select(*key, F.col("line").alias("line_b")), key)
@@ -85,7 +94,7 @@ def prepare_alignment(spark: SparkSession, references: str, ref_sam: str, sam_a:
     if pileup_path:
         write_pileup(pileup, pileup_path)
     if universal_path:
-        fastx.write_fasta(universal, universal_path)
+        write_universal(universal, universal_path)
     if fastq_path:
         fastx.write_fastq(sides["a"].join(chosen.select("target", F.col("line_a").alias("line")), ["target", "line"], "left_semi"), fastq_path)
-    return Prepared(pileup, universal, columns, chosen.select(F.col("target").alias("region"), "read_id", "name", "strand", "genome", "ll_a", "ll_b"), reports[0].unionByName(reports[1]))
+    return Prepared(pileup, universal, columns, chosen.select(F.col("target").alias("region"), "read_id", "name", "strand", "genome", "ll_a", "ll_b"), reports[0].unionByName(reports[1]), missing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fourfold.functions import codec
-from fourfold.operators import linkage, pileup, project, sites, steps
+from fourfold.operators import linkage, pileup, project, quantiles, sites, steps, targets
 from fourfold.operators.keep import cut
 from fourfold.plans.options import Options
 from fourfold.plans.q_linkage import PATTERN_SQL, SNP_SQL, STEP_SQL
@@ -180,6 +180,35 @@ def merge_steps(spark, sf_dir):
     return steps.merges(rows).select("region", *[F.col(c).cast("long").alias(c) for c in ("t", "into")])
 
 
+SECOND = "concat(10 + event_id % 25, 'M', event_id % 3 + 1, 'D', {length} - 10 - event_id % 25, 'M')"
+SHIFT = "event_id % 60 - 30"
+
+
+def trimmed_alignments(spark, sf_dir):
+    """Two alignments of each read, cut to their common extent."""
+    rows = sam.parse_records(_lines(spark, sf_dir)).withColumn("event_id", F.col("line"))
+    first = rows.select("line", F.lit("a").alias("genome"), F.col("pos").alias("start"), "ops")
+    second = rows.select("line", F.lit("b").alias("genome"), (F.col("pos") + F.expr(SHIFT)).alias("start"), codec.parse_cigar(F.expr(SECOND.format(length="length(seq)"))).alias("ops"))
+    out = targets.common_extent(first.unionByName(second), ["line"])
+    return out.select("line", "genome", F.col("start").cast("long").alias("start"), codec.cigar_text(F.col("ops")).alias("cigar"))
+
+
+def region_parts(spark, sf_dir):
+    """Names, starts and ends of regions named after records, and what isn't such a name."""
+    rows = sam.parse_records(_lines(spark, sf_dir))
+    text = F.when(F.col("line") % 9 == 0, F.col("rname")).otherwise(codec.region_name(F.concat("rname", F.lit(":x-"), F.col("line") % 3), F.col("pos"), F.col("pos") + F.length("seq")))
+    return rows.select("line", codec.split_region(text).alias("g")).select("line", F.coalesce("g.name", F.lit("-")).alias("name"), F.coalesce("g.start", F.lit(-1)).alias("start"), F.coalesce("g.end", F.lit(-1)).alias("stop"))
+
+
+def quality_quantiles(spark, sf_dir):
+    """Of each region's bases the lower median of the qualities, their ninth decile, and the site up to which 4,000 bases lie."""
+    bases = pileup.mask_low_quality(tetra(spark, sf_dir), MASK).select("region", "ref_pos", "qua")
+    out = quantiles.weighted_quantile(bases, ["region"], "qua", 0.5).withColumnRenamed("qua", "median")
+    high = quantiles.weighted_quantile(bases, ["region"], "qua", 0.9, bins=4).withColumnRenamed("qua", "high")
+    until = quantiles.cumulative_cut(bases, ["region"], "ref_pos", 4000, bins=8).withColumnRenamed("ref_pos", "until")
+    return out.join(high, "region").join(until, "region").select("region", "median", "high", F.coalesce("until", F.lit(-1)).alias("until"))
+
+
 def sequence_checks(spark, sf_dir):
     """Quality and nucleotide codecs on whole records: errors, chance of no error, censored qualities, decoded letters, region names."""
     rows = sam.parse_records(_lines(spark, sf_dir))
@@ -200,7 +229,7 @@ def set_equal(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sam_records, sam_filter_report, sam_base_table, universal_columns, projected_reads, alignment_scores, pileup_text_rows, gap_site_calls, gap_site_states, single_site_states,
-    cut_off_counts, linkage_with_gaps, masked_alleles, window_support, delete_steps, trimmed_windows, merge_steps, sequence_checks, set_equal,
+    cut_off_counts, linkage_with_gaps, masked_alleles, window_support, delete_steps, trimmed_windows, merge_steps, trimmed_alignments, region_parts, quality_quantiles, sequence_checks, set_equal,
 )}
 
 SAM_SQL = f"""sam as (select event_id as line, concat('r', event_id) as name, {FLAG} as flag, concat('chr', event_id % 5) as rname, event_id * 7 % 1000 + 1 as pos, {CIGAR} as cigar, {SEQ} as seq, {QUAL} as qual,
@@ -283,6 +312,25 @@ left_ as (select b.* from b anti join same using (region, t)),
 ex as (select region, t, block, unnest(range(first_site, last_site + 1)) as site from left_),
 prev as (select region, block + 1 as block, site, max(t) as into_t from ex group by all)
 select region, t, into_t as "into" from same union all select region, t, arg_min(into_t, site) as "into" from ex join prev using (region, block, site) group by region, t""",
+    "trimmed_alignments": f"""with {SAM_SQL},
+o as (select line, 'a' as genome, pos as start, unnest(['H', 'S', 'M', 'I', 'M', 'D', 'M']) as op, unnest([h, s, m1, i, m2, d, 15]) as len, unnest(range(7)) as k from sam
+  union all select event_id, 'b', pos + {SHIFT}, unnest(['M', 'D', 'M']), unnest([10 + event_id % 25, event_id % 3 + 1, len - 10 - event_id % 25]), unnest(range(3)) from (select *, line as event_id from sam)),
+r as (select *, start + coalesce(sum(case when op in ('M', 'D') then len else 0 end) over (partition by line, genome order by k rows between unbounded preceding and 1 preceding), 0) as rs from o),
+e as (select line, max(start) as lo, min(stop) as hi from (select line, genome, any_value(start) as start, max(rs + case when op in ('M', 'D') then len else 0 end) as stop from r group by all) group by line having max(start) < min(stop)),
+p as (select r.*, lo, case when op in ('M', 'D') then greatest(0, least(rs + len, hi) - greatest(rs, lo)) when op = 'I' and rs > lo and rs < hi then len else 0 end as kept,
+  case when op in ('M', 'D') then least(len, greatest(0, lo - rs)) when rs <= lo then len else 0 end as lead from r join e using (line)),
+q as (select *, case when op = 'I' and kept > 0 then 0 else lead end as ahead from p)
+select line, genome, any_value(lo)::bigint as start, concat(case when sum(case when op = 'H' then ahead else 0 end) > 0 then sum(case when op = 'H' then ahead else 0 end)::bigint || 'H' else '' end,
+  case when sum(case when op in ('M', 'I', 'S') then ahead else 0 end) > 0 then sum(case when op in ('M', 'I', 'S') then ahead else 0 end)::bigint || 'S' else '' end,
+  string_agg(kept::bigint || op, '' order by k) filter (kept > 0),
+  case when sum(case when op in ('M', 'I', 'S') then len - kept - ahead else 0 end) > 0 then sum(case when op in ('M', 'I', 'S') then len - kept - ahead else 0 end)::bigint || 'S' else '' end) as cigar
+from q group by line, genome""",
+    "region_parts": f"""with {SAM_SQL} select line, case when line % 9 = 0 then '-' else concat(rname, ':x-', line % 3) end as name, case when line % 9 = 0 then -1 else pos end as start, case when line % 9 = 0 then -1 else pos + len end as stop from sam""",
+    "quality_quantiles": f"""with {SITES_SQL},
+q as (select region, qua, sum(count(*)) over (partition by region order by qua) as c, sum(count(*)) over (partition by region) as n from m group by region, qua),
+s as (select region, ref_pos, sum(count(*)) over (partition by region order by ref_pos) as c from m group by region, ref_pos)
+select a.region, a.median, a.high, coalesce(b.until, -1) as until from (select region, min(qua) filter (c >= n * 0.5) as median, min(qua) filter (c >= n * 0.9) as high from q group by region) a
+left join (select region, min(ref_pos) as until from s where c >= 4000 group by region) b using (region)""",
     "sequence_checks": f"""with {SAM_SQL} select line, round({ERRORS_SQL}, 6) as expected, round(list_product(list_transform(range(1, length(qual) + 1), lambda k: 1 - pow(10.0::double, -(ascii(substr(qual, k::int, 1)) - 33) / 10.0))), 9) as error_free,
   least(greatest(ascii(substr(qual, 1, 1)) - 33, 20), 35)::bigint as censored, case when line % 4 > 0 then substr(seq, 1, 1) else 'N' end as letter, concat(rname, ':', pos, '-', pos + m1 + m2 + d + 15) as region, true as valid from sam""",
     "set_equal": """with s as (select o_custkey, list_sort(list(distinct o_orderpriority) filter (where o_orderstatus = 'O')) as o, list_sort(list(distinct o_orderpriority) filter (where o_orderstatus = 'F')) as f from orders group by 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fourfold.operators import impute, linkage, pileup, repair, sites, steps
+from fourfold.operators import impute, linkage, numbering, pileup, repair, sampling, sites, steps
 from fourfold.operators.keep import cut
 from fourfold.plans.q_pileup import LOW, MASK, SITES_SQL
 from fourfold.plans.views import table, tetra
@@ -116,6 +116,24 @@ def block_ids(spark, sf_dir):
     return _long(steps.blocks(_parents(spark, sf_dir)), "region", "t", "block_id")
 
 
+def linked_site_counts(spark, sf_dir):
+    """What linked reads carry at each varying site."""
+    out = sampling.site_counts(_link(spark, sf_dir)[0])
+    return _long(out, "region", "ref_pos", "n0", "n1", "n2", "n3", "n_del", "depth")
+
+
+def block_new_sites(spark, sf_dir):
+    """Sites of each block's windows that the block before doesn't hold, where blocks are cut at every 40th step."""
+    rows = _parents(spark, sf_dir).withColumn("block_id", F.floor(F.col("t") / 40))
+    return _long(sampling.block_sites(rows), "region", "block_id", "site")
+
+
+def dense_numbers(spark, sf_dir):
+    """Reads of each region numbered from 1 along their keys, by ranges."""
+    reads = pileup.read_summary(tetra(spark, sf_dir)).select("region", F.col("read_id").alias("line"))
+    return numbering.numbered(reads, "region", "line", "read_id")
+
+
 def state_space_size(spark, sf_dir):
     """Product of the numbers of states in each step's window."""
     _, reads, _, snps = _parts(spark, sf_dir)
@@ -129,7 +147,7 @@ def weighted_group_sum(spark, sf_dir):
     return rows.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("w"), F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, imputed_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, state_repair, step_parent_asof, block_ids, state_space_size, weighted_group_sum)}
+QUERIES = {f.__name__: f for f in (linkage_long, adjacent_pair_transitions, distinct_linkage_rows, imputed_linkage_rows, contained_linkage_rows, hap_abundance_topk, cumulative_abundance, combo_cartesian, combo_supported, transition_permit, state_repair, step_parent_asof, block_ids, linked_site_counts, block_new_sites, dense_numbers, state_space_size, weighted_group_sum)}
 
 SNP_SQL = f"""{SITES_SQL},
 snp as (select region, ref_pos, a0, a1, major, minor, site_class, case site_class when 'two' then 2 else 6 end as n_states, row_number() over (partition by region order by ref_pos) - 1 as site from calls where site_class <> 'mono'),
@@ -184,6 +202,10 @@ fore as (select region, site, s1, s2, s3, added from back
 select region, site, s1::bigint as s1, s2::bigint as s2, s3::bigint as s3, added::bigint as added from fore""",
     "step_parent_asof": f"with {STEP_SQL} select region, t, first_site, last_site, coalesce(parent_t, -1) as parent_t, coalesce(overlap, -1) as overlap from parent",
     "block_ids": f"with {STEP_SQL} select region, t, (sum((parent_t is null)::int) over (partition by region order by t) - 1)::bigint as block_id from parent",
+    "linked_site_counts": f"with {SNP_SQL} select region, ref_pos, " + ", ".join(f"count(*) filter (nuc = {k}) as {n}" for k, n in enumerate(("n0", "n1", "n2", "n3", "n_del"))) + ", count(*) as depth from link where nuc >= 0 group by region, ref_pos",
+    "block_new_sites": f"""with {STEP_SQL}, b as (select distinct region, t // 40 as block_id, unnest(range(first_site, last_site + 1)) as site from loc)
+select region, block_id, site from b where not exists (select 1 from b p where p.region = b.region and p.block_id = b.block_id - 1 and p.site = b.site)""",
+    "dense_numbers": f"with {SNP_SQL.split('m as (')[0]} r as (select distinct region, read_id as line from tetra) select region, line, row_number() over (partition by region order by line) as read_id from r",
     "state_space_size": f"""with {STEP_SQL} select p.region, t, round(sum(log2(n_states)), 6) as log2_states from stp p join snp s on s.region = p.region and s.ref_pos >= start and s.ref_pos < start + span group by all""",
     "weighted_group_sum": "select l_returnflag, l_linestatus, l_linenumber, sum(l_quantity::bigint)::bigint as w, count(*) as n, min(l_orderkey) as first_key from lineitem group by all",
 }

@@ -23,7 +23,8 @@ def read_fastq(spark: SparkSession, path: str, min_length: int | None = None, ma
     """record, name, seq, qual of four-line records.
 
     Records with letters that are no IUPAC code, or as many qualities as letters not, go. ambiguous: `keep`, `drop_read`,
-    `drop_nuc` (with its quality) or `abort`.
+    `drop_nuc` (with its quality), `abort`, or `switch`: where any record is ambiguous all letters are coded by IUPAC, else
+    by the four nucleotides; that adds `encoding` (iupac or xy) and `codes`, the letters' numbers.
     """
     lines = numbered_lines(spark, path).withColumn("record", F.floor(F.col("line") / 4)).withColumn("k", F.col("line") % 4)
     part = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
@@ -34,6 +35,9 @@ def read_fastq(spark: SparkSession, path: str, min_length: int | None = None, ma
     if ambiguous == "abort":
         if not rows.filter(~plain).isEmpty():
             raise ValueError(f"ambiguous nucleotides in {path}")
+    elif ambiguous == "switch":
+        encoding = "xy" if rows.filter(~plain).isEmpty() else "iupac"
+        rows = rows.withColumns({"encoding": F.lit(encoding), "codes": codec.letter_codes(F.col("seq"), encoding)})
     elif ambiguous == "drop_read":
         rows = rows.filter(plain)
     elif ambiguous == "drop_nuc":

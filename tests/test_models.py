@@ -16,20 +16,14 @@ def small_chain(seed, sizes):
     emit = [np.log(rng.dirichlet(np.ones(n))) for n in sizes]
     trans = []
     for a, b in itertools.pairwise(sizes):
-        ok = rng.random((a, b)) < 0.6
-        m = hmm.Moves.where(ok)
-        value = rng.random(len(m.source)) + 0.1
-        total = np.bincount(m.source, value, minlength=a)
-        trans.append(hmm.Moves(m.source, m.target, (a, b), np.log(value / total[m.source])))
+        ways = np.argwhere(rng.random((3, 3)) < 0.5)
+        m = hmm.Moves.of_codes(rng.integers(0, 3, a), rng.integers(0, 3, b), ways.reshape(-1, 2))
+        trans.append(m.with_weight(rng.normal(size=b)))
     return np.log(rng.dirichlet(np.ones(sizes[0]))), trans, emit
 
 
 def every_path(phi, trans, emit):
-    dense = []
-    for m in trans:
-        d = np.full(m.sizes, -np.inf)
-        d[m.source, m.target] = m.value
-        dense.append(d)
+    dense = [m.chances() for m in trans]
     for path in itertools.product(*[range(len(e)) for e in emit]):
         s = phi[path[0]] + emit[0][path[0]]
         for t, (i, j) in enumerate(itertools.pairwise(path)):
@@ -37,9 +31,11 @@ def every_path(phi, trans, emit):
         yield path, s
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(8))
 def test_forward_backward_and_viterbi(seed):
     phi, trans, emit = small_chain(seed, [3, 4, 2, 3])
+    for m in trans:
+        assert np.exp(m.chances()).sum(axis=1) == pytest.approx(1)
     paths = [p for p in every_path(phi, trans, emit) if p[1] > -np.inf]
     total = math.log(sum(math.exp(s) for _, s in paths))
     found = hmm.forward_backward(phi, trans, emit)
@@ -47,13 +43,19 @@ def test_forward_backward_and_viterbi(seed):
     for t, g in enumerate(found["gamma"]):
         want = [sum(math.exp(s - total) for p, s in paths if p[t] == i) for i in range(len(g))]
         assert np.exp(g) == pytest.approx(want, abs=1e-12)
-    for t, x in enumerate(found["xi"]):
-        want = [sum(math.exp(s - total) for p, s in paths if (p[t], p[t + 1]) == (i, j)) for i, j in zip(trans[t].source, trans[t].target, strict=True)]
-        assert np.exp(x) == pytest.approx(want, abs=1e-12)
     path, score = hmm.viterbi(phi, trans, emit)
     best = max(s for _, s in paths)
     assert score == pytest.approx(best)
     assert dict(paths)[tuple(path)] == pytest.approx(best)
+    # What is learned: the share of each move among those from its source, over all paths.
+    new_phi, new = hmm.update(found, trans)
+    assert new_phi == pytest.approx(found["gamma"][0])
+    for t, m in enumerate(new):
+        xi = np.zeros((len(emit[t]), len(emit[t + 1])))
+        for p, s in paths:
+            xi[p[t], p[t + 1]] += math.exp(s - total)
+        met = xi.sum(axis=1) > 0
+        assert np.exp(m.chances())[met] == pytest.approx((xi / xi.sum(axis=1, keepdims=True, where=met[:, None], initial=0))[met], abs=1e-9)
 
 
 def test_likelihood_does_not_fall():
@@ -63,18 +65,53 @@ def test_likelihood_does_not_fall():
         found = hmm.forward_backward(phi, trans, emit)
         assert found["llk"] >= last - 1e-12
         last = found["llk"]
+        before = trans
         phi, trans = hmm.update(found, trans)
         assert hmm.log_sum(phi) == pytest.approx(0)
         for m in trans:
-            assert np.bincount(m.source, np.exp(m.value), minlength=m.sizes[0]) == pytest.approx(np.ones(m.sizes[0]))
+            assert np.exp(m.chances()).sum(axis=1) == pytest.approx(1)
+    assert max(x.change(y) for x, y in zip(trans, before, strict=True)) < 1
 
 
 def test_moves_agree_on_shared_codes():
     a, b = np.array([0, 1, 2, 1]), np.array([1, 0, 1, 3])
+    got = np.exp(hmm.Moves.agreeing(a, b).chances())
+    want = (a[:, None] == b[None, :]).astype(float)
+    want[2] = 1  # no other agrees: anywhere
+    assert got == pytest.approx(want / want.sum(axis=1, keepdims=True))
+
+
+def test_moves_of_many_states_take_little_room():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, 10_000), rng.integers(0, 2, 10_000)
+    tracemalloc.start()
     m = hmm.Moves.agreeing(a, b)
-    pairs = set(zip(m.source.tolist(), m.target.tolist(), strict=True))
-    assert {p for p in pairs if p[0] != 2} == {(i, j) for i in (0, 1, 3) for j in range(4) if a[i] == b[j]}
-    assert {p for p in pairs if p[0] == 2} == {(2, j) for j in range(4)}  # no other agrees: anywhere
+    found = hmm.forward_backward(hmm.uniform_start(10_000), [m], [np.zeros(10_000), np.zeros(10_000)])
+    hmm.viterbi(*hmm.update(found, [m]), [np.zeros(10_000), np.zeros(10_000)])
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_put_together_are_the_whole(seed):
+    sizes = [3, 4, 5, 3, 4, 4, 5, 2, 3]
+    phi, trans, emit = small_chain(seed, sizes)
+    whole = hmm.forward_backward(phi, trans, emit)
+    at = [0, 3, 4, 7, 9]
+    for best in (False, True):
+        pieces = [hmm.folded(phi, trans[a - 1] if a else None, trans[a : b - 1], emit[a:b], trans[b - 1] if b < 9 else None, best) for a, b in itertools.pairwise(at)]
+        if best:
+            classes, score = hmm.best_cuts(pieces)
+            path, top = hmm.viterbi(phi, trans, emit)
+            assert score == pytest.approx(top) and [int(trans[c - 1].source[path[c - 1]]) for c in at[1:-1]] == classes
+        else:
+            ahead, behind, llk = hmm.cuts(pieces)
+            assert llk == pytest.approx(whole["llk"], abs=1e-9)
+            for x, y in zip(ahead, behind, strict=True):
+                assert hmm.log_sum(x + y) == pytest.approx(whole["llk"], abs=1e-9)
+    assert hmm.cuts([hmm.folded(phi, None, trans, emit, None)])[2] == pytest.approx(whole["llk"])
 
 
 def test_logit_recovers_coefficients():

@@ -1,9 +1,12 @@
 """Preparation on small files with every kind of alignment, then sources and sinks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fourfold.functions import codec
+from fourfold.plans import phase
+from fourfold.plans.genotype import genotype
 from fourfold.plans.options import Options
 from fourfold.plans.prepare import prepare_alignment
 from fourfold.sources import fastx, pileup, sam
@@ -82,7 +85,13 @@ def test_prepare(spark, files, tmp_path):
     back = pileup.read_pileup(spark, str(tmp_path / "out" / "region=0")) if (tmp_path / "out" / "region=0").exists() else None
     written = spark.read.csv(str(tmp_path / "out"), sep=" ", schema=pileup.SCHEMA + ", region long")
     assert written.count() == r.pileup.count() and (back is None or back.count())
-    assert fastx.read_fasta(spark, str(tmp_path / "uni")).first()["seq"] == "MMMMIMMJMM"
+    back = pileup.read_universal(spark, str(tmp_path / "uni")).orderBy("ref_pos").collect()
+    assert "".join(x["symbol"] for x in back) == "MMMMIMMJMM" and [x["ref_pos"] for x in back] == list(range(10)) and {x["region"] for x in back} == {r.universal.first()["region"]}
+    again = pileup.read_pileup(spark, str(tmp_path / "out"))
+    assert again.count() == r.pileup.count() and {x["region"] for x in again.select("region").distinct().collect()} == {r.universal.first()["region"]}
+    single = tmp_path / "one.fa"
+    single.write_text(">uni_genome\nMM\nIJ\n")
+    assert [(x["region"], x["symbol"]) for x in pileup.read_universal(spark, str(single), 7).orderBy("ref_pos").collect()] == [(7, c) for c in "MMIJ"]
     assert fastx.read_fastq(spark, str(tmp_path / "fq")).count() == len(reads)
 
 
@@ -106,6 +115,43 @@ def test_missing_files(spark, files):
         prepare_alignment(spark, files[2], files[1], files[2], files[3])
 
 
+def test_no_read_on_a_target_is_an_error(spark, files, tmp_path):
+    lost = tmp_path / "lost.sam"
+    lost.write_text("@SQ\tSN:chrB\tLN:99\n" + record("other", 0, "chrX", 21, "4M", "ACGT") + "\n" + record("away", 0, "chrB", 70, "4M", "ACGT") + "\n")
+    with pytest.raises(ValueError, match="no read of B"):
+        prepare_alignment(spark, files[0], files[1], files[2], str(lost))
+    assert prepare_alignment(spark, *files).missing.isEmpty()
+
+
+def test_from_files_to_haplotypes(spark, tmp_path):
+    """A target of 60 columns, four haplotypes, two of either sub-genome, that three columns tell apart; reads of 30 bases, each on the right one."""
+    rng = np.random.default_rng(4)
+    a = rng.choice(list("ACGT"), 60)
+    b = a.copy()
+    other = {"A": "G", "G": "A", "C": "T", "T": "C"}
+    for k in (14, 30, 46):
+        b[k] = other[b[k]]
+    haps = [a.copy(), a.copy(), b.copy(), b.copy()]
+    haps[1][22], haps[3][38] = other[haps[1][22]], other[haps[3][38]]
+    write = lambda name, lines: (tmp_path / name).write_text("\n".join(lines) + "\n") and str(tmp_path / name)
+    refs = write("refs.fa", [">chrA:0-60", "".join(a), ">chrB:0-60", "".join(b)])
+    ref_sam = write("refs.sam", ["@SQ\tSN:chrA:0-60\tLN:60", "chrB:0-60\t0\tchrA:0-60\t1\t255\t60M\t*", "*"])
+    sides = {"a": ["@SQ\tSN:chrA\tLN:60"], "b": ["@SQ\tSN:chrB\tLN:60"]}
+    for n in range(160):
+        h, s = n % 4, int(rng.integers(0, 31))
+        seq = "".join(haps[h][s : s + 30])
+        for side, name in (("a", "chrA"), ("b", "chrB")):
+            sides[side].append(record(f"H{h}-{n}", 0, name, s + 1, "30M", seq))
+    sams = [write(f"{k}.sam", v) for k, v in sides.items()]
+    got = genotype(spark, refs, ref_sam, *sams, str(tmp_path / "all"), Options(cut_off=0.1, min_reads=2))
+    runs = got.result.runs.collect()
+    assert [r["status"] for r in runs] == ["phased"] and got.prepared.reads.count() == 160
+    truth = got.prepared.reads.select("region", "read_id", F.substring("name", 2, 1).cast("int").alias("true_hap"))
+    assert phase.accuracy(got.result.assignments, truth).first()["accuracy"] >= 0.8  # reads that miss the site of their sub-genome are either
+    called = spark.read.parquet(str(tmp_path / "all" / "result" / "haplotypes"))
+    assert called.count() == 60 and (tmp_path / "all" / "universal").exists()
+
+
 def test_sam_scan_and_filters(spark, files):
     rows = sam.read_sam(spark, files[2])
     assert rows.count() == 11
@@ -128,6 +174,12 @@ def test_fastq_policies(spark, tmp_path):
     assert dropped["r2"] == "ACT"
     with pytest.raises(ValueError):
         fastx.read_fastq(spark, str(path), ambiguous="abort")
+    switched = {x["name"]: (x["encoding"], x["codes"]) for x in fastx.read_fastq(spark, str(path), ambiguous="switch").collect()}
+    assert switched["r2"] == ("iupac", [1, 2, 15, 8]) and switched["r1"] == ("iupac", [1, 2, 4, 8])
+    plain = fastx.read_fastq(spark, str(path), ambiguous="switch", min_length=5)
+    assert plain.count() == 1
+    (tmp_path / "y.fq").write_text("@r1\nACGT\n+\nIIII\n")
+    assert fastx.read_fastq(spark, str(tmp_path / "y.fq"), ambiguous="switch").select("encoding", "codes").first()[1] == [0, 1, 3, 2]
     seen = fastx.quality_range(fastx.read_fastq(spark, str(path))).first()
     assert (seen["lowest"], seen["highest"]) == (31, 40)
 
