@@ -1,11 +1,16 @@
 """The pipeline's stages follow each other, and its rows are those of its parts."""
 
+import hashlib
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fourfold.llm import encoding, linededup, mixing, neardup, queries
+from fourfold.llm import encoding, linededup, mixing, neardup, pieces, queries
+
+from .test_operators import brute_components, brute_lines, plain_viterbi, words_of
 
 D = "/root/testdata/sf0.001"
 
@@ -75,9 +80,43 @@ def test_nothing_to_learn_from_keeps_texts(spark):
     assert corpus_pipeline.identify_language(spark, docs, D).count() == 8
 
 
-def test_run(spark):
-    out = corpus_pipeline.run(spark, D)
-    assert out.count() > 0 and "ids" in out.columns
+def test_run_against_brute_force(spark):
+    """All rows of a whole run; from the first stage's rows on every stage is repeated by comparing, counting and searching plainly."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    langs = corpus_pipeline.identify_language(spark, docs, D).collect()
+    assert {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} == {r["doc_id"] for r in langs}
+    about = {r["doc_id"]: r for r in langs}
+    texts = dict(brute_lines([(r["doc_id"], r["text"]) for r in sorted(langs, key=lambda r: r["doc_id"])]))
+    texts = {i: t for i, t in texts.items() if words_of(t) or not words_of(about[i]["text"])}
+    texts = {i: texts[i] for i, (_, of) in brute_components(list(texts.items())).items() if of == i}
+    sizes = Counter()
+    for i, t in texts.items():
+        sizes[about[i]["source"]] += len(words_of(t))
+    order = sorted(sizes, key=lambda s: s.encode())
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 3 * sizes[s]} or free
+        target |= {s: min(3.0 * sizes[s], level * weight[s]) for s in full}
+        left -= sum(target[s] for s in full)
+        free -= full
+    want = Counter()
+    model = pieces.load()
+    table = {p: k for k, (p, u) in enumerate(zip(model.pieces, model.usable, strict=True)) if u}
+    memo = {}
+    for i, t in texts.items():
+        rate = target[about[i]["source"]] / sizes[about[i]["source"]]
+        u = int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:8], 16) / 2**32
+        copies = int(rate) + (u < rate - int(rate))
+        if copies:
+            for w in pieces.word_forms(t):
+                if w not in memo:
+                    memo[w] = plain_viterbi(model, table, w)
+            want[i, about[i]["source"], about[i]["lang"], tuple(x for w in pieces.word_forms(t) for x in memo[w])] += copies
+    out = corpus_pipeline.run(spark, D).collect()
+    assert Counter((r["doc_id"], r["source"], r["lang"], tuple(r["ids"])) for r in out) == want
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in out)
 
 
 def test_stage_list():
