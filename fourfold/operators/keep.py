@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names, and read from there; one of our own only in local mode where none is named, as in tests."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one of our own only in local mode where none is named, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share."""
+    return f"{_shared(spark)}/files-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, and read from there."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

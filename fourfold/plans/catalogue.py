@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fourfold.plans import q_align, q_codec, q_linkage, q_model, q_phase, q_pileup
+from fourfold.plans import q_align, q_codec, q_files, q_linkage, q_model, q_phase, q_pileup
 
 #: Modules with QUERIES (name -> function of session and folder) and ORACLES (name -> SQL).
-MODULES = [q_pileup, q_linkage, q_model, q_codec, q_align, q_phase]
+MODULES = [q_pileup, q_linkage, q_model, q_codec, q_align, q_files, q_phase]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from fourfold.plans.options import Options
 from .text import numbered_lines, require
 
 UNMAPPED, REVERSE = 0x4, 0x10
+#: References that a header may have for it to be sent to every task.
+HEADER_LINES = 1_000_000
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +42,26 @@ def parse_records(lines: DataFrame) -> DataFrame:
     return out.withColumn("ops", codec.parse_cigar(F.col("cigar")))
 
 
+def write_sam(records: DataFrame, header: DataFrame, path: str) -> None:
+    """records (name, flag, rname, pos, cigar, seq, qual) as SAM, a file for each partition, each with all of the header (rname, length).
+
+    The header goes to every task: one line for each reference, an error beyond HEADER_LINES.
+    """
+    names = header.select("rname", "length").orderBy("rname").limit(HEADER_LINES + 1).collect()
+    if len(names) > HEADER_LINES:
+        raise ValueError(f"more than {HEADER_LINES} references")
+    head = ["@HD\tVN:1.6", *[f"@SQ\tSN:{r['rname']}\tLN:{r['length']}" for r in names]]
+    star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
+    lines = records.select(F.concat_ws("\t", star("name"), star("flag"), star("rname"), star("pos"), F.lit("255"), star("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), star("seq"), star("qual")).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], names=["value"])
+
+    lines.mapInArrow(run, "value string").write.text(path)
+
+
 def reasons(rows: DataFrame, o: Options) -> DataFrame:
     """rows with reason: why a record is left out, the first that holds; null if it stays."""
     checks = []

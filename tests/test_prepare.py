@@ -163,6 +163,20 @@ def test_sam_scan_and_filters(spark, files):
     assert [x["ref_pos"] for x in table] == [10, 11, 12, 13, -1, 14, 15, 16, 17, 18]
 
 
+def test_sam_sink(spark, tmp_path):
+    """Every part of the file is a whole SAM file, and records come back as they were."""
+    rows = [(f"r{i}", 16 * (i % 2), f"c{i % 3}", i + 1, "4M", "ACGT", "IIII") for i in range(50)] + [("lost", 4, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "name string, flag int, rname string, pos long, cigar string, seq string, qual string")
+    header = spark.createDataFrame([(f"c{k}", 100 + k) for k in range(3)], "rname string, length long")
+    sam.write_sam(frame.repartition(4), header, str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert len(parts) == 4
+    for p in parts:
+        assert [(r["rname"], r["length"]) for r in sam.read_header(spark, str(p)).orderBy("line").collect()] == [("c0", 100), ("c1", 101), ("c2", 102)]
+    back = sam.read_sam(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["name"], r["flag"], r["pos"], r["seq"]) for r in back if r["name"] != "lost") == sorted((r[0], r[1], r[3], r[5]) for r in rows[:-1]) and len(back) == 51
+
+
 def test_fastq_policies(spark, tmp_path):
     path = tmp_path / "x.fq"
     path.write_text("@r1 a\nACGT\n+\n@III\n@r2\nACNT\n+\nIIII\n@r3\nA!GT\n+\nIIII\n@r4\nACGTACGT\n+\nIIIIIIII\n")
