@@ -215,7 +215,7 @@ def sequence_checks(spark, sf_dir):
     first = codec.xy_code(F.substring("seq", 1, 1))
     return rows.select(
         "line", F.round(codec.expected_errors(F.col("qual")), 6).alias("expected"), F.round(codec.error_free_probability(F.col("qual")), 9).alias("error_free"),
-        codec.censored_phred(F.substring("qual", 1, 1), 20, 35).cast("long").alias("censored"), codec.xy_char(F.when(F.col("line") % 4 > 0, first)).alias("letter"),
+        codec.censored_phred(F.substring("qual", 1, 1), 20, 35).cast("long").alias("censored"), codec.xy_char(F.when(F.col("line") % 4 > 0, first)).alias("letter"), codec.phred_char(codec.phred(F.substring("qual", 2, 1))).alias("mark"),
         codec.region_name(F.col("rname"), F.col("pos"), F.col("pos") + codec.reference_length(F.col("ops"))).alias("region"), codec.is_nucleotide(F.col("seq")).alias("valid"),
     )
 
@@ -332,7 +332,7 @@ s as (select region, ref_pos, sum(count(*)) over (partition by region order by r
 select a.region, a.median, a.high, coalesce(b.until, -1) as until from (select region, min(qua) filter (c >= n * 0.5) as median, min(qua) filter (c >= n * 0.9) as high from q group by region) a
 left join (select region, min(ref_pos) as until from s where c >= 4000 group by region) b using (region)""",
     "sequence_checks": f"""with {SAM_SQL} select line, round({ERRORS_SQL}, 6) as expected, round(list_product(list_transform(range(1, length(qual) + 1), lambda k: 1 - pow(10.0::double, -(ascii(substr(qual, k::int, 1)) - 33) / 10.0))), 9) as error_free,
-  least(greatest(ascii(substr(qual, 1, 1)) - 33, 20), 35)::bigint as censored, case when line % 4 > 0 then substr(seq, 1, 1) else 'N' end as letter, concat(rname, ':', pos, '-', pos + m1 + m2 + d + 15) as region, true as valid from sam""",
+  least(greatest(ascii(substr(qual, 1, 1)) - 33, 20), 35)::bigint as censored, case when line % 4 > 0 then substr(seq, 1, 1) else 'N' end as letter, substr(qual, 2, 1) as mark, concat(rname, ':', pos, '-', pos + m1 + m2 + d + 15) as region, true as valid from sam""",
     "set_equal": """with s as (select o_custkey, list_sort(list(distinct o_orderpriority) filter (where o_orderstatus = 'O')) as o, list_sort(list(distinct o_orderpriority) filter (where o_orderstatus = 'F')) as f from orders group by 1)
 select o_custkey, len(o)::bigint as n from s where len(o) > 0 and o = f""",
 }

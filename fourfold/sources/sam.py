@@ -52,7 +52,7 @@ def write_sam(records: DataFrame, header: DataFrame, path: str) -> None:
         raise ValueError(f"more than {HEADER_LINES} references")
     head = ["@HD\tVN:1.6", *[f"@SQ\tSN:{r['rname']}\tLN:{r['length']}" for r in names]]
     star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
-    lines = records.select(F.concat_ws("\t", star("name"), star("flag"), star("rname"), star("pos"), F.lit("255"), star("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), star("seq"), star("qual")).alias("value"))
+    lines = records.select(F.concat_ws("\t", star("name"), star("flag"), star("rname"), F.coalesce("pos", F.lit(0)).cast("string"), F.lit("255"), star("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), star("seq"), star("qual")).alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])

@@ -124,6 +124,7 @@ def test_logit_recovers_coefficients():
     nuc = np.array([0, 1, 3, 2])[choice]
     fit = mlogit.fit(pos, qua, hap, nuc, np.ones(n))
     assert np.abs(fit.gradient).max() < 1e-2
+    assert fit.aic == pytest.approx(2 * 27 - 2 * fit.loglik) and list(fit.coefficients())[:3] == [f"{t}:C" for t in emission.TERMS[:3]]
     assert fit.beta[3, 0] == pytest.approx(beta[3, 0], abs=0.5)
     q = mlogit.probabilities(mlogit.design(pos, qua, hap), fit.beta)
     assert np.abs(p - q).max() < 0.06
