@@ -200,6 +200,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     fewer words than a window, and empty texts, lose nothing; a null text stays null and has no words. Columns of docs
     named n_words, n_removed or spans are replaced; an empty table gives an empty table.
     """
+    if not 1 <= anchor <= window:
+        raise ValueError(f"an anchor of {anchor} words is no part of a window of {window}")
     docs = docs.drop("n_words", "n_removed", "spans")
     names = docs.columns
     mine, lists = column_name(docs, "doc"), column_name(docs, "spans")
