@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fourfold.operators import pileup, sites
+from fourfold.plans.options import Options
 from fourfold.plans.views import TETRA_SQL, tetra
 
 MASK, LOW = 15, 18
@@ -25,6 +26,12 @@ def site_state_rows(spark, sf_dir):
     return states.select(*[F.col(c).cast("long").alias(c) for c in states.columns])
 
 
+def three_nucleotide_states(spark, sf_dir):
+    """States where a third nucleotide counts: four more if one of the three is clearly the double one, else twelve."""
+    states = sites.site_states(sites.call_sites(pileup.site_table(_masked(spark, sf_dir), LOW), Options(third_nuc=1)))
+    return states.select(*[F.col(c).cast("long").alias(c) for c in states.columns])
+
+
 def pileup_counts(spark, sf_dir):
     return pileup.base_counts(tetra(spark, sf_dir))
 
@@ -56,7 +63,7 @@ def masked_group_sizes(spark, sf_dir):
     return pileup.last_supported(tetra(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (snp_call_table, site_state_rows, pileup_counts, site_coverage, uncovered_sites, quality_masked_pileup, read_summary, step_table, masked_group_sizes)}
+QUERIES = {f.__name__: f for f in (snp_call_table, site_state_rows, three_nucleotide_states, pileup_counts, site_coverage, uncovered_sites, quality_masked_pileup, read_summary, step_table, masked_group_sizes)}
 
 SITES_SQL = f"""{TETRA_SQL},
 m as (select * from tetra where qua >= {MASK}),
@@ -84,6 +91,19 @@ st as (select region, ref_pos, case site_class when 'mono' then [[major, major,
   else (case when minor > major then [[major, major, major, minor], [major, major, minor, major], [major, minor, major, major], [minor, major, major, major]]
         else [[minor, major, major, major], [major, minor, major, major], [major, major, minor, major], [major, major, major, minor]] end) || [[a0, a0, a1, a1], [a1, a1, a0, a0]] end as s from calls),
 ex as (select region, ref_pos, unnest(range(0, len(s))) as state_idx, s from st)
+select region, ref_pos, state_idx::bigint as state_idx, s[state_idx + 1][1]::bigint as h0, s[state_idx + 1][2]::bigint as h1, s[state_idx + 1][3]::bigint as h2, s[state_idx + 1][4]::bigint as h3 from ex""",
+    "three_nucleotide_states": f"""with {SITES_SQL},
+tri as (select region, ref_pos, list(nuc order by nuc) as c, list(n order by nuc) as k from top where r <= 3 group by all having count(*) = 3),
+trj as (select t.*, list_position(k, list_max(k)) as t, list_max(k) as most, list_sum(k) as total from tri t join cls using (region, ref_pos) where not gapped),
+trs as (select region, ref_pos, (total - most) / most between 0.8 and 1.2 or most / total >= 0.45 as clear, t, c[1] as a, c[2] as b, c[3] as d from trj),
+trl as (select region, ref_pos, case when not clear then [[b, d, a, a], [d, b, a, a], [a, a, b, d], [a, a, d, b], [b, a, d, d], [a, b, d, d], [d, d, b, a], [d, d, a, b], [d, a, b, b], [a, d, b, b], [b, b, d, a], [b, b, a, d]]
+  when t = 1 then [[b, d, a, a], [d, b, a, a], [a, a, b, d], [a, a, d, b]] when t = 2 then [[a, d, b, b], [d, a, b, b], [b, b, a, d], [b, b, d, a]] else [[a, b, d, d], [b, a, d, d], [d, d, a, b], [d, d, b, a]] end as more from trs),
+st as (select region, ref_pos, case site_class when 'mono' then [[major, major, major, major]]
+  when 'two' then [[a0, a0, a1, a1], [a1, a1, a0, a0]]
+  else (case when minor > major then [[major, major, major, minor], [major, major, minor, major], [major, minor, major, major], [minor, major, major, major]]
+        else [[minor, major, major, major], [major, minor, major, major], [major, major, minor, major], [major, major, major, minor]] end) || [[a0, a0, a1, a1], [a1, a1, a0, a0]] end as s from calls),
+su as (select region, ref_pos, case when more is null then s else more || s end as s from st left join trl using (region, ref_pos)),
+ex as (select region, ref_pos, unnest(range(0, len(s))) as state_idx, s from su)
 select region, ref_pos, state_idx::bigint as state_idx, s[state_idx + 1][1]::bigint as h0, s[state_idx + 1][2]::bigint as h1, s[state_idx + 1][3]::bigint as h2, s[state_idx + 1][4]::bigint as h3 from ex""",
     "pileup_counts": f"with {TETRA_SQL} select region, ref_pos, nuc, count(*) as n, sum(qua)::bigint as sum_qua from tetra group by all",
     "site_coverage": f"with {SITES_SQL} select region, ref_pos, depth from cov",
