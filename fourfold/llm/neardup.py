@@ -299,7 +299,7 @@ def _led(large: DataFrame, nodes: int) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, agree), a < b: documents (rep, n_shingles, s1, s2, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the links (a, b) that are confirmed, if any.
+    """(a, b, agree), a < b: documents (rep, n_shingles, s1, s2, sig) that share a node and aren't linked yet, and how many of their tokens agree, AGREE at least; and the components (id, component) of the links that are confirmed, if any.
 
     texts gives (id, text) for documents (id). A small node gives all its pairs. In a large one the members' links with
     leaders are confirmed; then only pairs inside a component go without being compared, as no such link changes a
@@ -307,14 +307,13 @@ def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
     1 / threshold goes the same way, so that the rows shrink from level to level.
     """
     level = reps.select("rep", "s1", "s2", "sig").mapInArrow(_first_nodes, "path long, rep long, s1 long, s2 long")
-    found, edges, part, depth = [], None, None, DEPTH
+    found, part, depth = [], None, DEPTH
 
     def linked(links: DataFrame) -> None:
-        nonlocal edges, part
+        nonlocal part
         links, n = _kept(links)
         if n:
-            edges = links if edges is None else edges.unionByName(links)
-            part = components(edges)
+            part = components(links, part)
 
     while True:
         # At first every document is a component of its own.
@@ -350,7 +349,7 @@ def candidate_pairs(reps: DataFrame, texts: Callable[[DataFrame], DataFrame]) ->
         below = on.select("path", "rep", "s1", "s2", "comp").join(reps.select("rep", "sig"), "rep").select("path", "rep", "s1", "s2", "comp", "sig")
         level = below.mapInArrow(_next_nodes, "path long, rep long, s1 long, s2 long, comp long")
         depth += STEP
-    return _met(_apart(functools.reduce(DataFrame.unionByName, found).distinct(), part), reps), edges
+    return _met(_apart(functools.reduce(DataFrame.unionByName, found).distinct(), part), reps), part
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -360,8 +359,21 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for all ends of the edges (a, b): the smallest id reachable, by spreading minima and skipping ahead."""
+def components(edges: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """(id, component) for all ends of the edges (a, b): the smallest id reachable, by spreading minima and skipping ahead.
+
+    part: components from before, which the edges join further. The edges then count as such between components, equal
+    ones once and those inside none, so that links found earlier, and many between the same two, aren't spread over again.
+    """
+    if part is not None:
+        ends = _labelled(_labelled(edges, "a", part, "_ca"), "b", part, "_cb")
+        between, n = _kept(ends.select(F.least("_ca", "_cb").alias("a"), F.greatest("_ca", "_cb").alias("b")).filter("a < b").distinct())
+        if not n:
+            return part
+        joined = components(between)
+        below = _labelled(part, "component", joined, "_top").select("id", F.col("_top").alias("component"))
+        total = below.unionByName(joined.join(part, "id", "left_anti"))
+        return _kept(total)[0]
     n = 2 * edges.count()
     ends = _few(edges.select("a", "b"), n)
     sym = cut(_few(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), n))
@@ -411,19 +423,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             ids = F.broadcast(ids)
         return cut(keyed.join(ids, keyed.key == ids.id, "left_semi").select(F.col("key").alias("id"), "text"))
 
-    pairs, first = candidate_pairs(reps, texts_of)
+    pairs, part = candidate_pairs(reps, texts_of)
     pairs, n = _kept(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # First each document's best pair only: what those join needs no more of the pairs inside.
     best = _few(pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")), n)
     edges, _ = _kept(confirm(best, texts))
-    if first is not None:
-        edges = edges.unionByName(first)
-    part = components(edges)
+    part = components(edges, part)
     rest, n = _kept(_apart(pairs, part).join(best, ["a", "b"], "left_anti"))
     more, n = _kept(confirm(rest, texts)) if n else (rest, 0)
     if n:
-        part = components(edges.unionByName(more))
+        part = components(more, part)
     found = classes.select("k1", "k2", "rep", "least").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = _named(found.withColumn("component", F.coalesce("component", "rep"))).select("k1", "k2", "component_id")
     out = facts.drop("sig", "s1", "s2").join(found, ["k1", "k2"], "left")

@@ -656,6 +656,36 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 103, 105, 200)}
 
 
+def test_components_go_on_from_earlier_ones(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    part = neardup.components(frame([(5, 6), (6, 7), (10, 11), (20, 21)]))
+    part = neardup.components(frame([(7, 11), (6, 10), (5, 7), (21, 30), (2, 30), (40, 41)]), part)
+    assert sorted(tuple(r) for r in part.collect()) == sorted([*((i, 5) for i in (5, 6, 7, 10, 11)), *((i, 2) for i in (2, 20, 21, 30)), (40, 40), (41, 40)])
+    assert {tuple(r) for r in neardup.components(frame([(7, 5)]), part).collect()} == {tuple(r) for r in part.collect()}
+
+
+def test_links_are_spread_once(spark, monkeypatch):
+    """Links of a large group that are found in several steps: no step's spreading goes over those of an earlier one again."""
+    rng = np.random.default_rng(22)
+    rows = []
+    for i in range(300):
+        w = [f"b{k}" for k in range(160)]
+        for k in rng.choice(160, int(rng.integers(0, 7)), replace=False):
+            w[k] = f"n{i}_{k}"
+        rows.append((i, " ".join(w)))
+    given, spread = [], neardup.components
+
+    def seen(edges, *part):
+        if not part or part[0] is None:  # else they come here again as edges between components
+            given.append({tuple(r) for r in edges.select("a", "b").collect()})
+        return spread(edges, *part)
+
+    monkeypatch.setattr(neardup, "components", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len([g for g in given if g]) > 1 and sum(map(len, given)) == len(set().union(*given))
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = neighbours.hilbert(cells, 3)
