@@ -24,6 +24,8 @@ from .pieces import SPACE, Vocabulary, load, probe, word_forms
 TOGETHER, REMEMBERED = 60_000, 300_000
 #: Characters of all words that are remembered.
 REMEMBERED_CHARS = 8_000_000
+#: Ids that are decoded together, about.
+DECODED = 100_000
 #: Words of more characters are cut first, where no piece can lie; they are looked at in runs of so many characters.
 LONG, RUN = 2_000, 100_000
 
@@ -142,7 +144,9 @@ def with_bytes(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, n
 def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions first[i] .. first[i] + counts[i] - 1 for each i, in a row."""
     ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+    places = np.repeat(first - (ends - counts), counts)
+    places += np.arange(len(places))
+    return places
 
 
 class Encoder:
@@ -207,7 +211,11 @@ class Encoder:
         at = np.array(places, dtype=np.int64)
         counts = self.counts[at]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[spread(self.first[at], counts)], ends[sizes]
+        ids = np.empty(ends[-1], dtype=np.int32)
+        for a in range(0, len(at), DECODED):
+            part = slice(a, a + DECODED)
+            ids[ends[a] : ends[min(a + DECODED, len(at))]] = self.ids[spread(self.first[at[part]], counts[part])]
+        return ids, ends[sizes]
 
 
 class Decoder:
@@ -226,6 +234,15 @@ class Decoder:
         self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The texts of ids bounds[i] to bounds[i + 1], some together: what that takes doesn't grow with all of them."""
+        out: list[bytes] = []
+        while len(out) < len(bounds) - 1:
+            a = len(out)
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + DECODED, side="right")) - 1)
+            out += self._decode(ids[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        return out
+
+    def _decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         counts = self.counts[ids]
         data = self.data[spread(self.first[ids], counts)].tobytes()
         ends = np.concatenate([[0], np.cumsum(counts)])[bounds].tolist()

@@ -128,5 +128,6 @@ def probe(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.nd
         at = np.minimum(np.searchsorted(vocabulary.keys, wanted), len(vocabulary.keys) - 1)
         hit = vocabulary.keys[at] == wanted
         ids[maybe[0][hit], maybe[1][hit], length - 1] = vocabulary.key_ids[at[hit]]
-    scores = np.where(ids >= 0, vocabulary.scores[np.maximum(ids, 0)].astype(np.float64), -np.inf)
+    scores = vocabulary.scores[ids]  # single precision, as in the file; sums of them are made in double
+    scores[ids < 0] = -np.inf
     return ids, scores

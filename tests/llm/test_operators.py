@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -389,6 +390,18 @@ def test_long_words(model):
         assert expanded.tolist() == ids.tolist()
 
 
+def test_decoding_takes_bounded_memory(model):
+    """Decoding many texts takes little more than what comes out, and texts longer than a run of ids, and empty ones, come back whole."""
+    texts = ["", "a b c " * 60_000, *["the quick brown fox " * 50] * 2_000, None, "é漢\n" * 70_000, ""]
+    ids, bounds = encoding.Encoder(model).encode(texts)
+    tracemalloc.start()
+    back = encoding.Decoder(model).decode(ids, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == [(t or "").encode() for t in texts]
+    assert peak < 4 * sum(map(len, back)) + 20e6
+
+
 def test_model_file_is_checked():
     """A file that asks for another normalisation, or has pieces of its user's, is an error."""
     import sentencepiece
