@@ -54,7 +54,7 @@ def test_project_both_ways(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["alignment_scores", "projected_reads"])
+@pytest.mark.parametrize("name", ["alignment_scores", "projected_reads", "pileup_text_rows"])
 def test_columns_are_not_sent_to_every_task(spark, sf_dir, name):
     """Columns are many times their sequences, which Spark goes by: they were broadcast, and too large for the driver at six times sf0.1."""
     plan = q_align.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
