@@ -35,6 +35,6 @@ def test_masked_sends_sites_only(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
 
 
-@pytest.mark.parametrize("name", ["masked_alleles"])
+@pytest.mark.parametrize("name", ["masked_alleles", "trimmed_windows"])
 def test_queries_send_no_bases(spark, sf_dir, name):
     assert not any(map(of_bases, sent(q_align.QUERIES[name](spark, sf_dir))))
