@@ -21,7 +21,7 @@ def dealt(df):
     return out
 
 
-@pytest.mark.parametrize("name", ["read_loglik", "responsibility"])
+@pytest.mark.parametrize("name", ["read_loglik", "responsibility", "mixture_update"])
 def test_single_bases_are_not_dealt(spark, sf_dir, name, monkeypatch):
     """With haplotypes of too many sites for every task, all bases were dealt by site: the disk was full at 6 GB."""
     monkeypatch.setattr(emission, "BROADCAST_SITES", 0)
