@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from fourfold.operators import linkage
-from fourfold.plans import q_align
+from fourfold.operators import emission, keep, linkage
+from fourfold.plans import phase, q_align, q_phase
 
 
 def sent(df):
@@ -20,8 +20,8 @@ def sent(df):
 
 
 def of_bases(part):
-    """Whether single bases are in it: made by the explode of a read, or read from a checkpoint."""
-    return bool(re.search(r"Generate explode.*\[j#|Scan ExistingRDD\[region#\w+,read_id#\w+,read_pos#", part))
+    """Whether single bases are in it, not yet summed up: made by the explode of a read, or read from a checkpoint."""
+    return bool(re.search(r"Generate explode.*\[j#|Scan ExistingRDD\[region#\w+,read_id#\w+,read_pos#", part.split("Aggregate")[0]))
 
 
 def test_masked_sends_sites_only(spark, sf_dir, monkeypatch):
@@ -38,3 +38,27 @@ def test_masked_sends_sites_only(spark, sf_dir, monkeypatch):
 @pytest.mark.parametrize("name", ["masked_alleles", "trimmed_windows"])
 def test_queries_send_no_bases(spark, sf_dir, name):
     assert not any(map(of_bases, sent(q_align.QUERIES[name](spark, sf_dir))))
+
+
+class Enough(Exception):
+    """All joins of single bases are done."""
+
+
+@pytest.mark.parametrize("name", ["baum_welch_fit"])
+def test_phasing_sends_no_bases(spark, sf_dir, name, monkeypatch):
+    """Whatever phasing writes out until it begins to learn."""
+    parts, plain = [], keep.cut
+
+    def noted(df):
+        parts.extend(sent(df))
+        return plain(df)
+
+    def learn(*_):
+        raise Enough
+
+    for module in (phase, linkage, emission):
+        monkeypatch.setattr(module, "cut", noted)
+    monkeypatch.setattr(phase, "_learn", learn)
+    with pytest.raises(Enough):
+        q_phase.QUERIES[name](spark, sf_dir)
+    assert parts and not any(map(of_bases, parts))
