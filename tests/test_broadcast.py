@@ -44,7 +44,7 @@ class Enough(Exception):
     """All joins of single bases are done."""
 
 
-@pytest.mark.parametrize("name", ["baum_welch_fit"])
+@pytest.mark.parametrize("name", ["baum_welch_fit", "phase_haplotypes"])
 def test_phasing_sends_no_bases(spark, sf_dir, name, monkeypatch):
     """Whatever phasing writes out until it begins to learn."""
     parts, plain = [], keep.cut
